@@ -259,15 +259,15 @@ SQL_BRAND = "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER)"
     FROM (SELECT DISTINCT p_brand, kind FROM p) b LEFT JOIN v USING (p_brand)
 """)
 def price_columns(spark, folder):
-    cells = workbook_cells(spark, folder)
-    return cleaning.infer_price_column(cells, ["sheet"], cleaning.find_headers(cells, ["sheet"]))
+    rows = cleaning.sheet_rows(workbook_cells(spark, folder), ["sheet"])
+    sheets = cleaning.infer_price_column(rows, ["sheet"], cleaning.find_headers(rows, ["sheet"]))
+    return sheets.select("sheet", "price_col", "error")
 
 
 def workbook_products(spark, folder) -> DataFrame:
-    cells = workbook_cells(spark, folder)
-    headers = cleaning.find_headers(cells, ["sheet"])
-    chosen = cleaning.infer_price_column(cells, ["sheet"], headers)
-    return cleaning.product_rows(cells, ["sheet"], headers, chosen)
+    rows = cleaning.sheet_rows(workbook_cells(spark, folder), ["sheet"])
+    sheets = cleaning.infer_price_column(rows, ["sheet"], cleaning.find_headers(rows, ["sheet"]))
+    return cleaning.product_rows(rows, ["sheet"], sheets)
 
 
 SQL_PRODUCTS = f"""

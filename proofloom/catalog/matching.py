@@ -1 +1,281 @@
-"""to come"""
+"""Matching queries over the embeddings table.
+
+Every vector plays one role: with blocks by label, ids divisible by three are targets and the rest
+candidates; with blocks of sixty ids (projects), ids 0 and 1 of each six are the two photos of a
+look and the other four are catalogue cards.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import vectors
+from ..operators import matching
+from ..plans.assignment import assign_one_to_one
+from ..plans.neighbours import nearest, rank_of
+from . import query, table
+
+PHOTO_WEIGHTS = vectors.blended_weights(24, 12, 8, 12, 8)
+VIEW_WEIGHTS = vectors.dimension_weights(
+    [vectors.Slice(i * 8, i * 8 + 8, share) for i, share in enumerate(vectors.CARD_SHARES)]
+) + [0.0] * 24
+LOOKS_WEIGHTS = [0.0] * 40 + vectors.dimension_weights(
+    [vectors.Slice(0, 16, vectors.HISTOGRAM_HALF, mean=False), vectors.Slice(16, 24, vectors.SUMMARY)]
+)
+# Limits that separate these unit vectors; photographs use the defaults of the operators.
+SCORE_LIMIT, MARGIN = 0.30, 0.004
+BY_LABEL = {"block": "label", "target": "vec_id", "candidate": "vec_id", "vector": "embedding"}
+BY_PROJECT = {"block": "project", "target": "look", "candidate": "vec_id", "vector": "vector"}
+
+
+def sql_weights(weights: list[float]) -> str:
+    return "[" + ", ".join(repr(w) for w in weights) + "]"
+
+
+def sql_l1(a: str, b: str, weights: list[float]) -> str:
+    return (
+        f"list_sum(list_transform(generate_series(1, {len(weights)}), "
+        f"lambda i: abs(CAST({a}[i] AS DOUBLE) - CAST({b}[i] AS DOUBLE)) * {sql_weights(weights)}[i]))"
+    )
+
+
+def by_label(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, folder, "embeddings")
+    is_target = F.col("vec_id") % 3 == 0
+    return rows.where(is_target), rows.where(~is_target)
+
+
+def with_project(spark, folder) -> DataFrame:
+    return table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 60).alias("project"), "vec_id", F.floor(F.col("vec_id") / 6).alias("look"),
+        (F.col("vec_id") % 6).alias("part"), F.col("embedding").alias("vector"),
+    )
+
+
+def looks_and_cards(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = with_project(spark, folder)
+    left = rows.where("part = 0").select("project", "look", F.col("vector").alias("left"))
+    right = rows.where("part = 1").select("look", F.col("vector").alias("right"))
+    looks = left.join(right, "look").withColumn("vector", F.concat("left", "right"))
+    return looks, rows.where("part > 1")
+
+
+SQL_LABEL_PAIRS = f"""
+    SELECT t.label AS block, t.vec_id AS target, c.vec_id AS candidate, {sql_l1('t.embedding', 'c.embedding', PHOTO_WEIGHTS)} AS cost
+    FROM embeddings t JOIN embeddings c ON t.label = c.label AND t.vec_id % 3 = 0 AND c.vec_id % 3 <> 0
+"""
+SQL_LOOK_PAIRS = f"""
+    SELECT l.vec_id // 60 AS block, l.vec_id // 6 AS target, c.vec_id AS candidate,
+           {sql_l1('c.embedding', 'l.embedding', VIEW_WEIGHTS)} AS lv, {sql_l1('c.embedding', 'r.embedding', VIEW_WEIGHTS)} AS rv,
+           {sql_l1('c.embedding', 'l.embedding', LOOKS_WEIGHTS)} AS la, {sql_l1('c.embedding', 'r.embedding', LOOKS_WEIGHTS)} AS ra,
+           list_sum(list_transform(generate_series(1, 64), lambda i: abs(CAST(c.embedding[i] AS DOUBLE)
+               - (CAST(l.embedding[i] AS DOUBLE) + CAST(r.embedding[i] AS DOUBLE)) / 2) * {sql_weights(LOOKS_WEIGHTS)}[i])) AS context
+    FROM embeddings l JOIN embeddings r ON r.vec_id = l.vec_id + 1 AND l.vec_id % 6 = 0
+    JOIN embeddings c ON c.vec_id // 60 = l.vec_id // 60 AND c.vec_id % 6 > 1
+"""
+SQL_DIRECT = "(least(lv, rv) * 0.985 + least(la, ra) * 0.01 + context * 0.005)"
+
+
+@query("match_verdicts")
+def match_verdicts(spark, folder):
+    """Flagship: one-to-one matches per label, counted by verdict."""
+    matches = assigned_matches(spark, folder)
+    verdict = F.when(F.col("needs_review"), "REVIEW").otherwise("CLEAR")
+    return matches.groupBy("block", verdict.alias("verdict")).agg(
+        F.count("*").alias("matches"), F.round(F.avg("selected_score"), 6).alias("mean_score"), F.max("rank").alias("worst_rank")
+    )
+
+
+@query("assigned_matches")
+def assigned_matches(spark, folder):
+    targets, candidates = by_label(spark, folder)
+    return matching.match_one_to_one(targets, candidates, vectors.WeightedL1(PHOTO_WEIGHTS), SCORE_LIMIT, MARGIN, **BY_LABEL)
+
+
+@query("one_to_one_cards")
+def one_to_one_cards(spark, folder):
+    looks, cards = looks_and_cards(spark, folder)
+    cost = vectors.LookPair(VIEW_WEIGHTS, LOOKS_WEIGHTS)
+    return assign_one_to_one(looks, cards, cost, **BY_PROJECT).withColumn("cost", F.round("cost", 7))
+
+
+@query("nearest_photos", f"""
+    SELECT block, target, candidate, round(cost, 6) AS cost, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY block, target ORDER BY cost, candidate) AS rank FROM ({SQL_LABEL_PAIRS}))
+    WHERE rank <= 3
+""")
+def nearest_photos(spark, folder):
+    targets, candidates = by_label(spark, folder)
+    near = nearest(targets, candidates, vectors.WeightedL1(PHOTO_WEIGHTS), 3, **BY_LABEL)
+    return near.withColumn("block", F.col("block").cast("int")).withColumn("cost", F.round("cost", 6))
+
+
+@query("first_candidate_page", f"""
+    SELECT block, target, candidate, round(cost, 6) AS cost, CAST(rank AS INTEGER) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY block, target ORDER BY cost, candidate) AS rank
+        FROM (SELECT *, 0.5 * {SQL_DIRECT} + 0.5 * least(la, ra) AS cost FROM ({SQL_LOOK_PAIRS})))
+    WHERE rank <= 4
+""")
+def first_candidate_page(spark, folder):
+    looks, cards = looks_and_cards(spark, folder)
+    cost = vectors.LookPair(VIEW_WEIGHTS, LOOKS_WEIGHTS, adaptive=True)
+    return nearest(looks, cards, cost, 4, **BY_PROJECT).withColumn("cost", F.round("cost", 6))
+
+
+def expected_pairs(spark, folder) -> DataFrame:
+    """Each look with the card expected for it: the third id of its six."""
+    looks, cards = looks_and_cards(spark, folder)
+    expected = cards.where("part = 2").select("look", F.col("vec_id").alias("card"), F.col("vector").alias("card_vector"))
+    scored = looks.join(expected, "look").withColumn(
+        "scores", vectors.pair_distance(F.col("card_vector"), F.col("left"), F.col("right"), VIEW_WEIGHTS, LOOKS_WEIGHTS)
+    )
+    return scored.withColumn("cost", F.col("scores.score"))
+
+
+@query("pair_scores", f"""
+    SELECT target AS look, candidate AS card, round({SQL_DIRECT}, 6) AS score, CASE WHEN lv <= rv THEN 'LEFT' ELSE 'RIGHT' END AS side,
+           round(lv, 6) AS left_score, round(rv, 6) AS right_score, round(context, 6) AS context
+    FROM ({SQL_LOOK_PAIRS}) WHERE candidate = target * 6 + 2
+""")
+def pair_scores(spark, folder):
+    return expected_pairs(spark, folder).select(
+        "look", "card", F.round("scores.score", 6).alias("score"), "scores.side", F.round("scores.left_score", 6).alias("left_score"),
+        F.round("scores.right_score", 6).alias("right_score"), F.round("scores.context", 6).alias("context"),
+    )
+
+
+def expected_ranks(spark, folder) -> DataFrame:
+    _, cards = looks_and_cards(spark, folder)
+    cost = vectors.LookPair(VIEW_WEIGHTS, LOOKS_WEIGHTS)
+    return rank_of(expected_pairs(spark, folder), cards, cost, named_cost="cost", named_id="card", **BY_PROJECT)
+
+
+SQL_EXPECTED_RANKS = f"""
+    SELECT block, target, rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY block, target ORDER BY {SQL_DIRECT}, candidate) AS rank FROM ({SQL_LOOK_PAIRS}))
+    WHERE candidate = target * 6 + 2
+"""
+
+
+@query("expected_card_ranks", SQL_EXPECTED_RANKS)
+def expected_card_ranks(spark, folder):
+    return expected_ranks(spark, folder)
+
+
+@query("search_quality", f"""
+    SELECT block, count(*) AS cases, count(CASE WHEN rank <= 4 THEN 1 END) AS in_top, round(avg(1.0 / rank), 6) AS mean_reciprocal_rank
+    FROM ({SQL_EXPECTED_RANKS}) GROUP BY block
+""")
+def search_quality(spark, folder):
+    return matching.eval_ranking(expected_ranks(spark, folder), "block")
+
+
+@query("rank_margins", f"""
+    WITH p AS (SELECT block, target, candidate, {SQL_DIRECT} AS cost FROM ({SQL_LOOK_PAIRS})),
+    r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cost, candidate) AS rank FROM p),
+    b AS (SELECT target, min(cost) AS best, min(CASE WHEN rank = 2 THEN cost END) AS second FROM r GROUP BY 1)
+    SELECT block, r.target, candidate, round(round(cost, 7), 6) AS selected_score, round(round(best, 7), 6) AS best_score,
+           round(round(second, 7), 6) AS second_score, rank, round(round(second - best, 7), 6) AS margin, rank <> 1 OR round(cost, 7) > 0.12 OR round(second - best, 7) < 0.0045 AS needs_review
+    FROM r JOIN b USING (target) WHERE candidate = r.target * 6 + 2
+""")
+def rank_margins(spark, folder):
+    looks, cards = looks_and_cards(spark, folder)
+    cost = vectors.LookPair(VIEW_WEIGHTS, LOOKS_WEIGHTS)
+    selected = expected_pairs(spark, folder).select(F.col("project").alias("block"), F.col("look").alias("target"), F.col("card").alias("candidate"), "cost")
+    judged = matching.rank_margin(
+        selected, expected_ranks(spark, folder), nearest(looks, cards, cost, 2, **BY_PROJECT), 0.12, matching.CARD_MARGIN, rounded=True
+    )
+    return judged.select("block", "target", "candidate", "rank", "needs_review", *[F.round(c, 6).alias(c) for c in ("selected_score", "best_score", "second_score", "margin")])
+
+
+def photos(spark, folder) -> tuple[DataFrame, DataFrame]:
+    rows = with_project(spark, folder)
+    targets = rows.where("part < 2").select("project", (F.col("look") * 2 + F.col("part")).alias("photo"), "vector")
+    return targets, rows.where("part > 1")
+
+
+BY_PHOTO = {**BY_PROJECT, "target": "photo"}
+
+
+@query("decisive_pairs", f"""
+    WITH p AS (SELECT t.vec_id // 60 AS block, t.vec_id // 6 AS look, t.vec_id % 6 AS side, c.vec_id AS candidate,
+                      {sql_l1('t.embedding', 'c.embedding', PHOTO_WEIGHTS)} AS cost
+               FROM embeddings t JOIN embeddings c ON t.vec_id // 60 = c.vec_id // 60 AND t.vec_id % 6 < 2 AND c.vec_id % 6 > 1),
+    pairs AS (SELECT a.block, a.look, a.candidate AS l, b.candidate AS r, a.cost + b.cost AS score
+              FROM p a JOIN p b ON a.look = b.look AND a.side = 0 AND b.side = 1 AND a.candidate <> b.candidate),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY look ORDER BY score, l, r) AS rank,
+                      lead(score) OVER (PARTITION BY look ORDER BY score, l, r) AS second FROM pairs),
+    chosen AS (SELECT look, arg_min(candidate, (cost, candidate)) FILTER (side = 0) AS l, arg_min(candidate, (cost, candidate)) FILTER (side = 1) AS r
+               FROM p GROUP BY look)
+    SELECT block, look, round(score, 6) AS pair_score, round(second - score, 6) AS pair_margin
+    FROM ranked JOIN chosen USING (look, l, r) WHERE rank = 1 AND score <= 0.6 AND second - score >= 0.004
+""")
+def decisive_pairs(spark, folder):
+    targets, cards = photos(spark, folder)
+    lists = nearest(targets, cards, vectors.WeightedL1(PHOTO_WEIGHTS), 3, **BY_PHOTO)
+    decisive = matching.pair_decisive(lists.where("rank = 1"), lists, 0.6)
+    return decisive.select("block", "look", F.round("pair_score", 6).alias("pair_score"), F.round("pair_margin", 6).alias("pair_margin"))
+
+
+@query("quarantined_looks")
+def quarantined_looks(spark, folder):
+    targets, cards = photos(spark, folder)
+    return matching.quarantine_assign(
+        targets, cards, vectors.WeightedL1(PHOTO_WEIGHTS), score_limit=SCORE_LIMIT, margin_limit=MARGIN, pair_limit=0.6, **BY_PHOTO
+    )
+
+
+def page_signature() -> F.Column:
+    """Signs as bits, then eight tones."""
+    bits = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
+    tones = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 100 + 128).cast("double"))
+    return F.concat(bits, tones)
+
+
+SQL_SIGNATURE = """list_concat(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END),
+    list_transform(embedding[1:8], lambda x: floor(CAST(x AS DOUBLE) * 100 + 128)))"""
+SQL_SIGNATURE_PAIR = """list_sum(list_transform(generate_series(1, 64), lambda i: abs({a}[i] - {b}[i]))) AS bits,
+    list_sum(list_transform(generate_series(65, 72), lambda i: abs({a}[i] - {b}[i]))) / 8 AS tone"""
+
+
+@query("page_order", f"""
+    WITH s AS (SELECT label AS block, vec_id AS page, {SQL_SIGNATURE} AS sig FROM embeddings),
+    a AS (SELECT block, page, CASE WHEN page % 10 = 0 THEN list_concat(sig[1:64], list_transform(sig[65:72], lambda x: floor(x * 0.5)))
+                                        WHEN page % 11 = 0 THEN list_concat(list_transform(sig[1:64], lambda x: 1 - x), sig[65:72]) ELSE sig END AS sig FROM s),
+    p AS (SELECT a.block, a.page, s.page AS other, {SQL_SIGNATURE_PAIR.format(a='a.sig', b='s.sig')} FROM a JOIN s ON a.block = s.block),
+    n AS (SELECT block, page, arg_min(other, (bits, tone, other)) AS nearest_page, min(bits) AS nearest_bits FROM p GROUP BY 1, 2)
+    SELECT p.block, p.page, CAST(bits AS INTEGER) AS bits, round(tone, 3) AS tone, nearest_page, CAST(floor(nearest_bits) AS INTEGER) AS nearest_bits,
+           CASE WHEN bits > 64 OR tone > 30 THEN 'mismatch' WHEN nearest_page <> p.page AND nearest_bits + 30 < bits THEN 'reorder' ELSE 'match' END AS verdict
+    FROM p JOIN n ON p.block = n.block AND p.page = n.page AND p.other = p.page
+""")
+def page_order(spark, folder):
+    expected = table(spark, folder, "embeddings").select("label", "vec_id", page_signature().alias("signature"))
+    bits, tones = F.slice("signature", 1, 64), F.slice("signature", 65, 8)
+    faded = F.concat(bits, F.transform(tones, lambda x: F.floor(x * 0.5).cast("double")))
+    inverted = F.concat(F.transform(bits, lambda x: 1 - x), tones)
+    exported = expected.withColumn(
+        "signature", F.when(F.col("vec_id") % 10 == 0, faded).when(F.col("vec_id") % 11 == 0, inverted).otherwise(F.col("signature"))
+    )
+    return matching.nearest_pages(
+        exported, expected, 64, 8, bits_limit=64, reorder_margin=30, block="label", target="vec_id", candidate="vec_id", vector="signature"
+    ).withColumn("block", F.col("block").cast("int"))
+
+
+@query("signature_distances", f"""
+    WITH s AS (SELECT vec_id, {SQL_SIGNATURE} AS sig FROM embeddings)
+    SELECT a.vec_id, CAST(bits AS INTEGER) AS bits, round(tone, 6) AS tone
+    FROM (SELECT a.vec_id, {SQL_SIGNATURE_PAIR.format(a='a.sig', b='b.sig')} FROM s a JOIN s b ON b.vec_id = a.vec_id + 1) a
+""")
+def signature_distances(spark, folder):
+    word = F.aggregate(
+        F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"),
+        lambda bits, bit: F.shiftleft(bits, 1).bitwiseOR(bit),
+    )
+    tones = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100 + 128))
+    pages = table(spark, folder, "embeddings").select("vec_id", F.array(word).alias("words"), tones.alias("tones"))
+    following = pages.select((F.col("vec_id") - 1).alias("vec_id"), F.col("words").alias("next_words"), F.col("tones").alias("next_tones"))
+    return pages.join(following, "vec_id").select(
+        "vec_id", vectors.hamming(F.col("words"), F.col("next_words")).alias("bits"),
+        F.round(vectors.mean_gap(F.col("tones"), F.col("next_tones")), 6).alias("tone"),
+    )

@@ -19,97 +19,118 @@ PRICE_HEADERS = ["price", "correctprice", "корректная"]
 PRODUCT_FIELDS = ["name", "brand", "price", "article"]
 
 
-def find_headers(cells: DataFrame, sheet_keys: list[str], first_rows: int = 25) -> DataFrame:
+def sheet_rows(cells: DataFrame, sheet_keys: list[str]) -> DataFrame:
+    """Long cells (sheet keys, row, col, ctype, value) to one record per worksheet row.
+
+    A row is bounded by the column limit of the file format, a sheet is not, so no later step
+    gathers more than one row.
+    """
+    cell = F.struct("col", "ctype", "value")
+    return cells.groupBy(*sheet_keys, "row").agg(F.collect_list(cell).alias("cells"))
+
+
+def _rightmost(canonical_names: list[str]) -> Column:
+    hits = F.filter("labels", lambda cell: cell["canon"].isin(canonical_names))
+    return F.array_max(F.transform(hits, lambda cell: cell["col"]))
+
+
+def find_headers(rows: DataFrame, sheet_keys: list[str], first_rows: int = 25) -> DataFrame:
     """First row, among the first 25 that exist, holding all three product headers.
 
-    ``cells``: sheet keys, row, col, ctype, value.  One row per sheet: header_row, name_col,
-    brand_col, article_col.  Where two columns carry the same header the right-most one counts.
+    One record per sheet: header_row, name_col, brand_col, article_col and ``labels``, the
+    non-blank cells of that row.  Where two columns carry a header the right-most one counts.
     """
-    canon = canon_header(squash_ws("value"))
-    per_row = (
-        cells.groupBy(*sheet_keys, "row")
-        .agg(*[F.max(F.when(canon.isin(names), F.col("col"))).alias(f"{field}_col") for field, names in HEADER_ALIASES.items()])
-    )
     nth_row = F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
-    candidate = per_row.withColumn("_nth", nth_row).where(F.col("_nth") <= first_rows)
-    complete = candidate.where(" and ".join(f"{field}_col is not null" for field in HEADER_ALIASES))
-    columns = ["row", *[f"{field}_col" for field in HEADER_ALIASES]]
+    top = rows.withColumn("_nth", nth_row).where(F.col("_nth") <= first_rows)
+    labelled = F.transform(
+        "cells",
+        lambda cell: F.struct(
+            cell["col"].alias("col"), squash_ws(cell["value"]).alias("label"), canon_header(squash_ws(cell["value"])).alias("canon")
+        ),
+    )
+    top = top.withColumn("labels", F.filter(labelled, lambda cell: cell["label"] != ""))
+    for field, names in HEADER_ALIASES.items():
+        top = top.withColumn(f"{field}_col", _rightmost(names))
+    found = ["row", "labels", *[f"{field}_col" for field in HEADER_ALIASES]]
     return (
-        complete.groupBy(*sheet_keys)
-        .agg(F.min_by(F.struct(*columns), "row").alias("_first"))
-        .select(*sheet_keys, F.col("_first.row").alias("header_row"), *[F.col(f"_first.{c}") for c in columns[1:]])
+        top.where(" and ".join(f"{field}_col is not null" for field in HEADER_ALIASES))
+        .groupBy(*sheet_keys)
+        .agg(F.min_by(F.struct(*found), "row").alias("_first"))
+        .select(*sheet_keys, F.col("_first.row").alias("header_row"), *[F.col(f"_first.{name}") for name in found[1:]])
     )
 
 
-def infer_price_column(cells: DataFrame, sheet_keys: list[str], headers: DataFrame, sample: int = 50, share: float = 0.5) -> DataFrame:
+def _cell(column: Column) -> Column:
+    """First cell of the current row in the given column."""
+    return F.get(F.filter("cells", lambda cell: cell["col"] == column), F.lit(0))
+
+
+def infer_price_column(rows: DataFrame, sheet_keys: list[str], headers: DataFrame, sample: int = 50, share: float = 0.5) -> DataFrame:
     """Column that holds the price of each sheet.
 
     A column headed "correct price" wins and must be the only one.  Otherwise the right-most of
     the labelled price columns and the blank-headed columns to their right where at least half of
-    the first 50 product rows hold a price.  Output: price_col, or error and a null price_col.
+    the first 50 product rows hold a price.  Adds price_col, or error and a null price_col.
     """
-    joined = cells.join(headers, sheet_keys)
-    label = squash_ws("value")
-    canon = canon_header(label)
-    is_price = canon.contains("цен") | canon.isin(PRICE_HEADERS)
-    is_marked = ~canon.contains("некоррект") & (F.lower(label).rlike(r"(?:^|\s)корректн") | (canon == "correctprice"))
-    labelled = F.col("col") >= 3
-    labels = joined.where((F.col("row") == F.col("header_row")) & (label != ""))
-    from_labels = labels.groupBy(*sheet_keys).agg(
-        F.max(F.when(is_price & labelled, F.col("col"))).alias("last_price_col"),
-        F.count(F.when(is_price & is_marked & labelled, 1)).alias("marked_count"),
-        F.max(F.when(is_price & is_marked & labelled, F.col("col"))).alias("marked_col"),
-    )
+    def is_price(cell: Column) -> Column:
+        return (cell["col"] >= 3) & (cell["canon"].contains("цен") | cell["canon"].isin(PRICE_HEADERS))
+
+    def is_marked(cell: Column) -> Column:
+        named = F.lower(cell["label"]).rlike(r"(?:^|\s)корректн") | (cell["canon"] == "correctprice")
+        return is_price(cell) & named & ~cell["canon"].contains("некоррект")
+
+    def columns(condition) -> Column:
+        return F.transform(F.filter("labels", condition), lambda cell: cell["col"])
 
-    products = joined.where(
-        (F.col("row") > F.col("header_row")) & (F.col("col") == F.col("name_col")) & (F.coalesce("value", F.lit("")) != "")
-    ).select(*sheet_keys, "row")
-    sampled = products.withColumn(
-        "_nth", F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
-    ).where(F.col("_nth") <= sample)
-    sample_size = sampled.groupBy(*sheet_keys).agg(F.count("*").alias("sample_size"))
-    unlabelled = joined.join(labels.select(*sheet_keys, "col"), [*sheet_keys, "col"], "left_anti")
+    sheets = headers.withColumn("last_price_col", F.array_max(columns(is_price))).withColumn("marked", columns(is_marked))
+    wanted = sheets.select(
+        *sheet_keys, "header_row", "name_col", "last_price_col", F.transform("labels", lambda cell: cell["col"]).alias("labelled")
+    )
+    products = rows.join(wanted, sheet_keys).where(
+        (F.col("row") > F.col("header_row")) & (F.coalesce(_cell(F.col("name_col"))["value"], F.lit("")) != "")
+    )
+    nth_product = F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
+    sampled = products.withColumn("_nth", nth_product).where(F.col("_nth") <= sample)
+    blank_headed = F.filter(
+        "cells", lambda cell: (cell["col"] > F.col("last_price_col")) & ~F.array_contains("labelled", cell["col"])
+    )
+    per_column = (
+        sampled.select(*sheet_keys, F.explode_outer(blank_headed).alias("cell"))
+        .groupBy(*sheet_keys, F.col("cell.col").alias("col"))
+        .agg(F.count(parse_price(F.col("cell.value"))).alias("valid"))
+    )
+    sizes = sampled.groupBy(*sheet_keys).agg(F.count("*").alias("sample_size"))
     inferred = (
-        unlabelled.join(sampled.select(*sheet_keys, "row"), [*sheet_keys, "row"])
-        .join(from_labels.select(*sheet_keys, "last_price_col"), sheet_keys)
-        .where(F.col("col") > F.col("last_price_col"))
-        .groupBy(*sheet_keys, "col")
-        .agg(F.count(parse_price(F.col("value"))).alias("valid"))
-        .join(sample_size, sheet_keys)
+        per_column.join(sizes, sheet_keys)
         .where(F.col("valid") >= F.greatest(F.lit(1.0), F.col("sample_size") * share))
         .groupBy(*sheet_keys)
         .agg(F.max("col").alias("inferred_col"))
     )
-    error = F.when(F.coalesce("marked_count", F.lit(0)) > 1, "several correct-price columns").when(
-        F.col("last_price_col").isNull(), "no price column"
-    )
+    error = F.when(F.size("marked") > 1, "several correct-price columns").when(F.col("last_price_col").isNull(), "no price column")
+    chosen = F.coalesce(F.get("marked", F.lit(0)), "inferred_col", "last_price_col")
     return (
-        headers.select(*sheet_keys)
-        .join(from_labels, sheet_keys, "left")
-        .join(inferred, sheet_keys, "left")
-        .select(
-            *sheet_keys,
-            F.when(error.isNull(), F.coalesce("marked_col", "inferred_col", "last_price_col")).alias("price_col"),
-            error.alias("error"),
-        )
+        sheets.join(inferred, sheet_keys, "left")
+        .withColumn("error", error)
+        .withColumn("price_col", F.when(F.col("error").isNull(), chosen))
+        .drop("marked", "last_price_col", "inferred_col")
     )
 
 
-def product_rows(cells: DataFrame, sheet_keys: list[str], headers: DataFrame, prices: DataFrame) -> DataFrame:
-    """One row per product row: number (column 2), name, brand, price, article and their cell types."""
-    wanted = headers.join(prices.select(*sheet_keys, "price_col"), sheet_keys)
-    body = cells.join(wanted, sheet_keys).where(F.col("row") > F.col("header_row"))
-    value = squash_ws("value")
-
-    def cell(column: Column, what: Column, name: str) -> Column:
-        return F.max(F.when(F.col("col") == column, what)).alias(name)
+def product_rows(rows: DataFrame, sheet_keys: list[str], sheets: DataFrame) -> DataFrame:
+    """Body rows with number (column 2), name, brand, price, article and their cell types.
 
-    picked = [cell(F.lit(2), value, "number")]
+    ``sheets`` is the result of :func:`infer_price_column`.
+    """
+    wanted = sheets.select(*sheet_keys, "header_row", *[f"{field}_col" for field in PRODUCT_FIELDS])
+    body = rows.join(wanted, sheet_keys).where(F.col("row") > F.col("header_row"))
+    picked = body.select(
+        *sheet_keys, "row", _cell(F.lit(2)).alias("_number"), *[_cell(F.col(f"{field}_col")).alias(f"_{field}") for field in PRODUCT_FIELDS]
+    )
+    values = [squash_ws("_number.value").alias("number")]
     for field in PRODUCT_FIELDS:
-        picked.append(cell(F.col(f"{field}_col"), F.when(value != "", value), field))
-        picked.append(cell(F.col(f"{field}_col"), F.col("ctype"), f"{field}_type"))
-    present = F.coalesce(*[F.col(field) for field in PRODUCT_FIELDS]).isNotNull()
-    return body.groupBy(*sheet_keys, "row").agg(*picked).withColumn("is_product", present)
+        values += [F.nullif(squash_ws(f"_{field}.value"), F.lit("")).alias(field), F.col(f"_{field}.ctype").alias(f"{field}_type")]
+    present = F.coalesce(*PRODUCT_FIELDS).isNotNull()
+    return picked.select(*sheet_keys, "row", *values).withColumn("is_product", present)
 
 
 def check_products(products: DataFrame, sheet_keys: list[str], expected_sheets: DataFrame | None = None) -> DataFrame:
