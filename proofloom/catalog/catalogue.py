@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prices, text
 from ..operators import cleaning
+from ..plans.lineage import scratch_folder
 from ..sources import assets, files
 from . import query, table
 
@@ -148,7 +149,7 @@ def normalize_articles(spark, folder):
     SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, nullif(c_mktsegment, 'MACHINERY') AS c_mktsegment FROM customer
 """)
 def strict_tsv_round_trip(spark, folder):
-    path = files.scratch_folder(spark)
+    path = scratch_folder(spark)
     rows = table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("c_custkey"),
         F.concat(F.lit(" "), "c_name", F.lit("  ")).alias("c_name"),

@@ -1,4 +1,4 @@
-"""Connected components by label exchange, checkpointed so that lineage stays short."""
+"""Connected components by label exchange, written out each round so that plans stay short."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from .lineage import cut_lineage
 
-HOPS_PER_ROUND = 2
-
-
 def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     """Smallest node id of the component of every node; edges are undirected.
 
@@ -22,14 +19,10 @@ def connected_components(edges: DataFrame, left: str, right: str) -> DataFrame:
     both = cut_lineage(both)
     labels = cut_lineage(both.groupBy("node").agg(F.least(F.first("node"), F.min("other")).alias("label")))
     while True:
-        current = labels
-        for _ in range(HOPS_PER_ROUND):
-            seen = both.join(current.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-            lowered = current.join(seen, "node").select("node", F.least("label", "near").alias("label"))
-            root = lowered.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            current = lowered.join(root, "label", "left").select("node", F.least("label", F.coalesce("root", "label")).alias("label"))
-        current = cut_lineage(current)
-        moved = current.join(labels.withColumnRenamed("label", "was"), "node").where(F.col("label") != F.col("was"))
-        labels = current
-        if moved.isEmpty():
-            return labels
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        lowered = cut_lineage(labels.join(near, "node").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
+        root = lowered.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        labels = cut_lineage(lowered.join(root, "label").select("node", F.col("root").alias("label"), "moved"))
+        if labels.where("moved").isEmpty():
+            return labels.drop("moved")
+        labels = labels.drop("moved")

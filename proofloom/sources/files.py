@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import blank_to_null
-from ..plans.lineage import ensure_checkpoint_dir
 
 ACTIVITY_SCHEMA = "schema INT, pid BIGINT, gate STRING, step STRING, look_id STRING, at TIMESTAMP"
 _BAD = "_damaged"
 
 
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that every executor can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/proofloom-{uuid.uuid4().hex}"
-
-
 def read_strict_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Tab-separated UTF-8 whose header must equal ``columns``; values trimmed, blank is null."""
     schema = StructType([StructField(name, StringType()) for name in columns])
