@@ -13,16 +13,19 @@ from proofloom.plans.neighbours import nearest, rank_of
 COLUMNS = {"block": "b", "target": "id", "candidate": "id", "vector": "v"}
 
 
-class Table:
-    """Costs looked up by target and candidate number, both held in a one-number vector."""
+def table_cost(costs):
+    class Table:
+        """Costs looked up by target and candidate number, both held in a one-number vector."""
 
-    metric = False
+        metric = False
 
-    def __init__(self, costs):
-        self.costs = np.asarray(costs, dtype=float)
+        def __init__(self, costs):
+            self.costs = np.asarray(costs, dtype=float)
 
-    def matrix(self, targets, candidates):
-        return self.costs[targets[:, 0].astype(int)[:, None], candidates[:, 0].astype(int)[None, :]]
+        def matrix(self, targets, candidates):
+            return self.costs[targets[:, 0].astype(int)[:, None], candidates[:, 0].astype(int)[None, :]]
+
+    return Table(costs)
 
 
 def best_total(costs):
@@ -92,7 +95,7 @@ def test_tiles_give_exact_neighbours(spark, monkeypatch):
 def quarantine(spark, costs):
     costs = np.asarray(costs, dtype=float)
     rows = quarantine_assign(
-        points(spark, [[i] for i in range(costs.shape[0])]), points(spark, [[i] for i in range(costs.shape[1])]), Table(costs), **COLUMNS
+        points(spark, [[i] for i in range(costs.shape[0])]), points(spark, [[i] for i in range(costs.shape[1])]), table_cost(costs), **COLUMNS
     ).collect()
     held = {r["target"]: r["candidate"] for r in rows}
     return {t: c for t, c in held.items() if c is not None}, {t // 2 + 1 for t, c in held.items() if c is None}
