@@ -10,7 +10,7 @@ from . import query, table
 
 
 def registry(spark, folder) -> DataFrame:
-    """One project per nation; a look per customer, numbered over all, so only nation counts break density."""
+    """One project with a look per customer and seeded faults."""
     k, p = F.col("c_custkey"), F.col("c_custkey") + 1
     return table(spark, folder, "customer").select(
         F.lit(0).alias("project"), p.alias("position"),
