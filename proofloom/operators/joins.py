@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.notes import parse_card_label
+from ..functions.notes import parse_card_label, styling_text
 
 PLACEHOLDER_PREFIX = "__lbb_missing_"  # fixed value: names of deliberately empty photographs
 
@@ -150,3 +150,10 @@ def apply_manual(registry: DataFrame, manual: DataFrame, keys: list[str]) -> Dat
         registry.join(given, keys, "left").withColumn("applied", F.coalesce(applied, F.lit(False)))
         .withColumn("left_filename", left).withColumn("right_filename", right).withColumn("unresolved", empty).drop("_left", "_right")
     )
+
+
+def styling_warning(rows: DataFrame, observations: DataFrame, keys: list[str], proof_hash: str) -> DataFrame:
+    """Styling text of the observation made for exactly the confirmed card and proof, else null."""
+    seen = observations.select(*keys, proof_hash, styling_text(F.col("description")).alias("_styling"))
+    confirmed = F.col("visual_status") == "CONFIRMED"
+    return rows.join(seen, [*keys, proof_hash], "left").withColumn("warning", F.when(confirmed, F.col("_styling"))).drop("_styling")
