@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,10 +117,10 @@ def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id",
         spread = df.withColumn("cx", F.explode(steps("left", "right"))).withColumn("cy", F.explode(steps("bottom", "top")))
         square = {"left": F.col("cx") * cell, "bottom": F.col("cy") * cell, "right": (F.col("cx") + 1) * cell, "top": (F.col("cy") + 1) * cell}
         part = clip({side: F.col(side) for side in SIDES}, square)
-        whole = clip(square, sheet)
+        shown_square = clip(square, sheet)
         full = F.lit(True)
         for side in SIDES:
-            full = full & (part[side] == whole[side])
+            full = full & (part[side] == shown_square[side])
         return spread.select(page_key, "z", "cx", "cy", *[part[side].alias(side) for side in SIDES], full.alias("full")).where(
             (F.col("right") > F.col("left")) & (F.col("top") > F.col("bottom"))
         )
@@ -133,31 +135,40 @@ def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id",
     open_parts = marked.where(~below).drop("_fill", "full")
     open_shades = shades.where("not full").join(fills, place, "left").where(F.col("_fill").isNull() | (F.col("z") > F.col("_fill"))).drop("_fill", "full")
 
-    def measure(shown: pd.DataFrame, shade: pd.DataFrame) -> pd.DataFrame:
-        shade = shade.sort_values("z", ascending=False)
-        later_first = list(shade[["z", *SIDES]].itertuples(index=False, name=None))
-        covered = []
-        for z, *rectangle in shown[["z", *SIDES]].itertuples(index=False, name=None):
-            pieces = [tuple(rectangle)]
-            for later, *other in later_first:
-                if later <= z or not pieces:
-                    break
-                pieces = _uncovered(pieces, tuple(other))
-            whole = (rectangle[2] - rectangle[0]) * (rectangle[3] - rectangle[1])
-            covered.append(whole - sum((x1 - x0) * (y1 - y0) for x0, y0, x1, y1 in pieces))
-        return pd.DataFrame({page_key: shown[page_key], "z": shown["z"], "covered": covered})
-
-    key_type = dict(draws.dtypes)[page_key]
-    # Cells with nothing over the draw add no coverage; cogroup only where both sides exist.
-    both = open_shades.select(*place).distinct()
-    over = open_shades.select(*[F.col(name).alias(f"_{name}") for name in place], "z", *SIDES)
-    hidden_part = (
-        open_parts.join(both, place, "left_semi").groupBy(*place).cogroup(over.groupBy(*[f"_{name}" for name in place]))
-        .applyInPandas(measure, f"{page_key} {key_type}, z {dict(draws.dtypes)['z']}, covered double")
+    # A draw can only be hidden if later draws reach into cells that hold 95 % of it.
+    latest = shades.groupBy(*place).agg(F.max("z").alias("_latest"))
+    whole = candidates.select(page_key, "z", area.alias("area"))
+    reachable = (
+        parts.join(latest, place).where(F.col("z") < F.col("_latest")).groupBy(page_key, "z").agg(F.sum(area).alias("_reach"))
+        .join(whole, [page_key, "z"]).where(F.col("_reach") >= F.col("area") * OCCLUSION_COVERAGE).select(page_key, "z")
+    )
+    rectangle = F.struct("z", *SIDES)
+    shown = open_parts.join(reachable, [page_key, "z"], "left_semi").groupBy(*place).agg(F.collect_list(rectangle).alias("shown"))
+    over = open_shades.groupBy(*place).agg(F.sort_array(F.collect_list(rectangle), asc=False).alias("over"))
+    types = dict(draws.dtypes)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for key, targets, later_first in zip(batch[page_key], batch["shown"], batch["over"]):
+                later = [(o["z"], tuple(o[side] for side in SIDES)) for o in later_first]
+                for target in targets:
+                    x0, y0, x1, y1 = (target[side] for side in SIDES)
+                    pieces = [(x0, y0, x1, y1)]
+                    for z, other in later:
+                        if z <= target["z"] or not pieces:
+                            break
+                        pieces = _uncovered(pieces, other)
+                    left = sum((p[2] - p[0]) * (p[3] - p[1]) for p in pieces)
+                    found.append((key, target["z"], (x1 - x0) * (y1 - y0) - left))
+            yield pd.DataFrame(found, columns=[page_key, "z", "covered"])
+
+    hidden_part = shown.join(over, place).select(page_key, "shown", "over").mapInPandas(
+        measure, f"{page_key} {types[page_key]}, z {types['z']}, covered double"
     )
     coverage = hidden_whole.unionByName(hidden_part).groupBy(page_key, "z").agg(F.sum("covered").alias("covered"))
     hidden = (
-        candidates.withColumn("area", area).join(coverage, [page_key, "z"])
+        whole.join(coverage, [page_key, "z"])
         .where(F.col("covered") >= F.col("area") * OCCLUSION_COVERAGE).select(page_key, "z")
     )
     return on_page.select(*draws.columns).join(hidden, [page_key, "z"], "left_anti")
