@@ -29,4 +29,4 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import catalogue, checks, evidence, geometry, joins, matching, notes, operations, review, rollups  # noqa: F401
+    from . import catalogue, checks, evidence, files, geometry, joins, matching, notes, operations, review, rollups  # noqa: F401

@@ -91,8 +91,12 @@ class WeightedL1:
 
     def __init__(self, weights: list[float]):
         self.weights = np.asarray(weights, dtype=np.float64)
+        self.width = len(weights)
 
     def matrix(self, targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        if len(targets) <= self.width:
+            rows = [np.abs(candidates - target) @ self.weights for target in targets]
+            return np.stack(rows) if rows else np.zeros((0, len(candidates)))
         total = np.zeros((len(targets), len(candidates)))
         for dimension, weight in enumerate(self.weights):
             if weight:
@@ -112,6 +116,7 @@ class PageSignature:
 
     def __init__(self, bits: int, tones: int):
         self.distance = WeightedL1([float(self.BIT)] * bits + [1.0 / tones] * tones)
+        self.width = bits + tones
 
     def matrix(self, targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
         return self.distance.matrix(targets, candidates)

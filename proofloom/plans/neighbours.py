@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 TILE_ROWS = 2048
 TARGET_TILE_ROWS = 512
+TILE_NUMBERS = 1_000_000
 RINGS = 8
 SLACK = 1e-9
 
@@ -24,6 +25,11 @@ _TARGET = "struct<target:bigint,vec:array<float>,limit_cost:double,limit_id:bigi
 _CANDIDATE = "struct<candidate:bigint,vec:array<float>>"
 
 
+def _tile_rows(limit: int, cost) -> int:
+    """Rows of a tile, fewer the longer the vectors are."""
+    return max(1, min(limit, TILE_NUMBERS // getattr(cost, "width", 1)))
+
+
 def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(vector, dtype=np.float64) for vector in vectors])
 
@@ -62,7 +68,7 @@ def _candidate_cells(candidates: DataFrame, cost, pivots: np.ndarray | None) ->
 def _visits(targets: DataFrame, tiles: DataFrame, cost, pivots: np.ndarray | None, k: int) -> DataFrame:
     """Target tiles split by the candidate tiles they must visit."""
     per_block = tiles.groupBy("block").agg(F.collect_list(F.struct("pivot", "ring", "n", "low", "high", "splits")).alias("cells"))
-    sizes = targets.groupBy("block").agg(F.ceil(F.count("*") / TARGET_TILE_ROWS).alias("_parts"))
+    sizes = targets.groupBy("block").agg(F.ceil(F.count("*") / _tile_rows(TARGET_TILE_ROWS, cost)).alias("_parts"))
     member = F.struct("target", "vec", "limit_cost", "limit_id").alias("member")
     grouped = (
         targets.join(sizes, "block")
@@ -111,7 +117,7 @@ def _tile_pairs(targets: DataFrame, candidates: DataFrame, cost, k: int, pivot_c
     cells = _candidate_cells(candidates, cost, pivots)
     tiles = cells.groupBy("block", "pivot", "ring").agg(
         F.count("*").alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high"),
-        F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("splits"),
+        F.ceil(F.count("*") / _tile_rows(TILE_ROWS, cost)).cast("int").alias("splits"),
     )
     packed = (
         cells.join(tiles.select("block", "pivot", "ring", "splits"), ["block", "pivot", "ring"])

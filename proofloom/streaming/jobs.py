@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -124,18 +124,17 @@ def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
 def upsert_credits(refreshes: DataFrame, existing: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Apply each micro-batch of refreshed credits to the stored map; one version of it per batch.
 
-    A batch reads the version before its own id and writes its own, so a batch that is run again
-    after a failure gives the same result.
+    Each micro-batch is one whole refresh.  It reads the version before its own id and writes its
+    own, so a batch that is run again after a failure gives the same result.
     """
     spark = existing.sparkSession
-    existing.write.parquet(f"{folder}/version=start")
-    latest: list[str] = [f"{folder}/version=start"]
+    existing.write.mode("overwrite").parquet(f"{folder}/before=0")
+    applied = [0]
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        stored = batch.sparkSession.read.parquet(latest[-1])
-        target = f"{folder}/version={batch_id}"
-        merge_with_override(stored, batch, keys).write.mode("overwrite").parquet(target)
-        latest.append(target)
+        stored = batch.sparkSession.read.parquet(f"{folder}/before={batch_id}")
+        merge_with_override(stored, batch, keys).write.mode("overwrite").parquet(f"{folder}/before={batch_id + 1}")
+        applied.append(batch_id + 1)
 
     _available_now(refreshes.writeStream.foreachBatch(apply), f"{folder}/progress")
-    return spark.read.parquet(latest[-1])
+    return spark.read.parquet(f"{folder}/before={applied[-1]}")
