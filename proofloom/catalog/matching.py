@@ -175,18 +175,17 @@ def search_quality(spark, folder):
     WITH p AS (SELECT block, target, candidate, {SQL_DIRECT} AS cost FROM ({SQL_LOOK_PAIRS})),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY cost, candidate) AS rank FROM p),
     b AS (SELECT target, min(cost) AS best, min(CASE WHEN rank = 2 THEN cost END) AS second FROM r GROUP BY 1)
-    SELECT block, r.target, candidate, round(round(cost, 7), 6) AS selected_score, round(round(best, 7), 6) AS best_score,
-           round(round(second, 7), 6) AS second_score, rank, round(round(second - best, 7), 6) AS margin, rank <> 1 OR round(cost, 7) > 0.12 OR round(second - best, 7) < 0.0045 AS needs_review
+    SELECT block, r.target, candidate, round(cost, 7) AS selected_score, round(best, 7) AS best_score, round(second, 7) AS second_score, rank,
+           round(second - best, 7) AS margin, rank <> 1 OR round(cost, 7) > 0.12 OR round(second - best, 7) < 0.0045 AS needs_review
     FROM r JOIN b USING (target) WHERE candidate = r.target * 6 + 2
 """)
 def rank_margins(spark, folder):
     looks, cards = looks_and_cards(spark, folder)
     cost = vectors.LookPair(VIEW_WEIGHTS, LOOKS_WEIGHTS)
     selected = expected_pairs(spark, folder).select(F.col("project").alias("block"), F.col("look").alias("target"), F.col("card").alias("candidate"), "cost")
-    judged = matching.rank_margin(
+    return matching.rank_margin(
         selected, expected_ranks(spark, folder), nearest(looks, cards, cost, 2, **BY_PROJECT), 0.12, matching.CARD_MARGIN, rounded=True
     )
-    return judged.select("block", "target", "candidate", "rank", "needs_review", *[F.round(c, 6).alias(c) for c in ("selected_score", "best_score", "second_score", "margin")])
 
 
 def photos(spark, folder) -> tuple[DataFrame, DataFrame]:

@@ -165,7 +165,7 @@ def streamed_distinct_assets(spark, folder):
     schema = table(spark, folder, "documents").schema
     documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
     identity = documents.select(
-        F.octet_length("text").cast("bigint").alias("length"), F.sha2("text", 256).alias("sha256"), F.timestamp_seconds("doc_id").alias("at")
+        F.octet_length("text").cast("bigint").alias("length"), F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.col("doc_id") + 1).alias("at")
     )
     return jobs.drain(jobs.first_arrivals(identity, "at", "3650 days")).select("length", "sha256")
 
