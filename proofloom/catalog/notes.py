@@ -34,9 +34,10 @@ SQL_NOTES = "SELECT doc_id, text || chr(10) || CASE doc_id % 5 " + " ".join(
 SQL_LABEL = r"(?:^|[^\pL\pN_])(" + "|".join(notes.LABELS) + r")\s*[:=]\s*([^;\n]*)(?:;|$)"
 
 
-def sql_word_pattern(pattern: str) -> str:
-    """The dictionary pattern with Unicode word edges in RE2 syntax."""
-    return sql_text("(?i)" + pattern.replace(r"\b(?:", r"(?:^|[^\pL\pN_])(?:").replace(r")\b", r")(?:[^\pL\pN_]|$)"))
+def sql_cue_pattern(category: str) -> str:
+    """Words with Unicode edges, phrases and stems of a category in RE2 syntax."""
+    words = notes.CUE_WORDS[category] + (["full[- ]length", "side[- ]pose"] if category == "pose" else [])
+    return sql_text(rf"(?:^|[^\pL\pN_])(?:{'|'.join(words)})(?:[^\pL\pN_]|$)|{notes.CUE_STEMS[category]}")
 
 
 SQL_GROUNDED = (
@@ -55,7 +56,7 @@ SQL_CATEGORIES = f"""
             array_to_string(list_transform(generate_series(1, len(pieces)), lambda i: pieces[i] || ' ' ||
                 CASE WHEN i <= len(vals) AND {SQL_GROUNDED.format(v='vals[i]')} THEN vals[i] ELSE '' END), ' ') AS prose FROM s),
     c AS (SELECT doc_id, note, list_sort(list_distinct(list_concat(named, list_filter([{', '.join(
-        f"CASE WHEN regexp_matches(prose, {sql_word_pattern(pattern)}) THEN '{name}' END" for name, pattern in notes.CUE_PATTERNS.items()
+        f"CASE WHEN regexp_matches(prose, {sql_cue_pattern(name)}) THEN '{name}' END" for name in notes.CUE_WORDS
     )}], lambda x: x IS NOT NULL)))) AS categories FROM p)
 """
 
@@ -64,9 +65,9 @@ SQL_CATEGORIES = f"""
     SELECT doc_id, array_to_string(categories, ',') AS categories, len(categories) >= 2 AND length(trim(note)) >= 28 AS specific FROM c
 """)
 def cue_categories(spark, folder):
-    return labelled_notes(spark, folder).select(
-        "doc_id", F.array_join(notes.cue_categories(F.col("note")), ",").alias("categories"),
-        notes.note_is_specific(F.col("note")).alias("specific"),
+    found = labelled_notes(spark, folder).select("doc_id", F.char_length(F.trim("note")).alias("chars"), notes.cue_categories(F.col("note")).alias("found"))
+    return found.select(
+        "doc_id", F.array_join("found", ",").alias("categories"), ((F.size("found") >= 2) & (F.col("chars") >= notes.SPECIFIC_CHARS)).alias("specific")
     )
 
 
@@ -116,7 +117,7 @@ def stable_errors(spark, folder):
     WITH d AS (SELECT conv_id, turn, text, turn % 3 <> 2 AS verdict, turn % 4 = 3 AS contradicted, turn % 2 = 0 AS labelled FROM conversations),
     e AS (SELECT *, CASE WHEN labelled THEN 'garment=white blazer; bag=black tote; ' || text ELSE text END AS raw_note FROM d),
     n AS (SELECT *, {sql_squash("replace(raw_note, '||', ';')")} AS clean,
-          labelled OR {' + '.join(f"CASE WHEN regexp_matches(lower(text), {sql_word_pattern(p)}) THEN 1 ELSE 0 END" for p in notes.CUE_PATTERNS.values())} >= 2 AS two FROM e),
+          labelled OR {' + '.join(f"CASE WHEN regexp_matches(lower(text), {sql_cue_pattern(c)}) THEN 1 ELSE 0 END" for c in notes.CUE_WORDS)} >= 2 AS two FROM e),
     j AS (SELECT *, verdict AND NOT contradicted AS accepted FROM n),
     r AS (SELECT conv_id, turn, accepted, CASE WHEN accepted THEN clean || CASE WHEN turn % 5 = 1 THEN ' Проверить товары: scarf; belt' ELSE '' END ELSE trim(raw_note, chr(10) || ' ') END AS note,
           CASE WHEN turn = 7 THEN 'not requested' WHEN accepted AND NOT (two AND length(trim(raw_note)) >= 28) THEN 'vague note' WHEN accepted AND length(clean) < 25 THEN 'short note' END AS error FROM j

@@ -5,34 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import sanitize_note, strip_ws
-
-# The visual categories of a note and the words that name them.
-CUE_PATTERNS = {
-    "model": r"(?:\b(?:model|woman|man|female|male|person)\b|модел|женщин|мужчин|девушк|парен)",
+from .text import WHITESPACE, sanitize_note, strip_ws
+
+# The visual categories of a note, the whole English words and the Russian stems that name them.
+CUE_WORDS = {
+    "model": ["model", "woman", "man", "female", "male", "person"],
+    "garment": [
+        "coat", "trench", "jacket", "blazer", "shirt", "top", "dress", "skirt", "trouser", "pants", "jeans", "shorts", "jumpsuit",
+        "vest", "suit", "cardigan", "hoodie", "sweater", "polo", "swimwear", "bikini", "bodysuit", "gown", "cape", "poncho",
+        "shearling", "turtleneck", "pullover",
+    ],
+    "colour": [
+        "black", "white", "grey", "gray", "brown", "beige", "pink", "blue", "red", "green", "yellow", "orange", "purple", "gold",
+        "silver", "denim", "colour", "color", "mustard", "burgundy", "khaki", "cream", "navy", "ivory", "camel",
+    ],
+    "bag": ["bag", "tote", "clutch", "pouch", "handbag", "crossbody"],
+    "shoes": ["shoe", "shoes", "sandal", "boot", "sneaker", "heel", "loafer", "pump", "ballet", "trainer"],
+    "accessory": [
+        "glasses", "sunglasses", "scarf", "belt", "bracelet", "necklace", "earring", "hat", "cap", "jewelry", "jewellry", "watch",
+    ],
+    "pose": ["standing", "seated", "sitting", "pose"],
+}
+CUE_STEMS = {
+    "model": "модел|женщин|мужчин|девушк|парен",
     "garment": (
-        r"(?:\b(?:coat|trench|jacket|blazer|shirt|top|dress|skirt|trouser|pants|jeans|shorts|jumpsuit|vest|suit|cardigan|"
-        r"hoodie|sweater|polo|swimwear|bikini|bodysuit|gown|cape|poncho|shearling|turtleneck|pullover)\b|"
-        r"пальто|плащ|куртк|жакет|пиджак|рубаш|топ|плать|юбк|брюк|джинс|шорт|комбинез|жилет|костюм|кардиган|худи|свитер|"
-        r"поло|купаль|боди|накидк|пончо|дубл[её]н|водолаз|джемпер)"
+        "пальто|плащ|куртк|жакет|пиджак|рубаш|топ|плать|юбк|брюк|джинс|шорт|комбинез|жилет|костюм|кардиган|худи|свитер|"
+        "поло|купаль|боди|накидк|пончо|дубл[её]н|водолаз|джемпер"
     ),
     "colour": (
-        r"(?:\b(?:black|white|grey|gray|brown|beige|pink|blue|red|green|yellow|orange|purple|gold|silver|denim|colour|color|"
-        r"mustard|burgundy|khaki|cream|navy|ivory|camel)\b|"
-        r"ч[её]рн|бел|сер|корич|беж|розов|син|голуб|красн|зел[её]н|желт|оранж|фиолет|золот|серебр|деним|цвет|горчич|бордов|"
-        r"хаки|кремов|молочн|ж[её]лт)"
-    ),
-    "bag": r"(?:\b(?:bag|tote|clutch|pouch|handbag|crossbody)\b|сумк|клатч|тоут|ридикюл)",
-    "shoes": (
-        r"(?:\b(?:shoe|shoes|sandal|boot|sneaker|heel|loafer|pump|ballet|trainer)\b|"
-        r"туфл|босонож|ботин|сапог|кроссов|лофер|балетк|обув)"
+        "ч[её]рн|бел|сер|корич|беж|розов|син|голуб|красн|зел[её]н|желт|оранж|фиолет|золот|серебр|деним|цвет|горчич|бордов|"
+        "хаки|кремов|молочн|ж[её]лт"
     ),
-    "accessory": (
-        r"(?:\b(?:glasses|sunglasses|scarf|belt|bracelet|necklace|earring|hat|cap|jewell?ry|watch)\b|"
-        r"очк|шарф|платок|рем[её]н|браслет|колье|серьг|шляп|кепк|украшен|час[ыов])"
-    ),
-    "pose": r"(?:\b(?:standing|seated|sitting|full[- ]length|side[- ]pose|pose)\b|в\s+полный\s+рост|сидит|стоит|поза)",
+    "bag": "сумк|клатч|тоут|ридикюл",
+    "shoes": "туфл|босонож|ботин|сапог|кроссов|лофер|балетк|обув",
+    "accessory": "очк|шарф|платок|рем[её]н|браслет|колье|серьг|шляп|кепк|украшен|час[ыов]",
+    "pose": r"в\s+полный\s+рост|сидит|стоит|поза",
 }
+CUE_PHRASES = {"pose": r"(?U)\b(?:full[- ]length|side[- ]pose)\b"}
 LABELS = ["model", "garment", "clothing", "colour", "color", "bag", "shoes", "accessory", "accessories", "pose"]
 LABEL_ALIASES = {"color": "colour", "accessories": "accessory", "clothing": "garment"}
 FILLERS = [
@@ -42,9 +51,12 @@ NEGATIVE_NOTE = (
     r"(?iu)no (?:shown |supplied |visible )?card matches|none (?:of .*? )?match|(?:card|outfit) (?:does not|doesn't) match|"
     r"нет (?:подходящ|совпадающ)|ни одн[\p{L}\p{N}_]*.*не совпад"
 )
+SPECIFIC_CHARS = 28
 STYLING_MARKER = "Проверить товары:"
 
-LABELLED = r"(?Ud)\b(" + "|".join(LABELS) + r")\s*[:=]\s*([^;\n]*)(?:;|$)"
+LABELLED = (
+    r"(?d)(?<![\p{L}\p{N}_])(" + "|".join(LABELS) + f"){WHITESPACE}*[:=]{WHITESPACE}*" + r"([^;\n]*)(?:;|$)"
+)
 
 
 def _grounded(value: Column) -> Column:
@@ -53,31 +65,55 @@ def _grounded(value: Column) -> Column:
     )
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _dictionary_cues(prose: Column) -> Column:
+    """Categories named by a whole word, or by a stem where the text has Cyrillic letters at all."""
+    tokens = F.split(prose, r"[^\p{L}\p{N}_]+")
+    cyrillic = prose.rlike("[а-яё]")
+    # Stems are tried only where a Cyrillic letter stands.
+    stem = lambda category: prose.rlike(f"(?=[а-яё])(?:{CUE_STEMS[category]})")
+
+    def named(words: Column) -> Column:
+        hits = []
+        for category, known in CUE_WORDS.items():
+            hit = F.arrays_overlap(words, F.array(*[F.lit(word) for word in known]))
+            if category in CUE_PHRASES:
+                hit = hit | prose.rlike(CUE_PHRASES[category])
+            hits.append(F.when(hit | (cyrillic & stem(category)), category))
+        return F.array(*hits)
+
+    return _let(tokens, named)
+
+
 def cue_categories(note: Column) -> Column:
     """Sorted visual categories a note names, by grounded label or by dictionary word.
 
     Labelled spans give their value to the dictionary search, or nothing when it is a filler.
     """
-    lowered = F.lower(note)
-    names = F.regexp_extract_all(lowered, F.lit(LABELLED), F.lit(1))
-    values = F.transform(F.regexp_extract_all(lowered, F.lit(LABELLED), F.lit(2)), strip_ws)
     aliases = F.create_map(*[F.lit(word) for pair in LABEL_ALIASES.items() for word in pair])
-    named = F.zip_with(
-        names, values, lambda name, value: F.when(_grounded(value), F.coalesce(F.try_element_at(aliases, name), name))
-    )
-    pieces = F.zip_with(
-        F.split(lowered, LABELLED, -1), values,
-        lambda piece, value: F.concat(piece, F.when(_grounded(value), value).otherwise("")),
-    )
-    prose = F.array_join(pieces, "")
-    words = F.transform(
-        F.array(prose),
-        lambda text: F.array(*[F.when(text.rlike("(?iuU)" + pattern), name) for name, pattern in CUE_PATTERNS.items()]),
-    )[0]
-    return F.array_sort(F.array_distinct(F.array_compact(F.concat(named, words))))
+
+    def from_text(lowered: Column) -> Column:
+        spans = F.regexp_extract_all(lowered, F.lit(LABELLED), F.lit(0))
+        names = F.transform(spans, lambda span: F.regexp_extract(span, "^[a-z]+", 0))
+        raw = F.transform(spans, lambda span: F.regexp_extract(span, "^[^:=]*[:=]([^;]*)", 1))
+        # A value that says nothing becomes an empty string.
+        values = F.transform(raw, lambda value: _let(strip_ws(value), lambda text: F.when(_grounded(text), text).otherwise("")))
+
+        def from_labels(grounded: Column) -> Column:
+            labelled = F.zip_with(names, grounded, lambda name, value: F.when(value != "", F.coalesce(F.try_element_at(aliases, name), name)))
+            pieces = F.zip_with(F.split(lowered, LABELLED, -1), grounded, lambda piece, value: F.concat(piece, F.coalesce(value, F.lit(""))))
+            return F.concat(labelled, _let(F.array_join(pieces, ""), _dictionary_cues))
+
+        return F.when(lowered.rlike("[:=]"), _let(values, from_labels)).otherwise(_dictionary_cues(lowered))
+
+    return F.array_sort(F.array_distinct(F.array_compact(_let(F.lower(note), from_text))))
 
 
-def note_is_specific(note: Column, minimum: int = 28) -> Column:
+def note_is_specific(note: Column, minimum: int = SPECIFIC_CHARS) -> Column:
     return (F.char_length(strip_ws(note)) >= minimum) & (F.size(cue_categories(note)) >= 2)
 
 
