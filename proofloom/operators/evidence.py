@@ -87,26 +87,25 @@ def history_breaks(revisions: DataFrame, keys: list[str], revision: str, before:
 def diff_declared_only(baseline: DataFrame, actual: DataFrame, declared: DataFrame, keys: list[str], position: str, values: list[str]) -> DataFrame:
     """Keys that changed without being declared, or not as declared.
 
-    Rows are compared place by place, so no key's rows are gathered.  ``declared``: keys,
+    Each input is read once and reduced place by place, so no key's rows are gathered.  ``declared``: keys,
     position and values that the declared keys must have afterwards.
     """
-    places = [*keys, position]
-    marked = declared.select(*keys).distinct()
-    row = F.struct(*values)
-    expected = baseline.join(marked, keys, "left_anti").select(*places, row.alias("_expected")).unionByName(
-        declared.select(*places, row.alias("_expected"))
+    sides = {"b": baseline, "a": actual, "d": declared}
+
+    def tagged(side: str) -> DataFrame:
+        row = F.struct(*values)
+        return sides[side].select(*keys, position, *[(row if name == side else F.lit(None)).alias(f"_{name}") for name in sides])
+
+    by_place = union_all([tagged(side) for side in sides]).groupBy(*keys, position).agg(*[F.max(f"_{name}").alias(f"_{name}") for name in sides])
+    per_key = by_place.groupBy(*keys).agg(
+        *[F.bool_or(F.col(f"_{name}").isNotNull()).alias(f"_has_{name}") for name in sides],
+        F.bool_or(~F.col("_b").eqNullSafe(F.col("_a"))).alias("_changed"), F.bool_or(~F.col("_d").eqNullSafe(F.col("_a"))).alias("_undone"),
+    )
+    problem = (
+        F.when(~F.col("_has_b") & F.col("_has_a"), "key added").when(F.col("_has_b") & ~F.col("_has_a"), "key lost")
+        .when(F.col("_has_d") & F.col("_undone"), "not as declared").when(~F.col("_has_d") & F.col("_changed"), "undeclared change")
     )
-    joined = expected.join(actual.select(*places, row.alias("_actual")), places, "full_outer")
-    wrong = joined.where(~F.col("_expected").eqNullSafe(F.col("_actual"))).select(*keys).distinct()
-    known, present = baseline.select(*keys).distinct(), actual.select(*keys).distinct()
-    lost = known.join(present, keys, "left_anti")
-    gained = present.join(known, keys, "left_anti")
-    inner = wrong.join(lost, keys, "left_anti").join(gained, keys, "left_anti")
-    tag = lambda df, name: df.select(*keys, F.lit(name).alias("problem"))
-    return union_all([
-        tag(inner.join(marked, keys, "left_anti"), "undeclared change"), tag(inner.join(marked, keys, "left_semi"), "not as declared"),
-        tag(lost, "key lost"), tag(gained, "key added"),
-    ])
+    return per_key.select(*keys, problem.alias("problem")).where(F.col("problem").isNotNull())
 
 
 ATTESTATION = ["sha256", "page_count", "verified_at"]
