@@ -72,7 +72,8 @@ def _let(value: Column, body) -> Column:
 
 def _dictionary_cues(prose: Column) -> Column:
     """Categories named by a whole word, or by a stem where the text has Cyrillic letters at all."""
-    tokens = F.split(prose, r"[^\p{L}\p{N}_]+")
+    every_word = F.array(*[F.lit(word) for words in CUE_WORDS.values() for word in words])
+    known_words = F.array_intersect(F.split(prose, r"[^\p{L}\p{N}_]+"), every_word)
     cyrillic = prose.rlike("[а-яё]")
     # Stems are tried only where a Cyrillic letter stands.
     stem = lambda category: prose.rlike(f"(?=[а-яё])(?:{CUE_STEMS[category]})")
@@ -86,7 +87,7 @@ def _dictionary_cues(prose: Column) -> Column:
             hits.append(F.when(hit | (cyrillic & stem(category)), category))
         return F.array(*hits)
 
-    return _let(tokens, named)
+    return _let(known_words, named)
 
 
 def cue_categories(note: Column) -> Column:
