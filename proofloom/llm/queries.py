@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, sentencepieces
+from . import language, mixing, quality_classifier, quality_rules, sentencepieces, toxicity
+from .common import in_fold
 
 QUERIES = {}
 ORACLES = {}
@@ -28,6 +29,13 @@ def table(spark, folder: str, name: str) -> DataFrame:
 _PHRASES = "|".join(quality_rules.BOILERPLATE)
 
 
+@query("op1_language_id")
+def op1_language_id(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+    model = language.fit_language_model(docs.where(~F.col("held_out")))
+    return language.identify_languages(docs, model, keep=("held_out",))
+
+
 @query("op2_quality_rules", rf"""
     WITH lines AS (SELECT doc_id, rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
                    FROM (SELECT *, row_number() OVER () AS rid FROM documents)),
@@ -82,3 +90,17 @@ def op4_mixing(spark, folder):
 @query("op5_sentencepiece")
 def op5_sentencepiece(spark, folder):
     return sentencepieces.encode_documents(table(spark, folder, "documents"), outputs=("ids_sha256", "decoded_sha256"))
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", in_fold(F.col("doc_id"), 4, 2))
+    labelled = quality_classifier.labelled_texts(docs.where(~F.col("held_out")), table(spark, folder, "labels"), "quality")
+    return quality_classifier.score_quality(docs, quality_classifier.fit_quality_model(labelled), keep=("held_out",))
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
+    labelled = quality_classifier.labelled_texts(docs.where(~F.col("held_out")), table(spark, folder, "labels"), "toxic")
+    return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(labelled), keep=("held_out",))
