@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language, mixing, quality_classifier, quality_rules, sentencepieces, toxicity
+from . import language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, toxicity
 from .common import in_fold
 
 QUERIES = {}
@@ -104,3 +104,8 @@ def op7_toxicity(spark, folder):
     docs = table(spark, folder, "documents").withColumn("held_out", in_fold(F.col("doc_id"), 5, 0))
     labelled = quality_classifier.labelled_texts(docs.where(~F.col("held_out")), table(spark, folder, "labels"), "toxic")
     return toxicity.score_toxicity(docs, toxicity.fit_toxicity_model(labelled), keep=("held_out",))
+
+
+@query("op10_ngram_jaccard_join")
+def op10_ngram_jaccard_join(spark, folder):
+    return ngram_join.similar_classes(table(spark, folder, "documents"))
