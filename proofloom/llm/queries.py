@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, toxicity
+from . import language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
 from .common import in_fold
 
 QUERIES = {}
@@ -109,3 +109,15 @@ def op7_toxicity(spark, folder):
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, folder):
     return ngram_join.similar_classes(table(spark, folder, "documents"))
+
+
+@query("op9_vector_search")
+def op9_vector_search(spark, folder):
+    return vector_search.nearest_vectors(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op3_sharding")
+def op3_sharding(spark, folder):
+    placed = sharding.pack_shards(table(spark, folder, "documents"))
+    law = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
+    return placed.select("doc_id", "size", "text_crc32", *law)
