@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
+from . import html_extraction, language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
 from .common import in_fold
 
 QUERIES = {}
@@ -121,3 +121,9 @@ def op3_sharding(spark, folder):
     placed = sharding.pack_shards(table(spark, folder, "documents"))
     law = [F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")]
     return placed.select("doc_id", "size", "text_crc32", *law)
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark, folder):
+    pages = html_extraction.extract_main_text(table(spark, folder, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("bigint"))
