@@ -30,7 +30,7 @@ def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(*columns), F.lit(HASH_RANGE)) < int(HASH_RANGE * (rows / held)))
 
 
-def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
     """Apply a kernel to every Arrow batch; a batch in, a batch out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,3 +45,13 @@ def record(**columns) -> pa.RecordBatch:
     """A batch from named arrays or (values, type) pairs."""
     arrays = {name: pa.array(*held) if isinstance(held, tuple) else held for name, held in columns.items()}
     return pa.RecordBatch.from_arrays(list(arrays.values()), names=list(arrays))
+
+
+def keep_rows(docs: DataFrame, text: str, wanted: Callable[[str | None], bool]) -> DataFrame:
+    """The rows, with all their columns, whose text is wanted."""
+    place = docs.columns.index(text)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([wanted(t) for t in batch.column(place).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, kernel, docs.schema)

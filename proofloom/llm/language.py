@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
-from .common import HASH_RANGE, map_batches, record
+from .common import HASH_RANGE, keep_rows, map_batches, record
 
 #: Texts per language that the model is fitted on, at most (a hash of the text chooses them).
 FIT_TEXTS = 2_000
@@ -177,3 +177,14 @@ def identify_languages(docs: DataFrame, model: LanguageModel, *, key: str = "doc
     read = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
     return map_batches(read, kernel, f"{kept}, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, *, text: str = "text", min_score: float = MIN_SCORE) -> DataFrame:
+    """The documents, with all their columns, whose language is found with at least ``min_score``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def wanted(held: str | None) -> bool:
+        found, score = predict(shared.value, held)
+        return found != UNDETERMINED and score >= min_score
+
+    return keep_rows(docs, text, wanted)

@@ -91,11 +91,12 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
     The rates are joined to the documents by source (one small row each), so texts are not shuffled.
     """
-    sources = docs.select(F.col(source).alias("_source"), words_in(F.col(text)).alias("_size")).groupBy("_source").agg(F.sum("_size").alias("source_size"))
-    weighed = cyclic_weights(sources.withColumnRenamed("_source", "source"), "source")
-    rates = source_targets(weighed, repeats).select(F.col("source").alias("_source"), F.col("rate").alias("_rate"))
+    whole = docs.select(F.struct("*").alias("doc"))  # so that no column of theirs clashes with ours
+    held = F.col("doc")
+    sizes = whole.select(held[source].alias("source"), words_in(held[text]).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"))
+    rates = source_targets(cyclic_weights(sizes, "source"), repeats).select("source", "rate")
     rates = broadcast_if_small(cut_lineage(rates), BROADCAST_SOURCES)
-    rated = docs.join(rates, docs[source].eqNullSafe(F.col("_source")))
-    extra = (hash_share(docs[key], seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    copies = F.array_repeat(F.lit(0), (F.floor("_rate") + extra).cast("int"))
-    return rated.withColumn("_copy", F.explode(copies)).select(*[docs[c] for c in docs.columns])
+    rated = whole.join(rates, held[source].eqNullSafe(F.col("source")))
+    extra = (hash_share(held[key], seed) < F.col("rate") - F.floor("rate")).cast("int")
+    copies = F.array_repeat(F.lit(0), (F.floor("rate") + extra).cast("int"))
+    return rated.select("doc", F.explode(copies)).select("doc.*")

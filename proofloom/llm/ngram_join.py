@@ -112,20 +112,20 @@ def frequent_tokens(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
 
 
 def _sets(docs: DataFrame, key: str, text: str, words: int, percent: int, frequent) -> DataFrame:
-    """doc_id, n_shingles, node (null without shingles) and the first tokens, packed."""
+    """doc_id, text_hash, n_shingles, node (null without shingles) and the first tokens, packed."""
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         often, rank = frequent.value
         n, nodes, first = [], [], []
-        for t in batch.column(1).to_pylist():
+        for t in batch.column(2).to_pylist():
             tokens = shingles(t, words)
             n.append(len(tokens))
             nodes.append(_node(tokens) if len(tokens) else None)
             first.append(first_tokens(tokens, often, rank, percent).tobytes() if len(tokens) else None)
-        return record(doc_id=batch.column(0), n_shingles=(n, pa.int64()), node=(nodes, pa.int64()), first=(first, pa.binary()))
+        return record(doc_id=batch.column(0), text_hash=batch.column(1), n_shingles=(n, pa.int64()), node=(nodes, pa.int64()), first=(first, pa.binary()))
 
-    read = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    return map_batches(read, kernel, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, n_shingles bigint, node bigint, first binary")
+    read = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    return map_batches(read, kernel, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, text_hash bigint, n_shingles bigint, node bigint, first binary")
 
 
 def _shared_lists(sets: DataFrame, buckets: int) -> DataFrame:
@@ -363,7 +363,7 @@ def _placed(labels: DataFrame, sets: DataFrame) -> DataFrame:
 def similar_classes(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, broadcast_nodes: int = BROADCAST_NODES
 ) -> DataFrame:
-    """One row per document: doc_id, n_shingles and component_id, the smallest doc_id that links lead to.
+    """One row per document: doc_id, text_hash, n_shingles and component_id, the smallest doc_id that links lead to.
 
     Texts that are null or without words have no shingles and no links; their component is their own id.  Equal
     sets are linked.  Nulls among the ids lose against any other id of the class.  Repeated rows give a row each;
@@ -390,4 +390,28 @@ def similar_classes(
     named = least.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
     named = named.select("node", "class").join(smallest, "class").select("node", "component_id")
-    return sets.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return sets.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, without those similar to one that stays: the smallest id of each class.
+
+    A row is known by its id and a hash of its text; of rows equal in both the smallest in its other columns stays.
+    Documents without words stay, each of them.
+    """
+    classes, _ = written_table(similar_classes(docs, key=key, text=text, words=words, percent=percent).where("n_shingles > 0"))
+    rows = classes.groupBy("doc_id", "text_hash", "component_id").count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
+    stays = rows.groupBy("component_id").agg(first.alias("first"))
+    judged = rows.join(stays.withColumnRenamed("component_id", "_class"), F.col("component_id").eqNullSafe(F.col("_class")))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    judged, _ = written_table(judged.select("doc_id", "text_hash", "count", is_first.alias("stays")))
+    whole = docs.select(F.struct("*").alias("doc"))
+    this = F.col("doc")[key].eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.col("doc")[text]) == F.col("text_hash"))
+    kept = whole.join(broadcast_if_small(judged.where("NOT stays").select("doc_id", "text_hash")), this, "left_anti")
+    twins = judged.where("stays AND count > 1").select("doc_id", "text_hash")
+    if not twins.isEmpty():
+        twins = broadcast_if_small(twins)
+        same = kept.join(twins, this, "left_semi").groupBy(F.col("doc")[key], F.xxhash64(F.col("doc")[text])).agg(F.min("doc").alias("doc"))
+        kept = kept.join(twins, this, "left_anti").unionByName(same.select("doc"))
+    return kept.select("doc.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
-from .common import bounded_sample, map_batches, record
+from .common import bounded_sample, keep_rows, map_batches, record
 
 BUCKETS = 1 << 16
 #: Rows of each class in the sample for the hinge-loss fit, at most.
@@ -191,3 +191,9 @@ def score_quality(docs: DataFrame, model: QualityModel, *, key: str = "doc_id",
     read = docs.select(F.col(key).alias("doc_id"), *keep, F.col(text).alias("_text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in read.schema.fields[:-1])
     return map_batches(read, kernel, f"{kept}, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: QualityModel, *, text: str = "text", threshold: float) -> DataFrame:
+    """The documents, with all their columns, that score at least ``threshold``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return keep_rows(docs, text, lambda held: shared.value.score(held) >= threshold)

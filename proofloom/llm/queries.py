@@ -108,7 +108,7 @@ def op7_toxicity(spark, folder):
 
 @query("op10_ngram_jaccard_join")
 def op10_ngram_jaccard_join(spark, folder):
-    return ngram_join.similar_classes(table(spark, folder, "documents"))
+    return ngram_join.similar_classes(table(spark, folder, "documents")).drop("text_hash")
 
 
 @query("op9_vector_search")

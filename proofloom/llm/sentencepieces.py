@@ -16,8 +16,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
+from array import array
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import sentencepiece
@@ -144,8 +146,8 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = MergeVocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.young: dict[str, tuple[int, str, str, bytes]] = {}
+        self.old: dict[str, tuple[int, str, str, bytes]] = {}
 
     def same_as_library(self, segments: list[str], encoded: list[list[int]]) -> None:
         """Compare segments in one call: each is given so that the library puts the same mark before it."""
@@ -165,8 +167,8 @@ class Encoder:
             if text and (their[head:] != ids or back != vocabulary.decode(their)):
                 raise Differs(f"segment {s!r}: {ids} here, {their[head:]} in the library")
 
-    def segments(self, texts: list[str], verify: bool) -> list[list[tuple[int, str, str]]]:
-        """For each text its segments as (number of ids, the ids as text, decoded text)."""
+    def segments(self, texts: list[str], verify: bool) -> list[list[tuple[int, str, str, bytes]]]:
+        """For each text its segments as (number of ids, the ids as text, decoded text, the ids as 32-bit numbers)."""
         vocabulary, young, old = self.vocabulary, self.young, self.old
         if len(young) > MEMO_SEGMENTS:
             self.old = old = young
@@ -187,7 +189,7 @@ class Encoder:
         if verify:
             self.same_as_library(new, encoded)
         for s, ids in zip(new, encoded):
-            here[s] = (len(ids), ",".join(map(str, ids)), vocabulary.decode_ids(ids))
+            here[s] = (len(ids), ",".join(map(str, ids)), vocabulary.decode_ids(ids), array("i", ids).tobytes())
             if len(s) <= MEMO_CHARACTERS:
                 young[s] = here[s]
         find = here.__getitem__
@@ -226,28 +228,31 @@ def encode_documents(
     types = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     marked = bool(MergeVocabulary(model or default_model()).prefix)
 
-    def digest(parts: list[str]) -> str:
-        return hashlib.sha256("".join(parts).encode("utf-8")).hexdigest()
+    def digest(text: str) -> str:
+        return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = encoder(model or default_model())
         rows: dict[str, list] = {name: [] for name in ("n_tokens", *outputs)}
         for texts in blocks([t or "" for t in batch.column(1).to_pylist()]):
             for t, found in zip(texts, held.segments(texts, verify == "segments")):
-                rows["n_tokens"].append(sum(f[0] for f in found))
-                ids = ",".join([f[1] for f in found])
-                decoded = "".join([f[2] for f in found])
+                rows["n_tokens"].append(sum([f[0] for f in found]))
+                ids = ",".join([f[1] for f in found]) if verify == "texts" or "ids_sha256" in outputs else ""
+                decoded = "".join([f[2] for f in found]) if verify == "texts" or not {"decoded", "decoded_sha256"}.isdisjoint(outputs) else ""
                 if marked and decoded.startswith(" "):
                     decoded = decoded[1:]
                 if verify == "texts":
                     theirs = held.library.encode(t)
                     if ids != ",".join(map(str, theirs)) or decoded != held.library.decode(theirs):
                         raise Differs(f"a text of {len(t)} characters")
-                made = {"ids": lambda: list(map(int, ids.split(","))) if ids else [], "decoded": lambda: decoded, "ids_sha256": lambda: digest([ids]), "decoded_sha256": lambda: digest([decoded])}
+                made = {"ids": lambda: b"".join([f[3] for f in found]), "decoded": lambda: decoded, "ids_sha256": lambda: digest(ids), "decoded_sha256": lambda: digest(decoded)}
                 for name in outputs:
                     rows[name].append(made[name]())
-        arrow = {"ids": pa.list_(pa.int32())}
-        return record(doc_id=batch.column(0), n_tokens=(rows["n_tokens"], pa.int64()), **{name: (rows[name], arrow.get(name, pa.string())) for name in outputs})
+        arrow = {name: pa.array(rows[name], pa.string()) for name in outputs if name != "ids"}
+        if "ids" in outputs:
+            ends = np.concatenate([[0], np.cumsum(rows["n_tokens"])]).astype(np.int32)
+            arrow["ids"] = pa.ListArray.from_arrays(ends, np.frombuffer(b"".join(rows["ids"]), dtype=np.int32))
+        return record(doc_id=batch.column(0), n_tokens=(rows["n_tokens"], pa.int64()), **{name: arrow[name] for name in outputs})
 
     read = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     kind = read.schema["doc_id"].dataType.simpleString()
