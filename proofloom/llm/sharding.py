@@ -3,8 +3,8 @@
 Equal texts are one group; a group of more than ``PIECE_ROWS`` rows is split into pieces of about that size, so a hot
 group neither fills a shard nor a task.  Pieces have a vector (bytes, tokens, rows).  A block of pieces is packed in
 one task, largest share first, each where the dot product with the residual capacity is highest.  The shards of all
-blocks are then pieces of the next level, and so on until one block is left: every level has 1/256 of the items of
-the one below, so the number of levels grows with the logarithm of the table.
+blocks are then items of the next level, where those of one block go to different shards, and so on until one block
+is left: every level has 1/256 of the items of the one below, so the levels grow with the logarithm of the table.
 """
 
 from __future__ import annotations
@@ -27,30 +27,43 @@ WEIGHTS = (1.0, 1.0, 1.0)
 MEASURES = ["bytes", "tokens", "rows"]
 
 
-def pack_block(measures: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
+def pack_block(measures: np.ndarray, shards: int, families: np.ndarray | None = None, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """Shard of every item (rows: items in a fixed order, columns: bytes, tokens, rows).
 
-    Measures are taken as shares of the block; every shard starts with the same capacity.
+    Measures are taken as shares of the block; every shard starts with the same capacity.  Items of one family (the
+    shards of one lower block, which are nearly equal) go to different shards, so that no shard gets one more of
+    them than another; larger families come first.
     """
     totals = np.maximum(measures.sum(axis=0), 1e-12)
     shares = measures / totals * np.asarray(weights)
+    _, family = np.unique(np.arange(len(measures)) if families is None else families, return_inverse=True)
+    largest = shares.max(axis=1)
     residual = np.tile(np.asarray(weights) / shards, (shards, 1))
     placed = np.zeros(len(measures), dtype=np.int64)
-    for i in np.argsort(-shares.max(axis=1), kind="stable").tolist():
-        item = shares[i]
-        best = placed[i] = int((residual @ item).argmax())
-        residual[best] -= item
+    used, last = np.zeros(shards, dtype=bool), -1
+    for i in np.lexsort((np.arange(len(measures)), -largest, family, -np.bincount(family, weights=largest)[family])).tolist():
+        if family[i] != last:
+            used[:], last = False, family[i]
+        fit = residual @ shares[i]
+        fit[used] = -np.inf
+        best = placed[i] = int(fit.argmax())
+        residual[best] -= shares[i]
+        used[best] = True
     return placed
 
 
 def _packed(items: DataFrame, shards: int, level: int, block_items: int) -> tuple[DataFrame, int]:
-    """item, bin, offset (rows of the bin before the item) and the measures; number of blocks."""
+    """item, bin, offset (rows of the bin before the item) and the measures; number of blocks.
+
+    Above the first level an item is block * shards + shard of the level below.
+    """
     blocks = max(1, -(-items.count() // block_items))
 
     def pack(held: pa.Table) -> pa.Table:
         held = held.sort_by("item")
         measures = np.column_stack([held[m].to_numpy() for m in MEASURES]).astype(float)
-        placed = pack_block(measures, shards)
+        items = held["item"].to_numpy()
+        placed = pack_block(measures, shards, items // shards if level else None)
         rows = held["rows"].to_numpy()
         offset = np.zeros(len(rows), dtype=np.int64)
         for shard in range(shards):
@@ -59,7 +72,8 @@ def _packed(items: DataFrame, shards: int, level: int, block_items: int) -> tupl
         bins = held["block"].to_numpy() * shards + placed
         return pa.table({"item": held["item"], "bin": pa.array(bins, pa.int64()), "offset": pa.array(offset, pa.int64()), **{m: held[m] for m in MEASURES}})
 
-    dealt = items.withColumn("block", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(blocks)))
+    family = F.floor(F.col("item") / shards) if level else F.col("item")
+    dealt = items.withColumn("block", F.pmod(F.xxhash64(family, F.lit(level)), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(pack, "item bigint, bin bigint, offset bigint, bytes bigint, tokens bigint, rows bigint"), blocks
 
 
