@@ -252,9 +252,9 @@ SQL_BRAND = "CAST(regexp_extract(p_brand, '([0-9]+)$', 1) AS INTEGER)"
 
 @query("price_columns", f"""
     WITH p AS (SELECT *, {SQL_BRAND} % 3 AS kind FROM ({SQL_LOCALIZED})),
-    s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM p WHERE p_size <> 13),
+    s AS (SELECT * FROM p WHERE p_size <> 13),
     v AS (SELECT p_brand, any_value(kind) AS kind, count(*) AS n,
-                 count(CASE WHEN kind <> 2 THEN {sql_price('written')} END) AS valid FROM s WHERE nth <= 50 GROUP BY 1)
+                 count(CASE WHEN kind <> 2 THEN {sql_price('written')} END) AS valid FROM s GROUP BY 1)
     SELECT b.p_brand AS sheet, CAST(CASE WHEN b.kind = 0 THEN 9 WHEN b.kind = 1 AND valid >= greatest(1, n * 0.5) THEN 9
                                          ELSE 7 END AS INTEGER) AS price_col, CAST(NULL AS VARCHAR) AS error
     FROM (SELECT DISTINCT p_brand, kind FROM p) b LEFT JOIN v USING (p_brand)
@@ -273,9 +273,9 @@ def workbook_products(spark, folder) -> DataFrame:
 
 SQL_PRODUCTS = f"""
     WITH p AS (SELECT *, {SQL_BRAND} % 3 AS kind FROM ({SQL_LOCALIZED})),
-    s AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS nth FROM p WHERE p_size <> 13),
+    s AS (SELECT * FROM p WHERE p_size <> 13),
     v AS (SELECT p_brand, count(*) AS n, count(CASE WHEN kind <> 2 THEN {sql_price('written')} END) AS valid
-          FROM s WHERE nth <= 50 GROUP BY 1),
+          FROM s GROUP BY 1),
     c AS (SELECT p.*, CASE WHEN kind = 0 OR (kind = 1 AND valid >= greatest(1, n * 0.5)) THEN written
                            ELSE format('{{:,.2f}}', p_retailprice) END AS raw_price
           FROM p LEFT JOIN v USING (p_brand)),

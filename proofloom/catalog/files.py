@@ -18,7 +18,7 @@ from . import query, table
 
 HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 NAMESPACE = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-RELATIONS = "http://schemas.openxmlformats.org/package/2006/relationships"
+PACKAGE = "http://schemas.openxmlformats.org/package/2006/relationships"
 
 
 def small_workbook(sheet: str, cells: list[tuple[str, str, str]], shared: list[str]) -> bytes:
@@ -31,7 +31,7 @@ def small_workbook(sheet: str, cells: list[tuple[str, str, str]], shared: list[s
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as book:
         book.writestr("xl/workbook.xml", f'{HEAD}<workbook {NAMESPACE}><sheets><sheet name="{escape(sheet)}" sheetId="1" r:id="rId1"/></sheets></workbook>')
-        book.writestr("xl/_rels/workbook.xml.rels", f'{HEAD}<Relationships xmlns="{RELATIONS}"><Relationship Id="rId1" Type="t" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'{HEAD}<Relationships xmlns="{PACKAGE}"><Relationship Id="rId1" Type="t" Target="worksheets/sheet1.xml"/></Relationships>')
         book.writestr("xl/sharedStrings.xml", f'{HEAD}<sst {NAMESPACE}>{"".join(f"<si><t>{escape(s)}</t></si>" for s in shared)}</sst>')
         book.writestr("xl/worksheets/sheet1.xml", f"{HEAD}<worksheet {NAMESPACE}><sheetData>{body}</sheetData></worksheet>")
     return out.getvalue()

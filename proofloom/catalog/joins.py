@@ -89,7 +89,7 @@ def board_choices(spark, folder):
 def visible_sources(spark, folder):
     k = F.col("c_custkey")
     customers = table(spark, folder, "customer")
-    slots = customers.select(k.alias("look"), F.when(k % 5 == 0, F.concat(F.lit("dir/__LBB_missing_"), k.cast("string"))).otherwise(F.col("c_name")).alias("filename"))
+    slots = customers.select(k.alias("look"), F.when(k % 5 == 0, F.concat(F.lit("dir/__MISSING_"), k.cast("string"))).otherwise(F.col("c_name")).alias("filename"))
     references = customers.where(k % 3 == 0).select(k.alias("look"), F.concat(F.lit("ref/"), k.cast("string")).alias("reference_path"))
     files = customers.where("c_acctbal > 0").select(F.col("c_name").alias("name"), F.concat(F.lit("hires/"), "c_name").alias("path"))
     return joins.visible_source(slots, references, files, ["look"]).select("look", "source", "missing")
@@ -184,7 +184,7 @@ def cache_hits(spark, folder):
 
 
 @query("manual_photos", """
-    WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN '__lbb_missing_1' ELSE 'L' || CAST(c_custkey AS VARCHAR) END AS l, 'R' || CAST(c_custkey AS VARCHAR) AS r FROM customer),
+    WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 9 = 0 THEN '__missing_1' ELSE 'L' || CAST(c_custkey AS VARCHAR) END AS l, 'R' || CAST(c_custkey AS VARCHAR) AS r FROM customer),
     a AS (SELECT *, k % 4 = 0 AND k % 3 <> 1 AND k % 5 <> 1 AS applied FROM c)
     SELECT k AS look, CASE WHEN applied THEN 'X' || CAST(k AS VARCHAR) ELSE l END AS left_filename, CASE WHEN applied THEN 'Y' || CAST(k AS VARCHAR) ELSE r END AS right_filename,
            applied, NOT applied AND k % 9 = 0 AS unresolved FROM a
@@ -193,7 +193,7 @@ def manual_photos(spark, folder):
     k = F.col("c_custkey")
     text = k.cast("string")
     registry = table(spark, folder, "customer").select(
-        k.alias("look"), F.when(k % 9 == 0, "__lbb_missing_1").otherwise(F.concat(F.lit("L"), text)).alias("left_filename"), F.concat(F.lit("R"), text).alias("right_filename")
+        k.alias("look"), F.when(k % 9 == 0, "__missing_1").otherwise(F.concat(F.lit("L"), text)).alias("left_filename"), F.concat(F.lit("R"), text).alias("right_filename")
     )
     manual = table(spark, folder, "customer").where(k % 4 == 0).select(
         k.alias("look"), F.when(k % 3 == 1, "").otherwise(F.concat(F.lit("X"), text)).alias("left_filename"),

@@ -81,7 +81,7 @@ SQL_DIRECT = "(least(lv, rv) * 0.985 + least(la, ra) * 0.01 + context * 0.005)"
 def match_verdicts(spark, folder):
     """Flagship: one-to-one matches per label, counted by verdict."""
     matches = assigned_matches(spark, folder)
-    verdict = F.when(F.col("needs_review"), "REVIEW").otherwise("CLEAR")
+    verdict = F.when(F.col("candidate").isNull(), "UNSERVED").when(F.col("needs_review"), "REVIEW").otherwise("CLEAR")
     return matches.groupBy("block", verdict.alias("verdict")).agg(
         F.count("*").alias("matches"), F.round(F.avg("selected_score"), 6).alias("mean_score"), F.max("rank").alias("worst_rank")
     )
@@ -225,15 +225,19 @@ def quarantined_looks(spark, folder):
     )
 
 
+def page_tones() -> F.Column:
+    mean = lambda i: F.aggregate(F.slice("embedding", i * 8 + 1, 8), F.lit(0.0), lambda s, x: s + x.cast("double")) / 8
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.floor(mean(i) * 100 + 128))
+
+
 def page_signature() -> F.Column:
-    """Signs as bits, then eight tones."""
+    """Signs as bits, then eight tones, each the mean of eight values."""
     bits = F.transform("embedding", lambda x: F.when(x > 0, 1.0).otherwise(0.0))
-    tones = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x * 100 + 128).cast("double"))
-    return F.concat(bits, tones)
+    return F.concat(bits, F.transform(page_tones(), lambda tone: tone.cast("double")))
 
 
 SQL_SIGNATURE = """list_concat(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1.0 ELSE 0.0 END),
-    list_transform(embedding[1:8], lambda x: floor(CAST(x AS DOUBLE) * 100 + 128)))"""
+    list_transform(generate_series(0, 7), lambda i: floor(list_sum(list_transform(embedding[i * 8 + 1:i * 8 + 8], lambda x: CAST(x AS DOUBLE))) / 8 * 100 + 128)))"""
 SQL_SIGNATURE_PAIR = """list_sum(list_transform(generate_series(1, 64), lambda i: abs({a}[i] - {b}[i]))) AS bits,
     list_sum(list_transform(generate_series(65, 72), lambda i: abs({a}[i] - {b}[i]))) / 8 AS tone"""
 
@@ -271,8 +275,7 @@ def signature_distances(spark, folder):
         F.transform("embedding", lambda x: F.when(x > 0, 1).otherwise(0).cast("bigint")), F.lit(0).cast("bigint"),
         lambda bits, bit: F.shiftleft(bits, 1).bitwiseOR(bit),
     )
-    tones = F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(x.cast("double") * 100 + 128))
-    pages = table(spark, folder, "embeddings").select("vec_id", F.array(word).alias("words"), tones.alias("tones"))
+    pages = table(spark, folder, "embeddings").select("vec_id", F.array(word).alias("words"), page_tones().alias("tones"))
     following = pages.select((F.col("vec_id") - 1).alias("vec_id"), F.col("words").alias("next_words"), F.col("tones").alias("next_tones"))
     return pages.join(following, "vec_id").select(
         "vec_id", vectors.hamming(F.col("words"), F.col("next_words")).alias("bits"),

@@ -211,7 +211,7 @@ def product_blocks(spark, folder):
 
 
 @query("project_dates", """
-    SELECT o_orderkey, 'TSUM_FS-0' || strftime(o_orderdate, '%y%m%d') AS code, CAST(o_orderdate AS DATE) AS parsed,
+    SELECT o_orderkey, 'PRJ-0' || strftime(o_orderdate, '%y%m%d') AS code, CAST(o_orderdate AS DATE) AS parsed,
            CAST(day(o_orderdate) AS VARCHAR) || ' ' || (['ЯНВАРЯ','ФЕВРАЛЯ','МАРТА','АПРЕЛЯ','МАЯ','ИЮНЯ','ИЮЛЯ','АВГУСТА','СЕНТЯБРЯ','ОКТЯБРЯ','НОЯБРЯ','ДЕКАБРЯ'])[month(o_orderdate)] AS printed
     FROM (SELECT o_orderkey, o_orderdate + INTERVAL 10 YEAR AS o_orderdate FROM orders)
 """)

@@ -79,10 +79,14 @@ def admitted_requests(spark, folder):
     return operations.admit_requests(ledger(spark, folder), "run", LIMITS)
 
 
+def table_stream(spark, folder, name: str) -> DataFrame:
+    """A table as a stream, whether it is one file or a folder of part files."""
+    return spark.readStream.schema(table(spark, folder, name).schema).parquet(f"{folder}/{name}[.]parquet")
+
+
 def event_stream(spark, folder) -> DataFrame:
     """The events table as a stream."""
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).withColumn("at", F.col("ts").cast("timestamp"))
+    return table_stream(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
 @query("streamed_admissions")
@@ -162,8 +166,7 @@ def streamed_sessions(spark, folder):
 
 @query("streamed_distinct_assets", f"SELECT DISTINCT length, sha256 FROM ({SQL_ASSETS})")
 def streamed_distinct_assets(spark, folder):
-    schema = table(spark, folder, "documents").schema
-    documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    documents = table_stream(spark, folder, "documents")
     identity = documents.select(
         F.octet_length("text").cast("bigint").alias("length"), F.sha2("text", 256).alias("sha256"), F.timestamp_seconds(F.col("doc_id") + 1).alias("at")
     )

@@ -50,7 +50,7 @@ def expected_fields(spark, folder):
 @query("fingerprints", """
     WITH d AS (SELECT source, doc_id, CASE WHEN doc_id % 997 = 5 THEN NULL ELSE CAST(doc_id AS VARCHAR) || ':' || sha256(text) END AS v, doc_id // 400 AS chunk FROM documents),
     c AS (SELECT source, chunk, sha256(string_agg(v, chr(10) ORDER BY doc_id)) AS digest, bool_or(v IS NULL) AS gap FROM d GROUP BY 1, 2)
-    SELECT source, CASE WHEN bool_or(gap) THEN '' WHEN count(*) = 1 THEN max(digest) ELSE sha256(string_agg(digest, chr(10) ORDER BY chunk)) END AS fingerprint FROM c GROUP BY 1
+    SELECT source, CASE WHEN bool_or(gap) THEN '' ELSE sha256(string_agg(digest, chr(10) ORDER BY chunk)) END AS fingerprint FROM c GROUP BY 1
 """)
 def fingerprints(spark, folder):
     k = F.col("doc_id")
@@ -224,6 +224,6 @@ def name_order(spark, folder):
     return rollups.casefold_positions(table(spark, folder, "part").select(name.alias("name")), "name")
 
 
-@query("latest_runs", "SELECT doc_id, right(text, 300) AS text FROM documents ORDER BY doc_id DESC LIMIT 100")
+@query("latest_runs", "SELECT doc_id, right(text, 100000) AS text FROM documents ORDER BY doc_id DESC LIMIT 100")
 def latest_runs(spark, folder):
-    return rollups.latest_runs(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 100, "text", tail=300)
+    return rollups.latest_runs(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 100, "text")

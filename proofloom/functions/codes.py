@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The project code prefix, Russian genitive months, and the fields providers report usage in.
-CODE_PREFIX = "TSUM_FS-0"
+#: Prefix of a project's code; a parameter, since every house has its own.
+CODE_PREFIX = "PRJ-0"
+# Russian genitive months, and the fields providers report usage in.
 MONTHS = [
     "ЯНВАРЯ", "ФЕВРАЛЯ", "МАРТА", "АПРЕЛЯ", "МАЯ", "ИЮНЯ", "ИЮЛЯ", "АВГУСТА", "СЕНТЯБРЯ", "ОКТЯБРЯ", "НОЯБРЯ", "ДЕКАБРЯ",
 ]
@@ -17,13 +18,13 @@ WORK_PREFIX = "control/work/"
 KEPT_FOLDERS = ["_mat/", "mapping-evidence/", "mapping-review/"]
 
 
-def date_code(day: Column) -> Column:
-    return F.concat(F.lit(CODE_PREFIX), F.date_format(day, "yyMMdd"))
+def date_code(day: Column, prefix: str = CODE_PREFIX) -> Column:
+    return F.concat(F.lit(prefix), F.date_format(day, "yyMMdd"))
 
 
-def code_date(code: Column) -> Column:
+def code_date(code: Column, prefix: str = CODE_PREFIX) -> Column:
     """Date of a project code; null when there is none or it is no calendar day."""
-    digits = F.regexp_extract(code, "(?i)TSUM_FS-0([0-9]{6})", 1)
+    digits = F.regexp_extract(code, f"(?i)\\Q{prefix}\\E([0-9]{{6}})", 1)
     return F.when(digits != "", F.concat(F.lit("20"), F.concat_ws("-", digits.substr(1, 2), digits.substr(3, 2), digits.substr(5, 2)))).try_cast("date")
 
 
@@ -55,6 +56,7 @@ def rebase_path(path: Column, is_state_path: bool = True) -> Column:
 
 
 def usage_tokens(payload: Column, fields: list[str]) -> Column:
-    """First of the named counters that the usage part of the JSON payload carries."""
-    found = [F.get_json_object(payload, f"$.{key}.{name}").try_cast("bigint") for key in USAGE_KEYS for name in fields]
-    return F.when(F.coalesce(*found).isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.coalesce(*found)))
+    """First of the named counters in the usage part of the JSON payload: the first usage object that is there."""
+    part = F.coalesce(*[F.get_json_object(payload, f"$.{key}") for key in USAGE_KEYS])
+    found = F.coalesce(*[F.get_json_object(part, f"$.{name}").try_cast("bigint") for name in fields])
+    return F.when(found.isNotNull(), F.greatest(F.lit(0).cast("bigint"), found))

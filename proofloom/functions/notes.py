@@ -39,7 +39,7 @@ CUE_STEMS = {
     "bag": "сумк|клатч|тоут|ридикюл",
     "shoes": "туфл|босонож|ботин|сапог|кроссов|лофер|балетк|обув",
     "accessory": "очк|шарф|платок|рем[её]н|браслет|колье|серьг|шляп|кепк|украшен|час[ыов]",
-    "pose": r"в\s+полный\s+рост|сидит|стоит|поза",
+    "pose": rf"в{WHITESPACE}+полный{WHITESPACE}+рост|сидит|стоит|поза",
 }
 CUE_PHRASES = {"pose": r"(?U)\b(?:full[- ]length|side[- ]pose)\b"}
 LABELS = ["model", "garment", "clothing", "colour", "color", "bag", "shoes", "accessory", "accessories", "pose"]

@@ -34,14 +34,21 @@ def _rightmost(canonical_names: list[str]) -> Column:
     return F.array_max(F.transform(hits, lambda cell: cell["col"]))
 
 
-def find_headers(rows: DataFrame, sheet_keys: list[str], first_rows: int = 25) -> DataFrame:
-    """First row, among the first 25 that exist, holding all three product headers.
+def _first_of_sheet(rows: DataFrame, sheet_keys: list[str], many: int | None) -> DataFrame:
+    """The first rows of each sheet, or all of them."""
+    if many is None:
+        return rows
+    nth_row = F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
+    return rows.withColumn("_nth", nth_row).where(F.col("_nth") <= many).drop("_nth")
+
+
+def find_headers(rows: DataFrame, sheet_keys: list[str], first_rows: int | None = None) -> DataFrame:
+    """First row of the sheet (with ``first_rows``, of so many first rows) holding all three product headers.
 
     One record per sheet: header_row, name_col, brand_col, article_col and ``labels``, the
     non-blank cells of that row.  Where two columns carry a header the right-most one counts.
     """
-    nth_row = F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
-    top = rows.withColumn("_nth", nth_row).where(F.col("_nth") <= first_rows)
+    top = _first_of_sheet(rows, sheet_keys, first_rows)
     labelled = F.transform(
         "cells",
         lambda cell: F.struct(
@@ -65,12 +72,12 @@ def _cell(column: Column) -> Column:
     return F.get(F.filter("cells", lambda cell: cell["col"] == column), F.lit(0))
 
 
-def infer_price_column(rows: DataFrame, sheet_keys: list[str], headers: DataFrame, sample: int = 50, share: float = 0.5) -> DataFrame:
+def infer_price_column(rows: DataFrame, sheet_keys: list[str], headers: DataFrame, sample: int | None = None, share: float = 0.5) -> DataFrame:
     """Column that holds the price of each sheet.
 
     A column headed "correct price" wins and must be the only one.  Otherwise the right-most of
     the labelled price columns and the blank-headed columns to their right where at least half of
-    the first 50 product rows hold a price.  Adds price_col, or error and a null price_col.
+    the product rows (with ``sample``, of so many first ones) hold a price.  Adds price_col, or error and a null price_col.
     """
     def is_price(cell: Column) -> Column:
         return (cell["col"] >= 3) & (cell["canon"].contains("цен") | cell["canon"].isin(PRICE_HEADERS))
@@ -89,8 +96,7 @@ def infer_price_column(rows: DataFrame, sheet_keys: list[str], headers: DataFram
     products = rows.join(wanted, sheet_keys).where(
         (F.col("row") > F.col("header_row")) & (F.coalesce(_cell(F.col("name_col"))["value"], F.lit("")) != "")
     )
-    nth_product = F.row_number().over(Window.partitionBy(*sheet_keys).orderBy("row"))
-    sampled = products.withColumn("_nth", nth_product).where(F.col("_nth") <= sample)
+    sampled = _first_of_sheet(products, sheet_keys, sample)
     blank_headed = F.filter(
         "cells", lambda cell: (cell["col"] > F.col("last_price_col")) & ~F.array_contains("labelled", cell["col"])
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.notes import parse_card_label, styling_text
 
-PLACEHOLDER_PREFIX = "__lbb_missing_"  # fixed value: names of deliberately empty photographs
+PLACEHOLDER_PREFIX = "__missing_"  # names of deliberately empty photographs; a parameter of what tests for them
 
 
 def expand_credits(card_map: DataFrame, products: DataFrame, on: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -30,16 +30,16 @@ def rank_margin(
 ) -> DataFrame:
     """Rank, best, second and margin of each selected (block, target, candidate, cost).
 
-    ``needs_review`` where the selection is not first, scores above the limit or leads by less
-    than the margin.  ``rounded`` tests the values after rounding to seven digits.
+    ``needs_review`` where there is no selection, or it is not first, scores above the limit or
+    leads by less than the margin.  ``rounded`` tests the values after rounding to seven digits.
     """
-    joined = selected.join(ranks, ["block", "target"]).join(best_two(lists), ["block", "target"])
+    joined = selected.join(ranks, ["block", "target"], "left").join(best_two(lists), ["block", "target"], "left")
     margin = F.coalesce(F.col("second_score") - F.col("best_score"), F.lit(float("inf")))
 
     def tested(value: Column) -> Column:
         return F.round(value, SCORE_DIGITS) if rounded else value
 
-    doubtful = (F.col("rank") != 1) | (tested(F.col("cost")) > score_limit) | (tested(margin) < margin_limit)
+    doubtful = F.col("candidate").isNull() | (F.col("rank") != 1) | (tested(F.col("cost")) > score_limit) | (tested(margin) < margin_limit)
     return joined.select(
         "block", "target", "candidate", F.round("cost", SCORE_DIGITS).alias("selected_score"),
         F.round("best_score", SCORE_DIGITS).alias("best_score"), F.round("second_score", SCORE_DIGITS).alias("second_score"),

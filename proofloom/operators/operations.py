@@ -56,8 +56,12 @@ def stagnation(snapshots: DataFrame, run: list[str], progress: list[str], at: st
     """Marks snapshots whose progress equals an earlier one of the run; times never count as progress."""
     signed = snapshots.withColumn("signature", F.sha2(F.to_json(F.struct(*sorted(progress)), {"ignoreNullFields": "false"}), 256))
     place = F.struct(F.col(at), F.col(order))
-    first = signed.groupBy(*run, "signature").agg(F.min(place).alias("_first"))
-    return signed.join(first, [*run, "signature"]).withColumn("stalled", place > F.col("_first")).drop("_first")
+    keys = [*run, "signature"]
+    first = signed.groupBy(*[F.col(name).alias(f"_own_{name}") for name in keys]).agg(F.min(place).alias("_first"))
+    same = F.lit(True)
+    for name in keys:
+        same = same & F.col(name).eqNullSafe(F.col(f"_own_{name}"))
+    return signed.join(first, same).withColumn("stalled", place > F.col("_first")).drop("_first", *[f"_own_{name}" for name in keys])
 
 
 class Ledger:

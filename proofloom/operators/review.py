@@ -250,5 +250,8 @@ def review_queue(pending: DataFrame, cache: DataFrame, decide, inputs: list[str]
     looked_up = cache_lookup(pending, cache, inputs)
     hits = looked_up.where(F.col("result").isNotNull()).withColumn("status", F.lit("cached"))
     misses = looked_up.where(F.col("result").isNull()).drop("result")
-    fresh = misses.join(decide(misses).select("signature", "result", "status"), "signature", "left")
+    # Items with one signature are one question: it is asked once, and its first answer serves them all.
+    decided = decide(misses.dropDuplicates(["signature"])).select("signature", "result", "status")
+    answers = decided.groupBy("signature").agg(F.min(F.struct("status", "result")).alias("_answer")).select("signature", "_answer.result", "_answer.status")
+    fresh = misses.join(answers, "signature", "left")
     return hits.unionByName(fresh.withColumn("status", F.coalesce("status", F.lit("error"))))

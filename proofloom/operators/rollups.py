@@ -43,10 +43,11 @@ def expected_fields(captions: DataFrame, visible: DataFrame, look: str) -> DataF
 
 
 def fingerprint(members: DataFrame, group: list[str], member: str, value: Column, chunk: Column) -> DataFrame:
-    """SHA-256 of the group's values, one per line in member order; empty if any value is missing.
+    """Two-level SHA-256 of the group's values in member order; empty if any value is missing.
 
-    ``chunk`` must not decrease with the member.  A group of one chunk hashes its lines; a larger
-    one hashes the hashes of its chunks, so no task holds more than a chunk.
+    Each chunk hashes its values, one per line; the group hashes its chunk hashes, one per line, however
+    many there are.  The chunks are part of the definition: ``chunk`` must not decrease with the member
+    and should hold about as many members as it has chunks, so that both levels stay small.
     """
     rows = members.select(*group, F.col(member).alias("_member"), value.alias("_value"), chunk.alias("_chunk"))
 
@@ -59,7 +60,7 @@ def fingerprint(members: DataFrame, group: list[str], member: str, value: Column
     )
     combined = digest(F.collect_list(F.struct(F.col("_chunk").alias("at"), F.col("_digest").alias("text"))))
     return per_chunk.groupBy(*group).agg(
-        F.when(F.bool_or("_gap"), "").when(F.count("*") == 1, F.max("_digest")).otherwise(combined).alias("fingerprint")
+        F.when(F.bool_or("_gap"), "").otherwise(combined).alias("fingerprint")
     )
 
 

@@ -28,9 +28,14 @@ def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shortest augmenting paths over a dense matrix; infinity marks a pair not on offer.
 
     Returns the column of each row (-1 where none can be had) and what each row pays: its cost
-    plus the price of its column.
+    plus the price of its column, or infinity where rows compete for too few columns.
     """
     rows, columns = cost.shape
+    if rows > columns:  # every column is taken, by the rows that make the total least
+        taken, _ = cheapest_assignment(cost.T)
+        holds = np.full(rows, -1)
+        holds[taken[taken >= 0]] = np.flatnonzero(taken >= 0)
+        return holds, np.full(rows, np.inf)
     pays, rebate = np.zeros(rows), np.zeros(columns)
     owner, holds = np.full(columns, -1), np.full(rows, -1)
     for start in range(rows):
@@ -149,6 +154,25 @@ def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: in
             reveal = cut_lineage(reveal.withColumn("listed", F.when(F.col("offers") > F.col("listed"), F.lit(size)).otherwise(F.col("listed"))))
 
 
+class Turned:
+    """A cost with the parts of target and candidate exchanged."""
+
+    def __init__(self, cost):
+        self.cost, self.metric, self.width = cost, cost.metric, getattr(cost, "width", 1)
+
+    def matrix(self, targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        return self.cost.matrix(candidates, targets).T
+
+
+def _solve_by_candidates(targets: DataFrame, candidates: DataFrame, cost, pivots: int) -> DataFrame:
+    """Blocks with more targets than candidates: every candidate gets a target, the other targets none."""
+    asking = candidates.withColumnRenamed("candidate", "target")
+    offered = targets.withColumnRenamed("target", "candidate")
+    served = _solve_by_offers(asking, offered, Turned(cost), pivots)
+    served = served.select("block", F.col("candidate").alias("target"), F.col("target").alias("candidate"), "cost")
+    return targets.select("block", "target").join(served, ["block", "target"], "left").select("block", "target", "candidate", "cost")
+
+
 def assign_one_to_one(
     targets: DataFrame, candidates: DataFrame, cost, *, block: str, target: str, candidate: str, vector: str,
     whole_block_pairs: int = WHOLE_BLOCK_PAIRS, pivots: int = 16,
@@ -164,9 +188,11 @@ def assign_one_to_one(
         .join(right.groupBy("block").agg(F.count("*").alias("c")), "block", "left")
         .withColumn("whole", F.col("t") * F.coalesce("c", F.lit(0)) <= whole_block_pairs)
     )
-    large = cut_lineage(pairs.where(~F.col("whole")).select("block"))
+    large = cut_lineage(pairs.where(~F.col("whole")).select("block", (F.col("t") > F.col("c")).alias("short")))
     if large.isEmpty():
         return _solve_whole_blocks(left, right, cost)
     whole = _solve_whole_blocks(left.join(large, "block", "left_anti"), right.join(large, "block", "left_anti"), cost)
-    split = _solve_by_offers(left.join(large, "block", "left_semi"), right.join(large, "block", "left_semi"), cost, pivots)
-    return whole.unionByName(split)
+    for solve, blocks in ((_solve_by_offers, large.where("NOT short")), (_solve_by_candidates, large.where("short"))):
+        if not blocks.isEmpty():
+            whole = whole.unionByName(solve(left.join(blocks, "block", "left_semi"), right.join(blocks, "block", "left_semi"), cost, pivots))
+    return whole

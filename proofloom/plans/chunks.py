@@ -29,6 +29,16 @@ def _earlier_chunks(keys: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _join_back(rows: DataFrame, summary: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join one summary row per (key, chunk) to the rows; null keys and null chunks meet their own."""
+    names = [*keys, "_chunk"]
+    renamed = summary.select(*[F.col(name).alias(f"_own_{i}") for i, name in enumerate(names)], *[c for c in summary.columns if c not in names])
+    same = F.lit(True)
+    for i, name in enumerate(names):
+        same = same & rows[name].eqNullSafe(renamed[f"_own_{i}"])
+    return rows.join(renamed, same, how).drop(*[f"_own_{i}" for i in range(len(names))])
+
+
 def running_sum(df: DataFrame, keys: list[str], chunk: Column, order: list[Column], value: Column, out: str) -> DataFrame:
     """Sum of ``value`` over the key's rows up to and including this one."""
     rows = _with_chunk(df, chunk).withColumn("_value", value)
@@ -38,9 +48,9 @@ def running_sum(df: DataFrame, keys: list[str], chunk: Column, order: list[Colum
         .withColumn("_before", F.coalesce(F.sum("_total").over(_earlier_chunks(keys)), F.lit(0)))
         .drop("_total")
     )
+    local = rows.withColumn("_local", F.sum("_value").over(_rows_up_to_here(keys, order)))
     return (
-        rows.withColumn("_local", F.sum("_value").over(_rows_up_to_here(keys, order)))
-        .join(before, [*keys, "_chunk"])
+        _join_back(local, before, keys)
         .withColumn(out, F.col("_local") + F.col("_before"))
         .drop("_chunk", "_value", "_local", "_before")
     )
@@ -59,12 +69,11 @@ def carry_forward(df: DataFrame, keys: list[str], chunk: Column, order: list[Col
         .groupBy(*keys, "_chunk")
         .agg(F.max_by(value, F.struct(*order)).alias("_tail"))
     )
-    chunks = rows.select(*keys, "_chunk").distinct().join(tails, [*keys, "_chunk"], "left")
+    chunks = _join_back(rows.select(*keys, "_chunk").distinct(), tails, keys, "left")
     before = chunks.withColumn("_before", F.last("_tail", ignorenulls=True).over(_earlier_chunks(keys))).drop("_tail")
     local = F.last(value, ignorenulls=True).over(_rows_up_to_here(keys, order))
     return (
-        rows.withColumn("_local", local)
-        .join(before, [*keys, "_chunk"])
+        _join_back(rows.withColumn("_local", local), before, keys)
         .withColumn(out, F.coalesce("_local", "_before"))
         .drop("_chunk", "_local", "_before")
     )
@@ -81,8 +90,7 @@ def following(df: DataFrame, keys: list[str], chunk: Column, order: list[Column]
     )
     in_chunk = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     return (
-        rows.withColumn("_local", F.lead(value).over(in_chunk))
-        .join(heads, [*keys, "_chunk"])
+        _join_back(rows.withColumn("_local", F.lead(value).over(in_chunk)), heads, keys)
         .withColumn(out, F.coalesce("_local", "_after"))
         .drop("_chunk", "_local", "_after")
     )
@@ -97,9 +105,10 @@ def trailing_aggregates(
     is complete for its own rows and no task sees more than two buckets of one key.
     """
     own = F.floor(F.col(epoch) / F.lit(width))
-    spread = df.withColumn("_bucket", F.explode(F.array(own, own + 1)))
+    buckets = F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own + 1))  # rows without an epoch keep to themselves
+    spread = df.withColumn("_bucket", F.explode(buckets))
     window = Window.partitionBy(*keys, "_bucket").orderBy(epoch).rangeBetween(-(width - 1), 0)
     kept = spread
     for name, aggregate in aggregates.items():
         kept = kept.withColumn(name, aggregate.over(window))
-    return kept.where(F.col("_bucket") == own).drop("_bucket")
+    return kept.where(F.col("_bucket").eqNullSafe(own)).drop("_bucket")

@@ -14,7 +14,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
                 raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
             named = tempfile.mkdtemp(prefix="proofloom-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)

@@ -29,16 +29,18 @@ def scan_assets(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "name", "length", "modificationTime", F.sha2("content", 256).alias("sha256"))
 
 
-def scan_collisions(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """As :func:`scan_assets`, reading only files whose length another file shares.
+def scan_collisions(spark: SparkSession, path: str, glob: str = "*", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """As :func:`scan_assets`, with a hash only for files whose length another file shares.
 
-    A unique length proves unique bytes, so those files keep a null hash.  The set of shared
-    lengths is broadcast to the scan when it is small; otherwise every file is hashed.
+    A unique length proves unique bytes, so those files keep a null hash.  When the shared lengths are
+    few they are broadcast and only their files are read; otherwise every file is hashed where it is
+    read, and the hashes of unique lengths are dropped.  The rows are the same either way.
     """
     files = list_assets(spark, path, glob)
     shared = files.groupBy("length").count().where("count > 1").select("length")
-    if shared.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return scan_assets(spark, path, glob)
+    if shared.limit(broadcast_rows + 1).count() > broadcast_rows:
+        hashed = scan_assets(spark, path, glob).join(shared.withColumn("_shared", F.lit(True)), "length", "left")
+        return hashed.select("path", "name", "length", "modificationTime", F.when(F.col("_shared"), F.col("sha256")).alias("sha256"))
     alone = files.drop("content").join(F.broadcast(shared), "length", "left_anti").withColumn(
         "sha256", F.lit(None).cast("string")
     )

@@ -13,11 +13,22 @@ _BAD = "_damaged"
 
 
 def read_strict_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Tab-separated UTF-8 whose header must equal ``columns``; values trimmed, blank is null."""
+    """Tab-separated UTF-8 whose header must equal ``columns`` exactly; values trimmed, blank is null.
+
+    Quoted values may hold tabs and line breaks.
+    """
+    header = StructType([StructField(f"_{i}", StringType()) for i in range(len(columns) + 1)])
+    lines = spark.read.csv(path, schema=header, sep="\t", header=False, encoding="UTF-8", multiLine=True, mode="PERMISSIVE")
+    heads = lines.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
+    first = heads.groupBy("_file").agg(F.min_by(F.array(*header.names), "_at").alias("names"))
+    own = F.transform("names", lambda name: F.regexp_replace(F.coalesce(name, F.lit("")), "^\ufeff", ""))
+    wrong = first.where(own != F.array(*map(F.lit, [*columns, ""]))).limit(1).collect()
+    if wrong:
+        raise ValueError(f"header {wrong[0]['names']} of {wrong[0]['_file']} is not {columns}")
     schema = StructType([StructField(name, StringType()) for name in columns])
     raw = spark.read.csv(
         path, schema=schema, sep="\t", header=True, enforceSchema=False, mode="FAILFAST", encoding="UTF-8",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=False,
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, multiLine=True,
     )
     return raw.select(*[blank_to_null(F.col(name)).alias(name) for name in columns])
 

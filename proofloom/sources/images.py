@@ -15,6 +15,7 @@ LUMA = np.array([0.299, 0.587, 0.114])
 PALE, PALE_RAMP, SPREAD, SPREAD_RAMP = 0.94, 0.24, 0.055, 0.18
 ADAPTIVE, ADAPTIVE_RAMP = 0.025, 0.20
 GRID, GRID_FLOOR, BINS, SMALL_BINS = 4, 0.08, 8, 4
+PHOTOS_AT_ONCE = 256
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
@@ -40,39 +41,57 @@ def _thumbnail(data: bytes, height: int, width: int, channels: int, size: tuple[
     return (top * (1 - fy) + low * fy) / 255.0
 
 
-def _subject(rgb: np.ndarray, grey: np.ndarray, adaptive: bool) -> np.ndarray:
-    if adaptive:
-        border = np.concatenate([rgb[0], rgb[-1], rgb[:, 0], rgb[:, -1]])
-        away = np.abs(rgb - np.median(border, axis=0)).max(axis=2)
-        return np.clip((away - ADAPTIVE) / ADAPTIVE_RAMP, 0, 1)
-    dark = np.clip((PALE - grey) / PALE_RAMP, 0, 1)
-    vivid = np.clip((rgb.max(axis=2) - rgb.min(axis=2) - SPREAD) / SPREAD_RAMP, 0, 1)
-    return np.maximum(dark, vivid)
-
-
-def _histogram(rgb: np.ndarray, weight: np.ndarray, bins: int) -> np.ndarray:
-    level = np.minimum((rgb * bins).astype(int), bins - 1)
-    code = (level[..., 0] * bins + level[..., 1]) * bins + level[..., 2]
-    counted = np.bincount(code.ravel(), weights=weight.ravel(), minlength=bins**3)
-    return counted / counted.sum() if counted.sum() > 0 else counted
-
-
-def photo_features(rgb: np.ndarray, adaptive: bool = False) -> dict[str, np.ndarray]:
-    """Structure (pixels, edges, mask, colour grid, signature) and appearance (histogram, summary)."""
-    grey = rgb @ LUMA
-    edge = np.zeros_like(grey)
-    edge[1:] += np.abs(np.diff(grey, axis=0))
-    edge[:, 1:] += np.abs(np.diff(grey, axis=1))
-    mask = _subject(rgb, grey, adaptive)
-    weight = np.maximum(mask, GRID_FLOOR)
-    blocks = lambda plane: plane.reshape(GRID, rgb.shape[0] // GRID, GRID, rgb.shape[1] // GRID).sum(axis=(1, 3))
-    grid = np.stack([blocks(rgb[..., c] * weight) / blocks(weight) for c in range(3)], axis=2)
-    profile = np.concatenate([mask.mean(axis=1), mask.mean(axis=0)])
-    colour = (rgb * mask[..., None]).sum(axis=(0, 1)) / max(mask.sum(), 1e-8)
+def _ramp(values: np.ndarray, start: float, width: float) -> np.ndarray:
+    """0 up to ``start``, 1 from ``start + width`` on."""
+    return np.clip((values - start) / width, 0.0, 1.0)
+
+
+def _frame_places(height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the four border lines; a corner lies on two of them."""
+    across, down = np.arange(width), np.arange(height)
+    rows = np.concatenate([np.repeat([0, height - 1], width), down, down])
+    return rows, np.concatenate([across, across, np.repeat([0, width - 1], height)])
+
+
+def subject_masks(photos: np.ndarray, grey: np.ndarray, adaptive: bool) -> np.ndarray:
+    """How far each pixel of (n, height, width, 3) belongs to the subject."""
+    if not adaptive:
+        return np.maximum(_ramp(-grey, -PALE, PALE_RAMP), _ramp(np.ptp(photos, axis=3), SPREAD, SPREAD_RAMP))
+    rows, columns = _frame_places(*grey.shape[1:])
+    backdrop = np.median(photos[:, rows, columns], axis=1)
+    return _ramp(np.abs(photos - backdrop[:, None, None]).max(axis=3), ADAPTIVE, ADAPTIVE_RAMP)
+
+
+def colour_histograms(photos: np.ndarray, weights: np.ndarray, bins: int) -> np.ndarray:
+    """Weighted share of every colour cube per photo; zeros for a photo without weight."""
+    levels = np.minimum(np.floor(photos * bins), bins - 1).astype(np.int64)
+    cubes = np.ravel_multi_index(tuple(np.moveaxis(levels, 3, 0)), (bins,) * 3)
+    own = cubes + bins**3 * np.arange(len(photos))[:, None, None]
+    counts = np.bincount(own.ravel(), weights=weights.ravel(), minlength=len(photos) * bins**3).reshape(len(photos), -1)
+    totals = counts.sum(axis=1, keepdims=True)
+    return np.divide(counts, totals, out=np.zeros_like(counts), where=totals > 0)
+
+
+def photo_features(photos: np.ndarray, adaptive: bool = False) -> dict[str, np.ndarray]:
+    """Features of many photos of one size (n, height, width, 3), one row each.
+
+    Structure (pixels, edges, mask, colour grid, signature) and appearance (histogram, summary).
+    """
+    n, height, width, _ = photos.shape
+    grey = np.einsum("nhwc,c->nhw", photos, LUMA)
+    edges = sum(np.abs(np.diff(grey, axis=axis, prepend=grey.take([0], axis=axis))) for axis in (1, 2))
+    masks = subject_masks(photos, grey, adaptive)
+    cells = np.maximum(masks, GRID_FLOOR).reshape(n, GRID, height // GRID, GRID, width // GRID)
+    tinted = photos.reshape(*cells.shape, 3)
+    grid = np.einsum("nahbw,nahbwc->nabc", cells, tinted) / cells.sum(axis=(2, 4))[..., None]
+    profiles = np.hstack([masks.mean(axis=2), masks.mean(axis=1)])
+    covered = masks.sum(axis=(1, 2))[:, None]
+    colour = np.einsum("nhw,nhwc->nc", masks, photos) / np.maximum(covered, 1e-8)
+    flat = lambda values: values.reshape(n, -1)
     return {
-        "pixels": rgb.ravel(), "edges": edge.ravel(), "mask": mask.ravel(), "grid": grid.ravel(),
-        "signature": np.concatenate([_histogram(rgb, mask, SMALL_BINS), profile]),
-        "histogram": _histogram(rgb, mask, BINS), "summary": np.concatenate([colour, [mask.mean()], profile]),
+        "pixels": flat(photos), "edges": flat(edges), "mask": flat(masks), "grid": flat(grid),
+        "signature": np.hstack([colour_histograms(photos, masks, SMALL_BINS), profiles]),
+        "histogram": colour_histograms(photos, masks, BINS), "summary": np.hstack([colour, covered / (height * width), profiles]),
     }
 
 
@@ -88,11 +107,11 @@ def image_features(images: DataFrame, identifier: str, adaptive: bool = False, s
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                photo_features(_thumbnail(data, height, width, channels, size), adaptive)
-                for data, height, width, channels in zip(batch["data"], batch["height"], batch["width"], batch["nChannels"])
-            ]
-            yield pd.DataFrame({identifier: batch[identifier], **{name: [row[name].astype("float32") for row in rows] for name in FEATURES}})
+            for start in range(0, len(batch), PHOTOS_AT_ONCE):
+                part = batch.iloc[start : start + PHOTOS_AT_ONCE]
+                photos = np.stack([_thumbnail(*photo, size) for photo in zip(part["data"], part["height"], part["width"], part["nChannels"])])
+                made = photo_features(photos, adaptive)
+                yield pd.DataFrame({identifier: part[identifier].to_numpy(), **{name: list(made[name].astype("float32")) for name in FEATURES}})
 
     fields = ", ".join(f"{name} array<float>" for name in FEATURES)
     needed = images.select(identifier, "height", "width", "nChannels", "data")

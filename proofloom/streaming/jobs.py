@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,24 +64,25 @@ class _Admission(StatefulProcessor):
 
 
 class _Stagnation(StatefulProcessor):
-    """Remembers every progress signature a run has shown."""
+    """Remembers every progress signature a run has shown, for ``keep_ms`` after it was first seen (None: for good)."""
 
-    def __init__(self, run: str):
-        self.run = run
+    def __init__(self, run: str, keep_ms: int | None = None):
+        self.run, self.keep_ms = run, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "signature STRING", "times BIGINT")
+        self.seen = handle.getMapState("seen", "signature STRING", "times BIGINT", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch.sort_values("snapshot_id")
-            stalled = []
-            for signature in batch["signature"]:
-                known = self.seen.containsKey((signature,))
-                stalled.append(known)
-                if not known:
-                    self.seen.updateValue((signature,), (1,))
-            yield pd.DataFrame({self.run: key[0], "snapshot_id": batch["snapshot_id"], "stalled": stalled})
+        # A key's rows come in Arrow batches of any order; the first snapshot of a signature is the least of all.
+        batch = pd.concat(list(rows)).sort_values("snapshot_id")
+        new = ~batch["signature"].duplicated()
+        for place in np.flatnonzero(new.to_numpy()):
+            signature = (batch["signature"].iloc[place],)
+            if self.seen.containsKey(signature):
+                new.iloc[place] = False
+            else:
+                self.seen.updateValue(signature, (1,))
+        yield pd.DataFrame({self.run: key[0], "snapshot_id": batch["snapshot_id"], "stalled": ~new})
 
     def close(self) -> None:
         pass
@@ -94,11 +96,15 @@ def admit_stream(requests: DataFrame, key: str, limits: Limits) -> DataFrame:
     )
 
 
-def stagnation_stream(snapshots: DataFrame, run: str, signature: Column) -> DataFrame:
-    """Snapshots (run, snapshot_id, ...) that repeat progress the run has shown before."""
+def stagnation_stream(snapshots: DataFrame, run: str, signature: Column, keep_ms: int | None = None) -> DataFrame:
+    """Snapshots (run, snapshot_id, ...) that repeat progress the run has shown before.
+
+    With ``keep_ms`` progress is forgotten after that time, which bounds the state of endless streams.
+    """
     signed = snapshots.select(run, "snapshot_id", signature.alias("signature"))
     return signed.groupBy(run).transformWithStateInPandas(
-        _Stagnation(run), f"{run} {dict(snapshots.dtypes)[run]}, snapshot_id {dict(snapshots.dtypes)['snapshot_id']}, stalled boolean", "append", "None"
+        _Stagnation(run, keep_ms), f"{run} {dict(snapshots.dtypes)[run]}, snapshot_id {dict(snapshots.dtypes)['snapshot_id']}, stalled boolean",
+        "append", "None" if keep_ms is None else "ProcessingTime",
     )
 
 
@@ -121,20 +127,27 @@ def drain(stream: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
+def _versions(spark, folder: str) -> list[int]:
+    """Numbers of the completely written versions of the map."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/before=*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [int(status.getPath().getParent().getName().split("=")[1]) for status in found]
+
+
 def upsert_credits(refreshes: DataFrame, existing: DataFrame, keys: list[str], folder: str) -> DataFrame:
     """Apply each micro-batch of refreshed credits to the stored map; one version of it per batch.
 
     Each micro-batch is one whole refresh.  It reads the version before its own id and writes its
-    own, so a batch that is run again after a failure gives the same result.
+    own, so a batch that is run again after a failure gives the same result.  ``existing`` is stored
+    on the first start only; a restart goes on from the latest version in the folder.
     """
     spark = existing.sparkSession
-    existing.write.mode("overwrite").parquet(f"{folder}/before=0")
-    applied = [0]
+    if not _versions(spark, folder):
+        existing.write.parquet(f"{folder}/before=0")
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         stored = batch.sparkSession.read.parquet(f"{folder}/before={batch_id}")
         merge_with_override(stored, batch, keys).write.mode("overwrite").parquet(f"{folder}/before={batch_id + 1}")
-        applied.append(batch_id + 1)
 
     _available_now(refreshes.writeStream.foreachBatch(apply), f"{folder}/progress")
-    return spark.read.parquet(f"{folder}/before={applied[-1]}")
+    return spark.read.parquet(f"{folder}/before={max(_versions(spark, folder))}")

@@ -68,8 +68,8 @@ def test_large_block_route_gives_the_same_total(spark, crowded):
 def test_more_targets_than_candidates_leaves_targets_open(spark):
     cost = WeightedL1([1.0])
     for limit in (0, 1_000_000):
-        rows = assign_one_to_one(points(spark, [[0], [1], [2]]), points(spark, [[0], [2]]), cost, whole_block_pairs=limit, **COLUMNS).collect()
-        assert len(rows) == 3 and sorted(r["candidate"] for r in rows if r["candidate"] is not None) == [0, 1]
+        rows = assign_one_to_one(points(spark, [[5], [1], [2]]), points(spark, [[1], [2]]), cost, whole_block_pairs=limit, **COLUMNS).collect()
+        assert {r["target"]: r["candidate"] for r in rows} == {0: None, 1: 0, 2: 1}  # not the earlier id: the least cost
 
 
 def test_tiles_give_exact_neighbours(spark, monkeypatch):
@@ -117,3 +117,17 @@ def test_quarantine_cases(spark):
     assert quarantine(spark, narrow) == ({i: i for i in range(4)}, set())
     assert quarantine(spark, [[0.10, 0.101, 0.8, 0.8], [0.101, 0.10, 0.8, 0.8]]) == ({}, {1})
     assert quarantine(spark, [[0.01], [0.8]]) == ({}, {1})
+
+
+def test_kernel_is_least_cost_with_more_rows_than_columns():
+    held, _ = cheapest_assignment(np.array([[10.0], [1.0]]))
+    assert held.tolist() == [-1, 0]
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        rows, columns = rng.integers(2, 7), rng.integers(1, 4)
+        cost = rng.integers(0, 6, size=(rows, columns)).astype(float)
+        held, _ = cheapest_assignment(cost)
+        least = min(sum(cost[r, c] for c, r in enumerate(p)) for p in itertools.permutations(range(int(rows)), int(columns))) if rows >= columns else None
+        if least is not None:
+            served = held >= 0
+            assert served.sum() == columns and cost[np.flatnonzero(served), held[served]].sum() == least

@@ -1,6 +1,9 @@
 """Small cases with known answers, one per rule."""
 
 import datetime
+import hashlib
+import io
+import zipfile
 from decimal import Decimal
 
 import numpy as np
@@ -8,16 +11,18 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from proofloom.catalog import operations as operations_catalog
 from proofloom.functions import clearance, codes, notes, prices, text
 from proofloom.operators import cleaning, evidence, geometry, joins, operations, review, rollups
 from proofloom.plans import chunks
-from proofloom.sources import assets, files
+from proofloom.sources import assets, files, workbook
+from proofloom.streaming import jobs
 
 PRICES = [
-    ("65 950,00", "65950.00"), ("65 950 ₽", "65950.00"), ("65 950,50 руб.", "65950.50"), ("1 920 000,00", "1920000.00"),
-    ("65.950,00", "65950.00"), ("65,950.00", "65950.00"), ("65950.0", "65950.00"), ("65,950", "65950.00"), ("65.950", "65950.00"),
-    ("0", "0.00"), ("0,950", "950.00"), ("1,234,567.5", "1234567.50"), ("", None), ("уточнить", None), ("100 / 200", None),
-    ("NaN", None), ("-100", None), ("100 USD", None), ("65,95,0", None), ("12.3456", None), ("12.3400", None), ("1.000,000,50", None),
+    ("47 310,00", "47310.00"), ("8 205 ₽", "8205.00"), ("8 205,75 руб.", "8205.75"), ("3 004 500,00", "3004500.00"),
+    ("12.640,00", "12640.00"), ("12,640.00", "12640.00"), ("7312.0", "7312.00"), ("9,480", "9480.00"), ("9.480", "9480.00"),
+    ("0", "0.00"), ("0,725", "725.00"), ("2,345,678.5", "2345678.50"), ("", None), ("по запросу", None), ("40 / 80", None),
+    ("inf", None), ("-55", None), ("70 EUR", None), ("31,42,0", None), ("7.1234", None), ("7.1200", None), ("4.500,000,25", None),
 ]
 
 
@@ -29,15 +34,14 @@ def test_prices(spark):
     assert got[18]["e"] == "ambiguous" and got[13]["e"] == "unrecognised"
 
 
-def sheet(price_header_g="Цена", price_header_i="Корректная цена", name_row3="Шарф", price_row3="15000"):
-    head = ["", "№", "Наименование", "Бренд", "Артикул", "КОД   ЦВЕТА", price_header_g, "", price_header_i]
-    first = ["", "1", "Пальто", "MVST", "00091843", "BLACK", "99 999,00", "Шерстяное пальто", "12000"]
-    second = ["", "", name_row3, "MVST", "7142724", "GREY", "88 888,00", "Шёлковый шарф", price_row3]
-    cells = []
-    for sheet_name in ("W", "M"):
-        for row, values in enumerate([head, first, second], start=1):
-            cells += [(sheet_name, row, col, "s", value) for col, value in enumerate(values, start=1) if value]
-    return cells
+def sheet(left_price="Цена", right_price="Корректная цена", second_name="Перчатки", second_price="7450"):
+    """Two sheets of two products with a price column before and one after an unheaded description."""
+    rows = [
+        ["", "№", "Наименование", "Бренд", "Артикул", "Оттенок", left_price, "", right_price],
+        ["", "7", "Куртка", "NORD", "00412077", "NAVY", "31 200,00", "Стёганая куртка", "28900"],
+        ["", "", second_name, "NORD", "5530918", "RUST", "9 100,00", "Кожаные перчатки", second_price],
+    ]
+    return [(name, row, col, "s", value) for name in "WM" for row, values in enumerate(rows, 1) for col, value in enumerate(values, 1) if value]
 
 
 def products_of(spark, cells):
@@ -48,23 +52,23 @@ def products_of(spark, cells):
 
 @pytest.mark.parametrize("header", ["Корректная цена", "Цена", ""])
 def test_price_column_is_found_marked_labelled_or_blank(spark, header):
-    sheets, products = products_of(spark, sheet(price_header_i=header))
+    sheets, products = products_of(spark, sheet(right_price=header))
     assert {r["price_col"] for r in sheets.collect()} == {9}
     found = products.where("is_product").collect()
-    assert len(found) == 4 and {r["article"] for r in found} == {"00091843", "7142724"} and {r["price"] for r in found} == {"12000", "15000"}
+    assert len(found) == 4 and {r["article"] for r in found} == {"00412077", "5530918"} and {r["price"] for r in found} == {"28900", "7450"}
 
 
 def test_marked_price_beats_a_later_one_and_must_be_single(spark):
-    sheets, _ = products_of(spark, sheet(price_header_g="Корректная цена", price_header_i="Цена"))
+    sheets, _ = products_of(spark, sheet(left_price="Корректная цена", right_price="Цена"))
     assert {r["price_col"] for r in sheets.collect()} == {7}
-    sheets, _ = products_of(spark, sheet(price_header_g="Корректная цена"))
+    sheets, _ = products_of(spark, sheet(left_price="Корректная цена"))
     assert {r["error"] for r in sheets.collect()} == {"several correct-price columns"}
 
 
 def test_bad_price_and_missing_name_are_violations(spark):
-    _, products = products_of(spark, sheet(price_header_i="", price_row3="уточнить"))
+    _, products = products_of(spark, sheet(right_price="", second_price="по запросу"))
     assert {(r["row"], r["rule"]) for r in cleaning.check_products(products, ["sheet"]).collect()} == {(3, "price not an amount")}
-    _, products = products_of(spark, sheet(name_row3=""))
+    _, products = products_of(spark, sheet(second_name=""))
     assert {(r["row"], r["rule"]) for r in cleaning.check_products(products, ["sheet"]).collect()} == {(3, "field name")}
 
 
@@ -90,11 +94,11 @@ def test_scan_hashes_only_shared_lengths(spark, tmp_path):
 
 
 NOTES = [
-    ("garment=white blazer; bag=black leather tote with a strap", {"garment", "bag", "colour"}),
-    ("Белый жакет и чёрная сумка на плече", {"garment", "bag", "colour"}),
-    ("look like the same outfit and everything is correct", set()),
-    ("garment=; bag=", set()), ("garment=unknown; bag=none", set()), ("garment=<item>; bag=<item>", set()),
-    ("accessories: кольцо; clothing: сарафан", {"accessory", "garment"}),
+    ("garment=red coat; bag=brown leather pouch with a chain", {"garment", "bag", "colour"}),
+    ("Синий пиджак и чёрная сумка в руке", {"garment", "bag", "colour"}),
+    ("seems to be the same outfit as before", set()),
+    ("bag=; garment=", set()), ("garment=none; bag=unknown", set()), ("bag=<item>; garment=<item>", set()),
+    ("accessories: кольцо; clothing: платье", {"accessory", "garment"}), ("поза: в\u00a0полный\u00a0рост", {"pose"}),
 ]
 
 
@@ -256,6 +260,89 @@ def test_chunked_scans_do_not_depend_on_chunks_or_partitions(spark):
     assert results[0] == results[1] == results[2]
 
 
+def test_chunked_scans_keep_null_keys_and_positions(spark):
+    rows = spark.createDataFrame([(None, 1, 10), (None, 2, None), ("a", None, 5), ("a", 1, None), ("b", None, None)], "k string, p bigint, v bigint")
+    chunk = chunks.position_chunk(F.col("p"), 2)
+    carried = chunks.carry_forward(rows, ["k"], chunk, [F.col("p")], "v", "c")
+    numbered = chunks.number_rows(carried, ["k"], chunk, [F.col("p")], "n")
+    rolled = chunks.trailing_aggregates(numbered, ["k"], "p", 2, {"near": F.count("*")})
+    got = {(r["k"], r["p"]): (r["c"], r["n"], r["near"]) for r in rolled.collect()}
+    assert got == {(None, 1): (10, 1, 1), (None, 2): (10, 2, 2), ("a", None): (5, 1, 1), ("a", 1): (5, 2, 1), ("b", None): (None, 1, 1)}
+    assert chunks.following(rows, ["k"], chunk, [F.col("p")], "p", "next").count() == 5
+    marked = operations.stagnation(rows.withColumn("id", F.coalesce("p", F.lit(0))), ["k"], ["k"], "id", "id")
+    assert sorted(r["stalled"] for r in marked.collect()) == [False, False, False, True, True]
+
+
+def test_items_of_one_signature_get_one_answer(spark):
+    pending = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "item int, q string")
+    cache = spark.createDataFrame([], "signature string, result string, status string, result_sha256 string")
+    answers = lambda misses: misses.select("signature", F.concat(F.lit("r"), "q").alias("result"), F.lit("ok").alias("status"))
+    twice = lambda misses: answers(misses).unionByName(answers(misses))
+    for decide in (answers, twice):
+        got = sorted((r["item"], r["result"], r["status"]) for r in review.review_queue(pending, cache, decide, ["q"]).collect())
+        assert got == [(1, "rx", "ok"), (2, "rx", "ok"), (3, "ry", "ok")]
+
+
+def test_collisions_and_fingerprints_do_not_depend_on_size(spark, tmp_path):
+    for name, content in (("a.jpg", b"1234"), ("b.jpg", b"1234"), ("c.jpg", b"12345")):
+        (tmp_path / name).write_bytes(content)
+    few, many = (sorted((r["name"], r["sha256"]) for r in assets.scan_collisions(spark, str(tmp_path), "*.jpg", broadcast_rows=n).collect()) for n in (10, 0))
+    assert few == many and [h is None for _, h in few] == [False, False, True]
+    rows = spark.range(7).select(F.lit(1).alias("g"), "id", F.col("id").cast("string").alias("v"))
+    digest = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    for size in (3, 100):
+        parts = [[str(i) for i in range(7) if i // size == c] for c in range(-(-7 // size))]
+        assert rollups.fingerprint(rows, ["g"], "id", F.col("v"), F.floor(F.col("id") / size)).first()["fingerprint"] == digest([digest(p) for p in parts])
+
+
+def small_events(spark, folder):
+    spark.range(10).select(F.col("id").alias("event_id"), F.lit(1).cast("bigint").alias("user_id")).repartition(3).write.parquet(f"{folder}/events.parquet")
+
+
+def test_streams_read_tables_of_many_files(spark, tmp_path):
+    small_events(spark, tmp_path)
+    assert jobs.drain(operations_catalog.table_stream(spark, str(tmp_path), "events")).count() == 10
+
+
+def test_stagnation_stream_orders_a_key_across_arrow_batches(spark, tmp_path):
+    spark.range(60).select(F.lit("r").alias("run"), (59 - F.col("id")).alias("snapshot_id"), ((59 - F.col("id")) % 7).alias("done")).coalesce(1).write.parquet(str(tmp_path / "s"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        stream = spark.readStream.schema("run string, snapshot_id bigint, done bigint").parquet(str(tmp_path / "s"))
+        got = jobs.drain(jobs.stagnation_stream(stream, "run", F.col("done").cast("string")))
+        assert sorted(r["snapshot_id"] for r in got.where("NOT stalled").collect()) == list(range(7)) and got.count() == 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_upserts_survive_a_restart(spark, tmp_path):
+    columns = "project int, look_id string, excel_sheet string, excel_look_number string, excel_image string, evidence_file string, visual_status string, note string"
+    existing = spark.createDataFrame([(1, "LOOK_001", "W", "1", "", "", "PENDING", "", 0)], columns + ", manual_override int")
+    spark.createDataFrame([(1, "LOOK_001", "W", "1", "", "", "CONFIRMED", "seen")], columns).write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+        assert jobs.upsert_credits(stream, existing, ["project", "look_id"], str(tmp_path / "map")).first()["visual_status"] == "CONFIRMED"
+
+
+def test_workbook_parts_and_cells_without_addresses(spark):
+    out = io.BytesIO()
+    main, office, package = (f"http://schemas.openxmlformats.org/{x}" for x in ("spreadsheetml/2006/main", "officeDocument/2006/relationships", "package/2006/relationships"))
+    with zipfile.ZipFile(out, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{office}"><sheets><sheet name="A" r:id="x"/><sheet name="B" r:id="y"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="x" Target="../xl/worksheets/one.xml"/><Relationship Id="y" Target="/xl/two.xml"/></Relationships>')
+        book.writestr("xl/worksheets/one.xml", f'<worksheet xmlns="{main}"><sheetData><row><c><v>5</v></c><c t="b"><v>1</v></c></row><row r="4"><c r="C4"><v>6</v></c><c><v>7</v></c></row></sheetData></worksheet>')
+        book.writestr("xl/two.xml", f'<worksheet xmlns="{main}"><sheetData><row r="2"><c r="AA2" t="inlineStr"><is><r><t>x</t></r><r><t>y</t></r></is></c></row></sheetData></worksheet>')
+    books = spark.createDataFrame([("b.xlsx", out.getvalue())], "path string, content binary")
+    got = sorted(tuple(r)[1:] for r in workbook.workbook_cells(books).collect())
+    assert got == [("A", 1, 1, "n", "5"), ("A", 1, 2, "b", "1"), ("A", 4, 3, "n", "6"), ("A", 4, 4, "n", "7"), ("B", 2, 27, "s", "xy")]
+
+
+def test_usage_comes_from_one_object(spark):
+    payload = F.lit('{"usage": {"output_tokens": 5}, "usageMetadata": {"promptTokenCount": 9}}')
+    row = spark.range(1).select(codes.usage_tokens(payload, codes.INPUT_FIELDS).alias("i"), codes.usage_tokens(payload, codes.OUTPUT_FIELDS).alias("o")).first()
+    assert tuple(row) == (None, 5)
+
+
 def test_strict_tsv(spark, tmp_path):
     path = tmp_path / "t.tsv"
     path.write_bytes("﻿look_id\tname\nLOOK_001\t x \nLOOK_002\t  \n".encode())
@@ -263,6 +350,10 @@ def test_strict_tsv(spark, tmp_path):
     assert [tuple(r) for r in got] == [("LOOK_001", "x"), ("LOOK_002", None)]
     with pytest.raises(Exception):
         files.read_strict_tsv(spark, str(path), ["look_id", "title"]).collect()
+    with pytest.raises(ValueError):
+        files.read_strict_tsv(spark, str(path), ["Look_id", "name"])  # the case of a header counts
+    path.write_bytes('look_id\tname\nLOOK_001\t"two\nlines"\n'.encode())
+    assert files.read_strict_tsv(spark, str(path), ["look_id", "name"]).first()["name"] == "two\nlines"
 
 
 def test_damaged_evidence_counts_as_absent(spark, tmp_path):
