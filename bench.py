@@ -17,7 +17,8 @@ HEADLINES = [
     "distinct_assets", "exact_copies", "snapshot_problems", "gate_validity", "invalidated_gates",
     "assigned_matches", "first_candidate_page", "nearest_photos",
     "expanded_credits", "caption_violations", "merged_credits", "overlaid_groups", "undeclared_changes",
-    "rolling_usage", "step_durations", "admitted_requests", "streamed_usage", "visible_draws", "page_ranges",
+    "rolling_usage", "step_durations", "admitted_requests", "streamed_usage", "streamed_stagnation", "visible_draws", "page_ranges",
+    "closed_swaps", "page_order", "one_to_one_cards",
 ]
 WARM_RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 
