@@ -7,13 +7,15 @@ changes the cost and never the result), so frequent passages hardly meet.
 
 1. Every node's first tokens are dealt to token buckets; tokens of a single node end there.
 2. Partition: in each token's list the smallest node leads.  A node is compared with the leader it shares most
-   tokens with, and what is similar enough forms groups of bounded size inside linked classes.
-3. Token-group matrix: a token is held against the groups whose union has it.  The tokens that a node shares with a
-   group of another class, plus what both could share beyond, bound its overlap with every member; only groups whose
-   bound reaches the needed overlap are opened.
-4. Members of opened groups are compared exactly.  Links join the classes.
-
-Nodes of one class are never compared again, so a class costs about one comparison per node, not all pairs.
+   tokens with; whoever is similar enough is linked.  Nodes of one leader are a family of similar documents, and a
+   family is cut into groups of bounded size, one class of linked nodes or the unlinked ones at a time.
+3. Token-group matrix: a token is held against the groups whose union has it.  The tokens that two groups share, plus
+   what a member of each could share beyond its first tokens, bound the overlap of any two members; only pairs of
+   groups whose bound reaches the needed overlap are opened, and none whose members are all of one class.
+4. Members of opened groups are compared exactly, group against group in one task.  Links join the classes.
+
+Nodes of one class are never compared again, so a class of near copies costs about one comparison per node; rows are
+written per group, never per pair of documents.
 """
 
 from __future__ import annotations
@@ -36,17 +38,19 @@ WORDS = 5
 #: Least similarity in percent.
 PERCENT = 75
 #: One document in so many is read to find frequent tokens.
-ORDER_SAMPLE = 32
+ORDER_SAMPLE = 8
+#: Tokens are ordered by hash, so only those with hashes in this lowest share are likely to come first and counted.
+ORDER_RANGE = 0.4
 #: Tokens of so many sampled documents count as frequent; so many of them, the most frequent, are told apart.
 FREQUENT_IN_SAMPLE = 2
-FREQUENT_TOKENS = 200_000
-#: Members of a group, at most.
+FREQUENT_TOKENS = 500_000
+#: Members of a group, about.
 GROUP_NODES = 256
+#: Nodes that are compared with their leader in one go, about.
+STAR_NODES = 64
 #: Postings of a token bucket and bytes of sets of a comparison bucket, about.
 BUCKET_POSTINGS = 100_000
 BUCKET_BYTES = 8_000_000
-#: Nodes compared with one other in one task, about.
-SPLIT_PAIRS = 200
 #: Node-to-class rows that are broadcast; more are joined.
 BROADCAST_NODES = 1_000_000
 
@@ -96,11 +100,12 @@ def _node(tokens: np.ndarray) -> int:
 
 def frequent_tokens(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and the rank of each by frequency, from a sample of the distinct texts."""
+    cut = np.uint64(int(ORDER_RANGE * 2**64))
     sample = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SAMPLE)) == 0).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [shingles(t, words) for t in batch.column(0).to_pylist()]
+            held = [s[: np.searchsorted(s, cut)] for t in batch.column(0).to_pylist() for s in [shingles(t, words)]]
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield record(token=(tokens.view(np.int64), pa.int64()), n=(n, pa.int64()))
 
@@ -214,65 +219,61 @@ def _beyond(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / F.lit(100)) - 1
 
 
-def _open_groups(lists: DataFrame, placed: DataFrame, percent: int, broadcast_nodes: int) -> DataFrame:
-    """node, other: pairs of different classes in groups whose bound reaches the needed overlap.
+def _qualifying(lists: DataFrame, placed: DataFrame, percent: int, broadcast_nodes: int) -> DataFrame:
+    """one, other: pairs of groups whose bound reaches the needed overlap and whose members are not all of one class.
 
-    ``placed`` has node, class, group, members, least and most (sizes in the group) for nodes with links; any
-    other node is a group and a class of its own.
+    ``placed`` has node, group, class (of the whole group; null where its members differ), least and most (sizes in
+    the group); any other node is a group and a class of its own.
     """
-    columns = ["node", "class", "group", "members", "least", "most"]
-    small = placed.limit(broadcast_nodes + 1).count() <= broadcast_nodes
+    columns = ["node", "class", "group", "least", "most"]
     spark = lists.sparkSession
-
-    def held_against(token, node, size, own, group, members, least, most) -> tuple[list, ...]:
+    schema = "one bigint, other bigint, shared bigint, least bigint, most bigint, other_least bigint, other_most bigint"
+    # A group of nodes of several classes has a class number of its own kind, so that it never equals another's.
+    known = placed.select("node", F.coalesce("class", F.xxhash64("group", F.lit("mixed"))).alias("class"), "group", "least", "most")
+
+    def met(token, group, own, least, most) -> tuple[np.ndarray, np.ndarray, dict[int, tuple[int, int]]]:
+        """Pairs of groups, one for each token that both hold; the sizes of the groups."""
+        order = np.lexsort((group, token))
+        token, group, own, least, most = token[order], group[order], own[order], least[order], most[order]
+        new = np.concatenate([[True], (token[1:] != token[:-1]) | (group[1:] != group[:-1])]) if len(token) else np.zeros(0, dtype=bool)
+        token, group, own, least, most = token[new], group[new], own[new], least[new], most[new]
         heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, dtype=np.int64)
         ends = np.append(heads[1:], len(token))
-        differ = np.concatenate([[False], (token[1:] == token[:-1]) & (own[1:] != own[:-1])])
-        mixed = np.add.reduceat(differ, heads) > 0 if len(heads) else np.zeros(0, dtype=bool)
-        queries, groups, facts = [], [], {}
-        for a, b in zip(heads[mixed].tolist(), ends[mixed].tolist()):
-            _, one = np.unique(group[a:b], return_index=True)
-            for g in (one + a).tolist():
-                # The smaller group asks the larger one, so each pair of groups is held together once.
-                asks = (own[a:b] != own[g]) & ((members[a:b] < members[g]) | ((members[a:b] == members[g]) & (group[a:b] < group[g])))
-                asks &= (100 * size[a:b].astype(np.int64) >= percent * least[g]) & (percent * size[a:b].astype(np.int64) <= 100 * most[g])
-                if asks.any():
-                    queries.append(node[a:b][asks])
-                    groups.append(np.full(len(queries[-1]), group[g]))
-                    facts[int(group[g])] = (int(least[g]), int(most[g]))
-        return queries, groups, facts
-
-    def counted(queries, groups, facts, sizes) -> pa.RecordBatch:
-        first = np.concatenate(queries) if queries else np.zeros(0, dtype=np.int64)
-        second = np.concatenate(groups) if groups else np.zeros(0, dtype=np.int64)
-        first, second, n = _counted(first, second)
-        bounds = [facts[g] for g in second.tolist()]
+        ones, others = [], []
+        for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist()):
+            i, j = np.triu_indices(b - a, 1)
+            i, j = i + a, j + a
+            fits = (own[i] != own[j]) & (100 * most[i] >= percent * least[j]) & (100 * most[j] >= percent * least[i])
+            ones.append(group[i[fits]])
+            others.append(group[j[fits]])
+        empty = [np.zeros(0, dtype=np.int64)]
+        return np.concatenate(ones or empty), np.concatenate(others or empty), dict(zip(group.tolist(), zip(least.tolist(), most.tolist())))
+
+    def counted(pairs) -> pa.RecordBatch:
+        one, other, n = _counted(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+        sizes = {group: held for p in pairs for group, held in p[2].items()}
+        of = lambda groups, i: ([sizes[g][i] for g in groups.tolist()], pa.int64())
         return record(
-            node=(first, pa.int64()), group=(second, pa.int64()), shared=(n, pa.int64()), n=([sizes[x] for x in first.tolist()], pa.int64()),
-            least=([b[0] for b in bounds], pa.int64()), most=([b[1] for b in bounds], pa.int64()),
+            one=(one, pa.int64()), other=(other, pa.int64()), shared=(n, pa.int64()),
+            least=of(one, 0), most=of(one, 1), other_least=of(other, 0), other_most=of(other, 1),
         )
 
-    schema = "node bigint, group bigint, shared bigint, n bigint, least bigint, most bigint"
-    if small:
-        rows = placed.select(*columns).toPandas().sort_values("node") if not placed.isEmpty() else None
-        table = spark.sparkContext.broadcast(None if rows is None else {c: rows[c].to_numpy(dtype=np.int64) for c in columns})
+    if placed.limit(broadcast_nodes + 1).count() <= broadcast_nodes:
+        rows = known.toPandas().sort_values("node")
+        table = spark.sparkContext.broadcast({c: rows[c].to_numpy(dtype=np.int64) for c in columns})
 
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            queries, groups, facts, sizes = [], [], {}, {}
+            pairs, of = [], table.value
             for token, node, size in _unpacked(batch):
                 size = size.astype(np.int64)
-                own, group, members, least, most = node.copy(), node.copy(), np.ones_like(node), size.copy(), size.copy()
-                if table.value is not None and len(node):
-                    at = np.minimum(np.searchsorted(table.value["node"], node), len(table.value["node"]) - 1)
-                    known = table.value["node"][at] == node
-                    for name, values in (("class", own), ("group", group), ("members", members), ("least", least), ("most", most)):
-                        values[known] = table.value[name][at[known]]
-                q, g, f = held_against(token, node, size, own, group, members, least, most)
-                queries += q
-                groups += g
-                facts |= f
-                sizes |= dict(zip(node.tolist(), size.tolist()))
-            return counted(queries, groups, facts, sizes)
+                own, group, least, most = node.copy(), node.copy(), size.copy(), size.copy()
+                if len(node) and len(of["node"]):
+                    at = np.minimum(np.searchsorted(of["node"], node), len(of["node"]) - 1)
+                    found = of["node"][at] == node
+                    for name, values in (("class", own), ("group", group), ("least", least), ("most", most)):
+                        values[found] = of[name][at[found]]
+                pairs.append(met(token, group, own, least, most))
+            return counted(pairs)
 
         shared = map_batches(lists, kernel, schema)
     else:
@@ -280,36 +281,30 @@ def _open_groups(lists: DataFrame, placed: DataFrame, percent: int, broadcast_no
             held = [np.concatenate(x) for x in zip(*_unpacked(batch))]
             return record(token=(held[0].view(np.int64), pa.int64()), node=(held[1], pa.int64()), size=(held[2], pa.int64()))
 
-        own = map_batches(lists, unpack, "token bigint, node bigint, size bigint").join(placed, "node", "left").select(
-            "token", "node", "size", F.coalesce("class", "node").alias("class"), F.coalesce("group", "node").alias("group"),
-            F.coalesce("members", F.lit(1)).alias("members"), F.coalesce("least", "size").alias("least"), F.coalesce("most", "size").alias("most"),
-        )
+        joined = map_batches(lists, unpack, "token bigint, node bigint, size bigint").join(known, "node", "left")
+        own = joined.select("token", *[F.coalesce(c, x).alias(c) for c, x in (("group", "node"), ("class", "node"), ("least", "size"), ("most", "size"))])
+        buckets = max(1, own.count() // BUCKET_POSTINGS)
 
         def gather(held: pa.Table) -> pa.Table:
-            held = held.sort_by([("token", "ascending"), ("node", "ascending")])
-            arrays = {c: held[c].to_numpy() for c in held.column_names}
-            q, g, f = held_against(arrays["token"].view(np.uint64), arrays["node"], arrays["size"], arrays["class"], arrays["group"], arrays["members"], arrays["least"], arrays["most"])
-            return pa.Table.from_batches([counted(q, g, f, dict(zip(arrays["node"].tolist(), arrays["size"].tolist())))])
+            arrays = [held[c].to_numpy() for c in ("token", "group", "class", "least", "most")]
+            return pa.Table.from_batches([counted([met(*arrays)])])
 
-        buckets = max(1, own.count() // BUCKET_POSTINGS)
-        dealt = own.withColumn("_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets)))
-        shared = dealt.groupBy("_bucket").applyInArrow(lambda held: gather(held.drop_columns(["_bucket"])), schema)
-    summed = shared.groupBy("node", "group").agg(F.sum("shared").alias("shared"), *[F.first(c).alias(c) for c in ("n", "least", "most")])
-    bound = F.col("shared") + F.greatest(_beyond(F.col("n"), percent), _beyond(F.col("most"), percent))
+        shared = own.withColumn("_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("_bucket").applyInArrow(gather, schema)
+    sizes = ("least", "most", "other_least", "other_most")
+    summed = shared.groupBy("one", "other").agg(F.sum("shared").alias("shared"), *[F.first(c).alias(c) for c in sizes])
+    bound = F.col("shared") + F.greatest(_beyond(F.col("most"), percent), _beyond(F.col("other_most"), percent))
     # 100 i >= p (a + b - i) asks for i >= p (a + b) / (100 + p).
-    opened = summed.where(bound * (100 + percent) >= percent * (F.col("n") + F.col("least")))
-    members = placed.select(F.col("group"), F.col("node").alias("_member"))
-    return opened.join(members, "group", "left").select("node", F.coalesce("_member", "group").alias("other"))
+    opened = summed.where(bound * (100 + percent) >= percent * (F.col("least") + F.col("other_least"))).select("one", "other")
+    within = placed.where("class IS NULL").select(F.col("group").alias("one"), F.col("group").alias("other")).distinct()
+    return opened.unionByName(within)
 
 
-def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
-    """The pairs (node, other) that are similar, compared on their whole sets."""
-    spark = docs.sparkSession
-    nodes = pairs.select("node").unionByName(pairs.select(F.col("other").alias("node"))).distinct()
-    wanted = sets.select("doc_id", "node", "n_shingles").join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_rep"), F.first("n_shingles").alias("n"))
-    wanted, wanted_path = written_table(wanted)
+def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, str]:
+    """node, tokens of the given nodes (a table and its path), from the text of one document of each."""
+    wanted = sets.select("doc_id", "node").join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_rep"))
+    wanted, wanted_path = written_table(wanted.select("_rep").distinct())
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    read = rows.join(broadcast_if_small(wanted.select("_rep").distinct()), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
+    read = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -319,45 +314,96 @@ def _similar(docs: DataFrame, sets: DataFrame, pairs: DataFrame, key: str, text:
             seen.update(new)
             yield record(node=(new, pa.int64()), tokens=([held[node].tobytes() for node in new], pa.binary()))
 
-    # Other texts may share the id of a representative; a set is used only where a pair names it.
-    packed, packed_path = written_table(read.mapInArrow(pack, "node bigint, tokens binary").join(broadcast_if_small(nodes), "node", "left_semi"))
-    asked = pairs.groupBy("other").count().select("other", F.ceil(F.col("count") / SPLIT_PAIRS).alias("parts"))
-    dealt = pairs.join(asked, "other").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    volume = pairs.join(wanted.select("node", "n"), "node").agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, 8 * volume // BUCKET_BYTES)
-    bucket = F.pmod(F.xxhash64("other", "part"), F.lit(buckets))
-    left = packed.join(broadcast_if_small(dealt.withColumn("bucket", bucket).select("bucket", "other", "node")), "node")
-    right = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1))).withColumn("bucket", bucket)
-    again = spark.read.schema(packed.schema).parquet(packed_path)
-    right = again.join(broadcast_if_small(right.select("bucket", F.col("other").alias("node")).distinct()), "node")
-    left, right = left.select("bucket", "node", "other", "tokens"), right.toDF("leader", "held", "bucket").select("bucket", "leader", "held")
-
-    def compare(asking: pa.Table, asked_of: pa.Table) -> pa.Table:
-        sets_of = {node: np.frombuffer(tokens, dtype=np.uint64) for node, tokens in zip(asked_of["leader"].to_pylist(), asked_of["held"].to_pylist())}
-        found = set()
-        for node, other, tokens in zip(asking["node"].to_pylist(), asking["other"].to_pylist(), asking["tokens"].to_pylist()):
-            mine, theirs = np.frombuffer(tokens, dtype=np.uint64), sets_of[other]
-            at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-            both = int((theirs[at] == mine).sum())
-            if 100 * both >= percent * (len(mine) + len(theirs) - both):
-                found.add((node, other))
+    # Other texts may share the id of a representative; a set is used only where it is asked for.
+    made = written_table(read.mapInArrow(pack, "node bigint, tokens binary").join(broadcast_if_small(nodes), "node", "left_semi"))
+    delete_table(docs.sparkSession, wanted_path)
+    return made
+
+
+def _links_between(one: list[tuple], other: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
+    """Links between members (node, class, tokens) of two groups, or within one, enough to join all classes they join."""
+    theirs = one if other is None else other
+    if not one or not theirs:
+        return []
+    owners = np.repeat(np.arange(len(theirs)), [len(t) for _, _, t in theirs])
+    tokens = np.concatenate([t for _, _, t in theirs])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], owners[order]
+    sizes = np.array([len(t) for _, _, t in theirs])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    links = []
+    for node, own, mine in one:
+        low, high = np.searchsorted(tokens, mine, "left"), np.searchsorted(tokens, mine, "right")
+        counts = high - low
+        hits = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
+        both = np.bincount(owners[hits], minlength=len(theirs))
+        for j in np.flatnonzero(100 * both >= percent * (len(mine) + sizes - both)).tolist():
+            a, b = find(own), find(theirs[j][1])
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((node, theirs[j][0]))
+    return links
+
+
+def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """Links (node, other) between the members of the given pairs of groups (one, other).
+
+    ``members`` has group, node, class; a group that is not there is the node of that number.
+    """
+    spark = docs.sparkSession
+    groups = pairs.select(F.col("one").alias("group")).unionByName(pairs.select(F.col("other").alias("group"))).distinct()
+    held = groups.join(broadcast_if_small(members), "group", "left").select("group", F.coalesce("node", "group").alias("node"), F.coalesce("class", "group").alias("class"))
+    held, held_path = written_table(held)
+    packed, packed_path = _packed_sets(docs, sets, held.select("node").distinct(), key, text, words)
+    owned, owned_path = written_table(packed.join(broadcast_if_small(held), "node"))
+    volume = owned.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
+    asked = pairs.select(F.explode(F.array("one", "other")).alias("group")).groupBy("group").count()
+    total = asked.join(volume, "group").agg(F.sum(F.col("count") * F.col("bytes"))).first()[0] or 0
+    buckets = max(1, total // BUCKET_BYTES)
+    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("one", "other"), F.lit(buckets)))
+    sides = dealt.select("bucket", "one", "other", F.col("one").alias("group")).unionByName(
+        dealt.where("one <> other").select("bucket", "one", "other", F.col("other").alias("group"))
+    )
+    routed = owned.join(broadcast_if_small(sides), "group").select("bucket", "one", "other", "group", "node", "class", "tokens")
+
+    def compare(rows: pa.Table) -> pa.Table:
+        of: dict[tuple[int, int], dict[int, list[tuple]]] = {}
+        for one, other, group, node, own, tokens in zip(*(rows[c].to_pylist() for c in ("one", "other", "group", "node", "class", "tokens"))):
+            of.setdefault((one, other), {}).setdefault(group, []).append((node, own, np.frombuffer(tokens, dtype=np.uint64)))
+        found = []
+        for (one, other), held in of.items():
+            found += _links_between(held.get(one, []), None if one == other else held.get(other, []), percent)
         return pa.table({"node": pa.array([f[0] for f in found], pa.int64()), "other": pa.array([f[1] for f in found], pa.int64())})
 
-    links = left.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(compare, "node bigint, other bigint")
-    links, _ = written_table(links)
-    for path in (wanted_path, packed_path):
+    links, _ = written_table(routed.groupBy("bucket").applyInArrow(compare, "node bigint, other bigint"))
+    for path in (held_path, packed_path, owned_path):
         delete_table(spark, path)
     return links
 
 
-def _placed(labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Nodes of linked classes in groups of at most about GROUP_NODES, with the sizes found there."""
-    sized = sets.select("node", "n_shingles").join(broadcast_if_small(labels), "node").groupBy("node").agg(F.first("label").alias("class"), F.first("n_shingles").alias("n"))
-    parts = sized.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts"))
-    sized = sized.join(broadcast_if_small(parts), "class").withColumn("group", F.xxhash64("class", part))
-    groups = sized.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return sized.select("node", "class", "group").join(broadcast_if_small(groups), "group")
+def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, own (its class), group, class (of the whole group, null where they differ), least and most sizes.
+
+    Led nodes and their leaders in groups of about GROUP_NODES of one family, apart by class once they are linked.
+    """
+    family = led.select("node", F.col("other").alias("family")).unionByName(led.select(F.col("other").alias("node"), F.col("other").alias("family")))
+    family = family.groupBy("node").agg(F.min("family").alias("family"))
+    named = family.join(broadcast_if_small(labels), "node", "left").withColumn("own", F.coalesce("label", "node"))
+    named = named.withColumn("part_of", F.xxhash64("family", F.coalesce("label", F.lit(0))))
+    sized = sets.select("node", "n_shingles").join(broadcast_if_small(named), "node").groupBy("node").agg(
+        F.first("own").alias("own"), F.first("part_of").alias("part_of"), F.first("n_shingles").alias("n")
+    )
+    parts = sized.groupBy("part_of").agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).alias("parts"))
+    sized = sized.join(broadcast_if_small(parts), "part_of").withColumn("group", F.xxhash64("part_of", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    whole = F.when(F.min("own") == F.max("own"), F.min("own"))
+    groups = sized.groupBy("group").agg(whole.alias("class"), F.min("n").alias("least"), F.max("n").alias("most"))
+    return sized.select("node", "own", "group").join(broadcast_if_small(groups), "group")
 
 
 def similar_classes(
@@ -376,14 +422,16 @@ def similar_classes(
     buckets = 1 << max(0, (postings // 8 // BUCKET_POSTINGS).bit_length())
     lists, lists_path = written_table(_shared_lists(sets, buckets))
     led, led_path = written_table(_led(lists, percent))
-    links = _similar(docs, sets, led, key, text, words, percent)
+    stars = led.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / STAR_NODES).alias("parts"))
+    stars = led.join(broadcast_if_small(stars), "other").withColumn("group", F.xxhash64("other", F.pmod(F.xxhash64("node"), F.col("parts"))))
+    followers = stars.select("group", "node", F.col("node").alias("class"))
+    links = _links(docs, sets, stars.select(F.col("group").alias("one"), "other").distinct(), followers, key, text, words, percent)
     labels = connected_components(links, "node", "other")
-    placed, placed_path = written_table(_placed(labels, sets))
-    opened, opened_path = written_table(_open_groups(lists, placed, percent, broadcast_nodes))
-    if not opened.isEmpty():
-        more = _similar(docs, sets, opened, key, text, words, percent)
-        if not more.isEmpty():
-            labels = connected_components(links.unionByName(more), "node", "other")
+    placed, placed_path = written_table(_placed(led, labels, sets))
+    opened, opened_path = written_table(_qualifying(lists, placed, percent, broadcast_nodes))
+    more = _links(docs, sets, opened, placed.select("group", "node", F.col("own").alias("class")), key, text, words, percent)
+    if not more.isEmpty():
+        labels = connected_components(links.unionByName(more), "node", "other")
     for path in (lists_path, led_path, placed_path, opened_path):
         delete_table(spark, path)
     least = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
