@@ -13,6 +13,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 HASH_RANGE = 1 << 31
 
+#: Rows that a kernel sees at once; bounds the Python objects that a worker holds.
+KERNEL_ROWS = 1_000
+
 
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as in the fold."""
@@ -31,12 +34,12 @@ def bounded_sample(df: DataFrame, rows: int, *columns: str) -> DataFrame:
 
 
 def map_batches(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema) -> DataFrame:
-    """Apply a kernel to every Arrow batch; a batch in, a batch out."""
+    """Apply a kernel to every Arrow batch, in slices of ``KERNEL_ROWS``; a slice in, a batch out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield kernel(batch)
+            for start in range(0, batch.num_rows, KERNEL_ROWS):
+                yield kernel(batch.slice(start, KERNEL_ROWS))
 
     return df.mapInArrow(run, schema)
 

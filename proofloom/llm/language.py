@@ -29,7 +29,7 @@ MIN_COUNT = 2
 #: Evidence of a longer text counts as that of so many words, which keeps scores apart from 1.
 EVIDENCE_WORDS = 32
 #: Unseen words that a worker remembers between texts.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 50_000
 #: A stage that filters keeps texts with at least this score.
 MIN_SCORE = 0.4
 

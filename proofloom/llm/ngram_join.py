@@ -51,6 +51,8 @@ STAR_NODES = 64
 #: Postings of a token bucket and bytes of sets of a comparison bucket, about.
 BUCKET_POSTINGS = 100_000
 BUCKET_BYTES = 8_000_000
+#: Rows whose sets a worker holds at once.
+DEAL_ROWS = 2_000
 #: Node-to-class rows that are broadcast; more are joined.
 BROADCAST_NODES = 1_000_000
 
@@ -104,7 +106,7 @@ def frequent_tokens(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
     sample = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SAMPLE)) == 0).distinct()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
             held = [s[: np.searchsorted(s, cut)] for t in batch.column(0).to_pylist() for s in [shingles(t, words)]]
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield record(token=(tokens.view(np.int64), pa.int64()), n=(n, pa.int64()))
@@ -139,7 +141,7 @@ def _shared_lists(sets: DataFrame, buckets: int) -> DataFrame:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
             tokens, nodes, sizes = [], [], []
             for node, n, first in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if node is not None and node not in seen:
@@ -308,7 +310,7 @@ def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, t
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in (b.slice(i, DEAL_ROWS) for b in batches for i in range(0, b.num_rows, DEAL_ROWS)):
             held = {_node(s): s for t in batch.column(0).to_pylist() if len(s := shingles(t, words))}
             new = [node for node in held if node not in seen]
             seen.update(new)

@@ -31,7 +31,7 @@ from .common import map_batches, record
 
 MARK = "▁"
 #: Segments in the younger half of a worker's memo; the older half holds as many.
-MEMO_SEGMENTS = 250_000
+MEMO_SEGMENTS = 120_000
 #: Longer segments are encoded anew each time instead of filling the memo.
 MEMO_CHARACTERS = 64
 
@@ -143,7 +143,9 @@ class Differs(ValueError):
 class Encoder:
     """A vocabulary with the worker's memo and the library to check against."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, text: bool = True, decoded: bool = True):
+        """``text`` and ``decoded`` tell which forms of a segment are wanted; the others are left empty."""
+        self.text, self.decoded = text, decoded
         self.vocabulary = MergeVocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         self.young: dict[str, tuple[int, str, str, bytes]] = {}
@@ -189,16 +191,17 @@ class Encoder:
         if verify:
             self.same_as_library(new, encoded)
         for s, ids in zip(new, encoded):
-            here[s] = (len(ids), ",".join(map(str, ids)), vocabulary.decode_ids(ids), array("i", ids).tobytes())
+            here[s] = (len(ids), ",".join(map(str, ids)) if self.text else "", vocabulary.decode_ids(ids) if self.decoded else "", array("i", ids).tobytes())
             if len(s) <= MEMO_CHARACTERS:
                 young[s] = here[s]
         find = here.__getitem__
         return [list(map(find, c)) for c in cut]
 
 
-@functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, text: bool = True, decoded: bool = True) -> Encoder:
+    """The worker's encoder; one at a time, so that memos do not add up."""
+    return Encoder(path, text, decoded)
 
 
 def blocks(texts: list[str], characters: int = 4_000_000):
@@ -227,18 +230,20 @@ def encode_documents(
     """
     types = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     marked = bool(MergeVocabulary(model or default_model()).prefix)
+    wants_text = verify == "texts" or "ids_sha256" in outputs
+    wants_decoded = verify == "texts" or not {"decoded", "decoded_sha256"}.isdisjoint(outputs)
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = encoder(model or default_model())
+        held = encoder(model or default_model(), wants_text, wants_decoded)
         rows: dict[str, list] = {name: [] for name in ("n_tokens", *outputs)}
         for texts in blocks([t or "" for t in batch.column(1).to_pylist()]):
             for t, found in zip(texts, held.segments(texts, verify == "segments")):
                 rows["n_tokens"].append(sum([f[0] for f in found]))
-                ids = ",".join([f[1] for f in found]) if verify == "texts" or "ids_sha256" in outputs else ""
-                decoded = "".join([f[2] for f in found]) if verify == "texts" or not {"decoded", "decoded_sha256"}.isdisjoint(outputs) else ""
+                ids = ",".join([f[1] for f in found]) if wants_text else ""
+                decoded = "".join([f[2] for f in found]) if wants_decoded else ""
                 if marked and decoded.startswith(" "):
                     decoded = decoded[1:]
                 if verify == "texts":
