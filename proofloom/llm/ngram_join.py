@@ -372,12 +372,14 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFram
     sides = dealt.select("bucket", "one", "other", F.col("one").alias("group")).unionByName(
         dealt.where("one <> other").select("bucket", "one", "other", F.col("other").alias("group"))
     )
-    routed = owned.join(broadcast_if_small(sides), "group").select("bucket", "one", "other", "group", "node", "class", "tokens")
+    # One row per group, not per member, goes to each of its pairs; a group is bounded.
+    whole = owned.groupBy("group").agg(F.collect_list(F.struct("node", "class", "tokens")).alias("held"))
+    routed = whole.join(broadcast_if_small(sides), "group").select("bucket", "one", "other", "group", "held")
 
     def compare(rows: pa.Table) -> pa.Table:
         of: dict[tuple[int, int], dict[int, list[tuple]]] = {}
-        for one, other, group, node, own, tokens in zip(*(rows[c].to_pylist() for c in ("one", "other", "group", "node", "class", "tokens"))):
-            of.setdefault((one, other), {}).setdefault(group, []).append((node, own, np.frombuffer(tokens, dtype=np.uint64)))
+        for one, other, group, held in zip(*(rows[c].to_pylist() for c in ("one", "other", "group", "held"))):
+            of.setdefault((one, other), {})[group] = [(m["node"], m["class"], np.frombuffer(m["tokens"], dtype=np.uint64)) for m in held]
         found = []
         for (one, other), held in of.items():
             found += _links_between(held.get(one, []), None if one == other else held.get(other, []), percent)
