@@ -47,7 +47,7 @@ def test_words_back_off_to_shorter_grams(spark):
 
 def test_languages_of_odd_rows(spark):
     model = language.fit_language_model(odd(spark))
-    found = rows(language.identify_languages(odd(spark), model, keep=("node", "score") if False else ("node",)))
+    found = rows(language.identify_languages(odd(spark), model, keep=("node",)))
     assert len(found) == len(ODD) and {r["lang_pred"] for r in found} <= {"en", "de", "fr", "und"}
     assert [r["lang_pred"] for r in found if r["doc_id"] in (2, 3, 4, 6)] == ["und"] * 4
     assert language.keep_identified(odd(spark), model).columns == odd(spark).columns
@@ -73,7 +73,7 @@ def test_line_rules(spark):
     good, bad = "One good line of text that ends well. " * 8, "Home | News | Sport | About\n" * 3
     found = {r["doc_id"]: r for r in rows(quality_rules.clean_lines(odd(spark).union(spark.createDataFrame([(50, good.strip() + "\n" + bad, None, None, None, None)], odd(spark).schema))))}
     assert found[50]["cleaned"] == good.strip() + "\n" and found[50]["n_removed_words"] == 21 and found[50]["base_failed"]
-    assert found[5]["n_words"] == len(LONG.split()) and found[5]["kept"] and found[2]["cleaned"] == "" and not found[2]["kept"]
+    assert found[5]["n_words"] == len(LONG.split()) and found[5]["base_failed"] and found[2]["cleaned"] == "" and not found[2]["kept"]
     assert rows(quality_rules.clean_lines(none(spark))) == []
 
 
