@@ -410,15 +410,8 @@ def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("node", "own", "group").join(broadcast_if_small(groups), "group")
 
 
-def similar_classes(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, broadcast_nodes: int = BROADCAST_NODES
-) -> DataFrame:
-    """One row per document: doc_id, text_hash, n_shingles and component_id, the smallest doc_id that links lead to.
-
-    Texts that are null or without words have no shingles and no links; their component is their own id.  Equal
-    sets are linked.  Nulls among the ids lose against any other id of the class.  Repeated rows give a row each;
-    an empty table none; other columns are not read.  Nodes and tokens are 64-bit hashes.
-    """
+def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int, broadcast_nodes: int) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles, class (a node; null without shingles) and component_id."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, text, words))
     sets, _ = written_table(_sets(docs, key, text, words, percent, frequent))
@@ -441,21 +434,33 @@ def similar_classes(
     least = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = least.join(labels, "node", "left").withColumn("class", F.coalesce("label", "node"))
     smallest = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = named.select("node", "class").join(smallest, "class").select("node", "component_id")
-    return sets.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select("node", "class").join(smallest, "class")
+    return sets.join(named, "node", "left").select("doc_id", "text_hash", "n_shingles", "class", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def similar_classes(
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, broadcast_nodes: int = BROADCAST_NODES
+) -> DataFrame:
+    """One row per document: doc_id, text_hash, n_shingles and component_id, the smallest doc_id that links lead to.
+
+    Texts that are null or without words have no shingles and no links; their component is their own id.  Equal
+    sets are linked.  Nulls among the ids lose against any other id of the class.  Repeated rows give a row each;
+    an empty table none; other columns are not read.  Nodes and tokens are 64-bit hashes.  Where ids repeat or are
+    null, classes that are not linked can have the same component_id.
+    """
+    return _classes(docs, key, text, words, percent, broadcast_nodes).drop("class")
 
 
 def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, without those similar to one that stays: the smallest id of each class.
 
     A row is known by its id and a hash of its text; of rows equal in both the smallest in its other columns stays.
-    Documents without words stay, each of them.
+    Ids may repeat or be null: classes are told apart by their nodes.  Documents without words stay, each of them.
     """
-    classes, _ = written_table(similar_classes(docs, key=key, text=text, words=words, percent=percent).where("n_shingles > 0"))
-    rows = classes.groupBy("doc_id", "text_hash", "component_id").count()
+    classes, _ = written_table(_classes(docs, key, text, words, percent, BROADCAST_NODES).where("n_shingles > 0"))
+    rows = classes.groupBy("doc_id", "text_hash", "class").count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
-    stays = rows.groupBy("component_id").agg(first.alias("first"))
-    judged = rows.join(stays.withColumnRenamed("component_id", "_class"), F.col("component_id").eqNullSafe(F.col("_class")))
+    judged = rows.join(rows.groupBy("class").agg(first.alias("first")), "class")
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
     judged, _ = written_table(judged.select("doc_id", "text_hash", "count", is_first.alias("stays")))
     whole = docs.select(F.struct("*").alias("doc"))

@@ -267,6 +267,16 @@ def test_classes_of_odd_rows(spark):
     assert rows(ngram_join.similar_classes(none(spark))) == rows(ngram_join.keep_one_of_each(none(spark))) == []
 
 
+def test_classes_that_share_an_id_or_have_none_all_stay(spark):
+    text = lambda name: " ".join(f"{name}{i}" for i in range(30))
+    docs = [(None, text("a")), (None, text("b")), (None, text("b") + " end"), (4, text("c")), (4, text("d")), (5, text("d")), (3, text("e")), (None, text("e"))]
+    kept = rows(ngram_join.keep_one_of_each(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)))
+    near = [r["text"] for r in kept if r["text"].startswith("b0 ")]
+    assert len(near) == 1 and sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(0, text("a")), (0, near[0]), (4, text("c")), (4, text("d")), (3, text("e"))])
+    texts = [r["text"] for r in rows(ngram_join.keep_one_of_each(odd(spark)))]
+    assert sorted(texts, key=str) == sorted([SENTENCE] + [r[1] for r in ODD if not (r[1] or "").startswith(SENTENCE)], key=str)  # a repeated row, a copy, "Fin."
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns, before = docs.columns, docs.count()
