@@ -128,6 +128,18 @@ def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     assert rows(html_extraction.extract_main_text(pages.limit(0))) == []
 
 
+def test_near_copies_and_copies_lose_nothing_of_the_article(spark):
+    declared = lambda i: f"<body><nav>n</nav><article><h1>One title</h1><h2>Background</h2><p>Paragraph {i} of the story.</p><h2>Outlook</h2></article></body>"
+    listed = "<article><h1>Another title</h1><ul><li>a point</ul><blockquote>a quote</blockquote></article>"
+    plain = lambda i: f"<body><div class=t><h1>Title {i}</h1></div><div class=s><p>Story {i} ends.</p></div></body>"
+    made = [("near", declared(i)) for i in range(8)] + [("near", listed)] * 6 + [("plain", plain(i)) for i in range(3)] + [("plain", plain(9).replace("div class=s", "section"))] * 9
+    pages = spark.createDataFrame([(i, f"http://{host}.example/{i}", html) for i, (host, html) in enumerate(made)], "page_id bigint, url string, html string").repartition(4)
+    found = {r["page_id"]: r["text"] for r in rows(html_extraction.extract_main_text(pages))}
+    assert [found[i] for i in range(8)] == [f"One title\n\nBackground\n\nParagraph {i} of the story.\n\nOutlook" for i in range(8)]
+    assert {found[i] for i in range(8, 14)} == {"Another title\n\na point\n\na quote"}
+    assert {found[i] for i in range(17, 26)} == {"Title 9\n\nStory 9 ends."}  # nine copies are one page
+
+
 def test_given_pages_keep_their_articles(spark):
     pages = dict(duck().execute("SELECT page_id, html FROM pages").fetchall())
     found = rows(queries.QUERIES["op8_html_extraction"](spark, FOLDER))
