@@ -175,6 +175,24 @@ def test_factor_one_is_exact_and_smaller_factors_find_most(spark):
     assert np.mean([len(set(relaxed[q]) & set(expected[q])) / 20 for q in expected]) >= 0.9
 
 
+@pytest.mark.parametrize("kind", ["signs", "one_hot", "outlier"])
+def test_ties_and_outliers_are_exact(spark, kind):
+    rng = np.random.default_rng(6)
+    if kind == "outlier":
+        vectors = rng.normal(size=(400, 8))
+        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors[7] *= 1e8
+    else:
+        vectors = rng.choice([-1.0, 1.0], size=(400, 10)) if kind == "signs" else np.eye(400)[rng.permutation(400)]
+    data = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(20, v.tolist()) for v in vectors[200:240]]  # an id of many vectors
+    frame = spark.createDataFrame(data, "vec_id bigint, embedding array<double>").repartition(4)
+    near = rows(vector_search.nearest_vectors(frame, F.col("vec_id") % 40 == 0, k=10, shard_rows=150, leaf=16))
+    for q in (0, 40, 360):
+        found = [r["vec_id"] for r in sorted((r for r in near if r["query_id"] == q), key=lambda r: r["rank"])]
+        score = lambda v: float((np.array(v) * vectors[q]).sum())
+        assert found == [i for i, _ in sorted(((i, v) for i, v in data if i != q), key=lambda r: (-score(r[1]), r[0]))[:10]]
+
+
 def test_pruning_skips_points():
     rng = np.random.default_rng(4)
     points = np.concatenate([rng.normal(size=(500, 6)) + 40 * c for c in range(4)])
