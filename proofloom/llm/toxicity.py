@@ -1,10 +1,10 @@
 """Toxicity: class-conditional Kneser-Ney models of word pairs with shared backoff counts.
 
 Words and word pairs are counted per class over all labelled rows, once per text, so that one text that repeats
-itself proves little; the counts grow with the rows.  What is kept for scoring is bounded by relative frequency: a
-word or pair stays an expression of its own when its share of a class is at least ``1 / RARE_SHARE`` and its count
-at least ``MIN_COUNT``; every rarer one gives its whole count to the backoff, as the discount does for the others.  A pair backs off to the class's words, these to the
-continuation counts (before how many different words a word's pairs stand) that both classes share, so a rare
+itself proves little; the counts grow with the rows, and so does what is kept for scoring: a word or pair is an
+expression of its own when ``MIN_COUNT`` texts of a class hold it, whatever its share; every rarer one gives its whole
+count to the backoff, as the discount does for the others.  The driver gathers the expressions and broadcasts them, so
+its memory bounds the vocabulary.  A pair backs off to the class's words, these to the continuation counts (before how many different words a word's pairs stand) that both classes share, so a rare
 expression is as likely in one class as in the other.
 
 A text is read in passages of ``PASSAGE_WORDS`` words.  The difference of the two log-likelihoods of a passage is
@@ -29,7 +29,6 @@ from ..plans.lineage import cut_lineage
 from .common import bounded_sample, map_batches, record
 from .quality_classifier import logistic_curve
 
-RARE_SHARE = 100_000
 MIN_COUNT = 5
 DISCOUNT = 0.75
 PASSAGE_WORDS = 2
@@ -131,7 +130,7 @@ def _pair_counts(labelled: DataFrame, shared) -> DataFrame:
     return counted.groupBy("pair").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
 
 
-def fit_toxicity_model(labelled: DataFrame, *, rare_share: int = RARE_SHARE, min_count: int = MIN_COUNT, discount: float = DISCOUNT, fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def fit_toxicity_model(labelled: DataFrame, *, min_count: int = MIN_COUNT, discount: float = DISCOUNT, fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on rows (key, text, label 0/1).  Without both classes every score is the smoothed share of label 1."""
     spark = labelled.sparkSession
     aside = F.pmod(F.xxhash64("key", "text", F.lit("curve")), F.lit(CURVE_SHARE)) == 0
@@ -142,10 +141,10 @@ def fit_toxicity_model(labelled: DataFrame, *, rare_share: int = RARE_SHARE, min
     totals = [float(totals["zeros"] or 0), float(totals["ones"] or 0)]
 
     def frequent(zeros: str, ones: str):
-        return ((F.col(zeros) >= min_count) & (F.col(zeros) * rare_share >= totals[0])) | ((F.col(ones) >= min_count) & (F.col(ones) * rare_share >= totals[1]))
+        return (F.col(zeros) >= min_count) | (F.col(ones) >= min_count)
 
-    kept = words.where(frequent("zeros", "ones")).orderBy("word").toPandas()  # at most 2 * rare_share words
-    index = {word: i + 1 for i, word in enumerate(kept["word"])}
+    kept = words.where(frequent("zeros", "ones")).orderBy("word").toArrow()  # grows with the vocabulary
+    index = {word: i + 1 for i, word in enumerate(kept["word"].to_pylist())}
     size = len(index) + 1
     pairs = cut_lineage(_pair_counts(labelled, spark.sparkContext.broadcast(index)))
     history, word = F.floor(F.col("pair") / size), F.col("pair") % size
@@ -153,16 +152,16 @@ def fit_toxicity_model(labelled: DataFrame, *, rare_share: int = RARE_SHARE, min
     discounted = [F.when(is_kept, F.least(F.col(c), F.lit(discount))).otherwise(F.col(c)) for c in ("zeros", "ones")]
     histories = pairs.groupBy(history.alias("word")).agg(
         F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum(discounted[0]).alias("free0"), F.sum(discounted[1]).alias("free1")
-    ).toPandas()  # a row per word of the model
-    followers = pairs.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("types")).toPandas()
-    expressions = pairs.where(is_kept).orderBy("pair").toPandas()  # at most 2 * rare_share pairs
+    ).toArrow()  # a row per word of the model
+    followers = pairs.groupBy(word.alias("word")).agg(F.count(F.lit(1)).alias("types")).toArrow()
+    expressions = pairs.where(is_kept).orderBy("pair").toArrow()  # grows with the pairs
 
     types = np.zeros(size)
-    types[followers["word"].astype(int)] = followers["types"]
+    types[followers["word"].to_numpy()] = followers["types"].to_numpy()
     continuation = (types + 1.0) / (types.sum() + size)
     counts = np.zeros((2, size))
     for c, name in enumerate(("zeros", "ones")):
-        counts[c, 1:] = kept[name]
+        counts[c, 1:] = kept[name].to_numpy()
         counts[c, RARE] = max(0.0, totals[c] - counts[c].sum())
     total = np.maximum(counts.sum(axis=1, keepdims=True), 1.0)
     cut = np.where(counts < min_count, counts, np.minimum(counts, discount))
@@ -172,12 +171,12 @@ def fit_toxicity_model(labelled: DataFrame, *, rare_share: int = RARE_SHARE, min
     unigram = np.maximum(unigram, FLOOR * continuation)
     unigram[:, RARE] = unigram[:, RARE].max()
     seen, free = np.zeros((2, size)), np.zeros((2, size))
-    at = histories["word"].astype(int)
+    at = histories["word"].to_numpy()
     for c, name in enumerate(("zeros", "ones")):
-        seen[c, at], free[c, at] = histories[name], histories[f"free{c}"]
+        seen[c, at], free[c, at] = histories[name].to_numpy(), histories[f"free{c}"].to_numpy()
     backoff = np.where(seen > 0, np.maximum(free, discount) / np.maximum(seen, 1), 1.0)
-    keys = expressions["pair"].to_numpy(dtype=np.int64)
-    found = expressions[["zeros", "ones"]].to_numpy(dtype=float).T
+    keys = expressions["pair"].to_numpy()
+    found = np.array([expressions[c].to_numpy() for c in ("zeros", "ones")], dtype=float)
     mass = np.maximum(found - discount, 0) / np.maximum(seen[:, keys // size], 1) if len(keys) else np.zeros((2, 0))
     model = ToxicityModel(index, unigram, backoff, keys, mass)
 

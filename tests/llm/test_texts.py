@@ -149,5 +149,14 @@ def test_toxic_words_are_found_and_others_left(spark):
     assert all(r["predicted"] == int(r["doc_id"] % 2 == 0) for r in found)
 
 
+def test_an_insult_of_few_texts_counts_in_a_large_class(spark):
+    rng = np.random.default_rng(1)
+    plain = np.array(["w" + "".join(chr(97 + int(d)) for d in f"{i:04}") for i in range(3_000)])
+    text = lambda: " ".join(plain[rng.permutation(3_000)[:1_000]])
+    labelled = [(i, ("you vilest brute " if i % 150 == 0 else "") + text(), 1) for i in range(1_200)] + [(i, text(), 0) for i in range(1_200, 1_300)]
+    model = toxicity.fit_toxicity_model(spark.createDataFrame(labelled, "key bigint, text string, label int"))
+    assert model.value("you vilest brute") > model.value("you unseen brute") > model.value("never before seen")
+
+
 def test_words_are_split_alike():
     assert re.findall(queries.mixing.WORD, "a\x0bb\xa0c d") == ["a", "b\xa0c", "d"]
