@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import html_extraction, language, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
+from . import filter_audit, html_extraction, language, line_runs, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
 from .common import in_fold
 
 QUERIES = {}
@@ -127,3 +127,46 @@ def op3_sharding(spark, folder):
 def op8_html_extraction(spark, folder):
     pages = html_extraction.extract_main_text(table(spark, folder, "pages"))
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+_SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op12_line_dedup", rf"""
+    WITH rows AS (SELECT doc_id, row_number() OVER () AS rid, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    lines AS (SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rows),
+    keyed AS (SELECT *, translate(trim(line, {_SPACE}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+    often AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+    judged AS (SELECT k.*, o.key IS NOT NULL AS gone FROM keyed k LEFT JOIN often o USING (key))
+    SELECT any_value(doc_id) AS doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged JOIN rows USING (rid) GROUP BY rid
+""")
+def op12_line_dedup(spark, folder):
+    return line_runs.drop_frequent_lines(table(spark, folder, "documents"), with_text=False)
+
+
+@query("op13_filter_audit", r"""
+    WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+    counted AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+    judged AS (SELECT doc_id, part, [
+        len(words) < 100, 100 * len(list_distinct(words)) < 80 * len(words),
+        100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'),
+        coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, FALSE)] AS fails FROM counted),
+    marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    counts AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+               FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+    letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+    orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+               WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+    firsts AS (SELECT *, list_position([fails[ascii(x) - 64] FOR x IN string_split(filter_order, '')], TRUE) AS hit FROM counts, orders),
+    steps AS (SELECT part, filter_order, CAST(step AS INT) AS step, filter_order[step] AS letter,
+                     CAST(coalesce(sum(n) FILTER (hit IS NULL OR hit > step), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (hit = step), 0) AS BIGINT) AS removed,
+                     CAST(coalesce(sum(n) FILTER (hit < step AND fails[ascii(filter_order[step]) - 64]), 0) AS BIGINT) AS redundant,
+                     CAST(coalesce(sum(n) FILTER (fails[ascii(filter_order[step]) - 64] AND len(list_filter(fails, lambda f: f)) = 1), 0) AS BIGINT) AS unique_fails,
+                     CAST(coalesce(sum(good) FILTER (hit = step), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(toxic) FILTER (hit = step), 0) AS BIGINT) AS toxic_lost
+              FROM firsts, range(1, 6) AS r(step) GROUP BY ALL)
+    SELECT * EXCLUDE (letter), CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM steps
+""")
+def op13_filter_audit(spark, folder):
+    return filter_audit.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -293,7 +293,7 @@ def test_classes_of_odd_rows(spark):
     assert all(r["component_id"] == r["doc_id"] for r in found if not r["n_shingles"])
     kept = ngram_join.keep_one_of_each(odd(spark))
     texts = [r["text"] for r in rows(kept)]
-    assert kept.columns == odd(spark).columns and texts.count(SENTENCE) == 1 and texts.count(None) == 2 and len(texts) == len(ODD) - 4  # "Fin." is near
+    assert kept.columns == odd(spark).columns and texts.count(SENTENCE) == 1 and texts.count(None) == 2 and len(texts) == len(ODD) - 3  # "Fin." is near
     assert rows(ngram_join.similar_classes(none(spark))) == rows(ngram_join.keep_one_of_each(none(spark))) == []
 
 
