@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import filter_audit, html_extraction, language, line_runs, mixing, ngram_join, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
+from . import filter_audit, html_extraction, language, line_runs, mixing, ngram_join, periodic_runs, quality_classifier, quality_rules, sentencepieces, sharding, toxicity, vector_search
 from .common import in_fold
 
 QUERIES = {}
@@ -129,6 +131,30 @@ def op8_html_extraction(spark, folder):
     return pages.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def looped_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of op11: in one document of ten, from some word on, a stretch of the words again and again."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark, folder):
+    found = periodic_runs.periodic_runs(table(spark, folder, "documents"), with_text=False, rewrite=looped_words)
+    # Longest first, then the smallest start, then the smallest period.
+    ranked = F.sort_array(F.transform("runs", lambda r: F.struct((-r["length"]).alias("shorter"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.format_string("%d,%d,%d\n", r["start"], r["length"], r["period"])), "")
+    best = found.withColumn("best", F.get(ranked, F.lit(0)))
+    return best.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("best.start").alias("start"), (-F.col("best.shorter")).alias("length"), F.col("best.period").alias("period"),
+        F.floor(1000 * -F.col("best.shorter") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"))
+
+
 _SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
