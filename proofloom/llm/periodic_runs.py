@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
+from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,8 +107,10 @@ def _candidates(levels: list[np.ndarray], size: int, least: int, below: int) ->
             continue
         windows = levels[level]
         padded = np.concatenate([windows, np.zeros(high + step, dtype=np.uint64)])
-        same = sliding_window_view(padded, high - low)[low::step][: len(bounds)] == windows[bounds, None]
-        row, column = np.nonzero(same)
+        shifted = as_strided(padded[low:], (len(bounds), high - low), (step * 8, 8))
+        row, column = np.nonzero(shifted == windows[: size - low - step + 1 : step, None])
+        if not len(row):
+            continue
         at, period = row * step, column + low
         inside = at + period + step <= size
         before = np.maximum(at - step, 0)
