@@ -2,7 +2,8 @@
 
 Small blocks are solved whole, one task each.  A block whose cost matrix is too large for one
 task is never gathered: every target first offers only its cheapest candidate, the connected
-pieces of those offers are solved apart, and only targets whose result is not yet proven optimal
+pieces of those offers are solved apart (by an auction where a matrix would be too large, and over many
+tasks where the offers are too many for one), and only targets whose result is not yet proven optimal
 offer more.  The proof is dual: with prices p >= 0 from the solver, a target that pays cost + p no
 more than the cheapest candidate it has not offered cannot gain from any unseen candidate.
 """
@@ -14,14 +15,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import auction
 from .components import connected_components
 from .lineage import cut_lineage
 from .neighbours import _stack, _standard, nearest
 
 WHOLE_BLOCK_PAIRS = 2_000_000
-PIECE_PAIRS = 25_000_000
+#: Larger pieces are not solved as a matrix.
+PIECE_PAIRS = 1_000_000
 FIRST_LIST = 16
 SLACK = 1e-12
+#: An auction rounds costs to a grid.
+AUCTION_SLACK = 1e-9
 
 
 def cheapest_assignment(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -93,34 +98,44 @@ def _solve_whole_blocks(targets: DataFrame, candidates: DataFrame, cost) -> Data
 
 
 def _solve_pieces(offers: DataFrame) -> DataFrame:
-    """Solve each connected piece of (piece, block, target, candidate, cost)."""
+    """Solve each connected piece of (piece, block, target, candidate, cost); ``slack`` is how exact ``pays`` is."""
 
     def solve(piece: pd.DataFrame) -> pd.DataFrame:
         targets, rows = np.unique(piece["target"].to_numpy(), return_inverse=True)
         candidates, columns = np.unique(piece["candidate"].to_numpy(), return_inverse=True)
+        cost, slack = piece["cost"].to_numpy(), SLACK
         if len(targets) * len(candidates) > PIECE_PAIRS:
-            raise ValueError("a connected piece of the assignment is too large for one task; split its block")
-        costs = np.full((len(targets), len(candidates)), np.inf)
-        costs[rows, columns] = piece["cost"].to_numpy()
-        held, pays = cheapest_assignment(costs)
-        short = bool((held < 0).any())
+            held, pays = auction.solve_offers(rows, columns, cost)
+            slack = AUCTION_SLACK
+        else:
+            costs = np.full((len(targets), len(candidates)), np.inf)
+            costs[rows, columns] = cost
+            held, pays = cheapest_assignment(costs)
+        mine = held[rows] == columns
+        paid = dict(zip(rows[mine].tolist(), cost[mine].tolist()))
         return pd.DataFrame({
             "block": piece["block"].iloc[0], "target": targets,
             "candidate": pd.array([int(candidates[h]) if h >= 0 else None for h in held], dtype="Int64"),
-            "cost": [costs[i, h] if h >= 0 else None for i, h in enumerate(held)],
-            "pays": pays, "short": short,
+            "cost": [paid.get(i) for i in range(len(targets))],
+            "pays": pays, "short": bool((held < 0).any()), "slack": slack,
         })
 
-    return offers.groupBy("piece").applyInPandas(
-        solve, "block bigint, target bigint, candidate bigint, cost double, pays double, short boolean"
-    )
+    def solved(some: DataFrame) -> DataFrame:
+        return some.groupBy("piece").applyInPandas(solve, "block bigint, target bigint, candidate bigint, cost double, pays double, short boolean, slack double")
+
+    large = cut_lineage(offers.groupBy("piece").count().where(F.col("count") > auction.TASK_OFFERS).select("piece"))
+    if large.isEmpty():
+        return solved(offers)
+    auctioned = auction.auction(offers.join(large, "piece", "left_semi"))
+    auctioned = auctioned.select("block", "target", "candidate", "cost", "pays", F.col("candidate").isNull().alias("short"), F.lit(AUCTION_SLACK).alias("slack"))
+    return solved(offers.join(large, "piece", "left_anti")).unionByName(auctioned)
 
 
 def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: int) -> DataFrame:
     held = candidates.groupBy("block").agg(F.count("*").alias("available"))
     columns = {"block": "block", "target": "target", "candidate": "candidate", "vector": "vec"}
     size = FIRST_LIST
-    lists = cut_lineage(nearest(targets, candidates, cost, size, pivots=pivots, **columns))
+    lists = cut_lineage(nearest(targets, candidates, cost, size, pivots=pivots, spread_ties=True, **columns))
     reveal = cut_lineage(targets.select("block", "target", F.lit(1).alias("offers"), F.lit(size).alias("listed")).join(held, "block"))
     while True:
         shown = lists.join(reveal, ["block", "target"])
@@ -139,7 +154,7 @@ def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: in
         solved = cut_lineage(_solve_pieces(edges.join(pieces, "_t").select("piece", "block", "target", "candidate", "cost")))
         judged = solved.join(unseen.select("block", "target", "bound", "offers", "available"), ["block", "target"])
         unproven = cut_lineage(
-            judged.where((F.col("short") | (F.col("pays") > F.col("bound") + SLACK)) & (F.col("offers") < F.col("available")))
+            judged.where((F.col("short") | (F.col("pays") > F.col("bound") + F.col("slack"))) & (F.col("offers") < F.col("available")))
             .select("block", "target", F.lit(True).alias("_grow"))
         )
         if unproven.isEmpty():
@@ -149,7 +164,7 @@ def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: in
         needed = reveal.where(F.col("offers") > F.col("listed"))
         if not needed.isEmpty():
             size *= 2
-            again = nearest(targets.join(needed.select("block", "target"), ["block", "target"], "left_semi"), candidates, cost, size, pivots=pivots, **columns)
+            again = nearest(targets.join(needed.select("block", "target"), ["block", "target"], "left_semi"), candidates, cost, size, pivots=pivots, spread_ties=True, **columns)
             lists = cut_lineage(lists.join(needed, ["block", "target"], "left_anti").unionByName(again))
             reveal = cut_lineage(reveal.withColumn("listed", F.when(F.col("offers") > F.col("listed"), F.lit(size)).otherwise(F.col("listed"))))
 

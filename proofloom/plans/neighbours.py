@@ -134,10 +134,21 @@ def _standard(df: DataFrame, block: str, identifier: str, vector: str, name: str
     )
 
 
+def _tie_break(targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """A number of its own for every pair, by which a target orders candidates of equal cost."""
+    one, other = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (targets.astype(np.uint64)[:, None] * one) ^ ((candidates.astype(np.uint64)[None, :] + np.uint64(1)) * other)
+    return (((mixed ^ (mixed >> np.uint64(31))) * one) >> np.uint64(1)).astype(np.int64)
+
+
 def nearest(
-    targets: DataFrame, candidates: DataFrame, cost, k: int, *, block: str, target: str, candidate: str, vector: str, pivots: int = 16
+    targets: DataFrame, candidates: DataFrame, cost, k: int, *, block: str, target: str, candidate: str, vector: str, pivots: int = 16,
+    spread_ties: bool = False,
 ) -> DataFrame:
-    """The k candidates of least (cost, id) for every target: block, target, candidate, cost, rank."""
+    """The k candidates of least (cost, id) for every target: block, target, candidate, cost, rank.
+
+    With ``spread_ties`` every target has an order of its own among candidates of equal cost.
+    """
     left = (
         _standard(targets, block, target, vector, "target")
         .withColumn("limit_cost", F.lit(None).cast("double")).withColumn("limit_id", F.lit(None).cast("bigint"))
@@ -152,19 +163,19 @@ def nearest(
                 order = np.argsort(ids)
                 ids = ids[order]
                 costs = cost.matrix(_stack([m["vec"] for m in members]), _stack([h["vec"] for h in held])[order])
-                best = np.argsort(costs, axis=1, kind="stable")[:, :k]
+                asking = np.array([m["target"] for m in members], dtype=np.int64)
+                ties = _tie_break(asking, ids) if spread_ties else np.zeros_like(costs, dtype=np.int64)
+                best = (np.lexsort((ties, costs), axis=1) if spread_ties else np.argsort(costs, axis=1, kind="stable"))[:, :k]
                 yield pd.DataFrame({
-                    "block": row.block,
-                    "target": np.repeat(np.array([m["target"] for m in members], dtype=np.int64), best.shape[1]),
-                    "candidate": ids[best.ravel()],
-                    "cost": np.take_along_axis(costs, best, axis=1).ravel(),
+                    "block": row.block, "target": np.repeat(asking, best.shape[1]), "candidate": ids[best.ravel()],
+                    "cost": np.take_along_axis(costs, best, axis=1).ravel(), "tie": np.take_along_axis(ties, best, axis=1).ravel(),
                 })
 
     found = _tile_pairs(left, right, cost, k, pivots).mapInPandas(
-        compare, "block bigint, target bigint, candidate bigint, cost double"
+        compare, "block bigint, target bigint, candidate bigint, cost double, tie bigint"
     )
-    order = Window.partitionBy("block", "target").orderBy("cost", "candidate")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("block", "target").orderBy("cost", "tie", "candidate")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("tie")
 
 
 def rank_of(

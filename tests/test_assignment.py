@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.vectors import WeightedL1
 from proofloom.operators.matching import quarantine_assign
-from proofloom.plans import neighbours
+from proofloom.plans import assignment, auction, neighbours
 from proofloom.plans.assignment import assign_one_to_one, cheapest_assignment
 from proofloom.plans.neighbours import nearest, rank_of
 
@@ -131,3 +131,83 @@ def test_kernel_is_least_cost_with_more_rows_than_columns():
         if least is not None:
             served = held >= 0
             assert served.sum() == columns and cost[np.flatnonzero(served), held[served]].sum() == least
+
+
+def offers_of(spark, costs):
+    rows = [("p", 0, i, j, float(c)) for i, row in enumerate(costs) for j, c in enumerate(row) if np.isfinite(c)]
+    return spark.createDataFrame(rows, "piece string, block bigint, target bigint, candidate bigint, cost double").repartition(3)
+
+
+def check_optimal(costs, held, paid, slack=1e-9):
+    """``paid``: cost plus price of every target; the prices prove the assignment, and nobody pays for what is left."""
+    exact, _ = cheapest_assignment(costs)
+    assert len(set(held)) == len(costs)
+    own = costs[np.arange(len(costs)), held]
+    assert np.isclose(own.sum(), costs[np.arange(len(costs)), exact].sum(), atol=1e-9)
+    prices = np.zeros(costs.shape[1])
+    prices[held] = np.asarray(paid) - own
+    assert (prices >= -slack).all() and (costs + prices >= np.asarray(paid)[:, None] - slack).all()
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_auction_of_one_task_equals_the_kernel(seed):
+    rng = np.random.default_rng(seed)
+    rows, columns = int(rng.integers(1, 40)), 0
+    columns = rows + int(rng.integers(0, 20))
+    costs = [rng.random((rows, columns)), rng.integers(0, 6, (rows, columns)).astype(float), np.full((rows, columns), 0.3),
+             np.abs(rng.normal(0, 0.01, (rows, 1)) - np.linspace(0, 1, columns))][seed % 4]
+    bidder, item = np.nonzero(np.ones_like(costs))
+    check_optimal(costs, *auction.solve_offers(bidder, item, costs.ravel()))
+
+
+def test_auction_over_many_tasks_equals_the_kernel(spark, monkeypatch):
+    monkeypatch.setattr(auction, "TASK_OFFERS", 10)  # two targets
+    monkeypatch.setattr(auction, "COST_BITS", 6)  # a coarse grid: few rounds
+    costs = np.array([[0, 1, 3, 3, 2], [0, 2, 3, 3, 3], [0, 1, 2, 2, 3], [3, 0, 3, 1, 2]], dtype=float)
+    rows = sorted(auction.auction(offers_of(spark, costs)).collect(), key=lambda r: r["target"])
+    assert [r["target"] for r in rows] == list(range(4)) and all(r["cost"] == costs[r["target"], r["candidate"]] for r in rows)
+    check_optimal(costs, [r["candidate"] for r in rows], [r["pays"] for r in rows], slack=0.25)
+
+
+@pytest.mark.parametrize("seed", range(200))
+def test_bids_end_within_epsilon(seed):
+    rng = np.random.default_rng(seed)
+    bidders, items, epsilon, outside = int(rng.integers(1, 9)), int(rng.integers(1, 9)), int(rng.integers(1, 50)), 3_000
+    costs = rng.integers(0, 1_000, (bidders, items))
+    b, i = np.nonzero(np.ones((bidders, items)))
+    found = auction.bid_among(b, i, costs.ravel(), np.zeros(items, dtype=np.int64), np.full(bidders, -1), np.zeros(bidders, dtype=np.int64), outside, epsilon)
+    assert sorted(f[0] for f in found) == list(range(bidders)) and sum(f[1] >= 0 for f in found) == min(bidders, items)
+    prices = np.zeros(items, dtype=np.int64)
+    for _, won, price, _ in found:
+        if won >= 0:
+            prices[won] = price
+    for bidder, won, price, pays in found:
+        assert pays == (costs[bidder, won] + price if won >= 0 else outside)
+        assert pays <= (costs[bidder] + prices).min() + epsilon
+
+
+def test_auction_leaves_open_what_no_offer_serves(spark, monkeypatch):
+    monkeypatch.setattr(auction, "COST_BITS", 10)
+    costs = np.array([[1.0, np.inf], [2.0, np.inf], [5.0, 6.0]])
+    held, pays = auction.solve_offers(np.array([0, 1, 2, 2]), np.array([0, 0, 0, 1]), np.array([1.0, 2.0, 5.0, 6.0]))
+    assert held.tolist() == [0, -1, 1] and pays[1] == np.inf
+    found = {r["target"]: (r["candidate"], r["cost"]) for r in auction.auction(offers_of(spark, costs)).collect()}
+    assert found == {0: (0, 1.0), 1: (None, None), 2: (1, 6.0)}
+    assert auction.auction(offers_of(spark, costs).limit(0)).count() == 0
+
+
+def test_pieces_too_large_for_a_matrix_are_auctioned(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    size = 1_100  # one piece of 1.2 million pairs, but only a few offers a target
+    chosen = np.stack([(np.arange(size) + step) % size for step in (0, 1, 17, 300)], axis=1)
+    offers = spark.createDataFrame([("p", 0, i, int(j), 0.25) for i, held in enumerate(chosen) for j in held], "piece string, block bigint, target bigint, candidate bigint, cost double")
+    rows = assignment._solve_pieces(offers).collect()
+    assert len(rows) == len({r["candidate"] for r in rows}) == size and {r["cost"] for r in rows} == {0.25}
+    assert max(r["pays"] for r in rows) < 0.25 + assignment.AUCTION_SLACK
+    monkeypatch.setattr(assignment, "PIECE_PAIRS", 30)
+    right, left = rng.random((24, 2)), rng.random((20, 2)) * 0.2
+    cost = WeightedL1([1.0, 1.0])
+    exact, _ = cheapest_assignment(cost.matrix(left.astype("float32").astype(float), right.astype("float32").astype(float)))
+    rows = assign_one_to_one(points(spark, left), points(spark, right), cost, whole_block_pairs=0, **COLUMNS).collect()
+    assert len({r["candidate"] for r in rows} - {None}) == len(left) == len(rows)
+    assert np.isclose(sum(r["cost"] for r in rows), cost.matrix(left, right)[np.arange(len(left)), exact].sum(), atol=1e-5)
