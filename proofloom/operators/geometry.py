@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import cut_lineage
+
 # Least overlap, rounding tolerance around a later draw, share that hides a draw.
 EPSILON = 1e-6
 OCCLUSION_TOLERANCE = 1.0
@@ -56,24 +55,19 @@ def fit_in_box(image_width: Column, image_height: Column, box_width: Column, box
     return F.when(fits, placed)
 
 
-def _uncovered(pieces: list[tuple], box: tuple) -> list[tuple]:
-    """Parts of the rectangles outside ``box``."""
-    left, bottom, right, top = box
-    rest = []
-    for x0, y0, x1, y1 in pieces:
-        if right <= x0 or left >= x1 or top <= y0 or bottom >= y1:
-            rest.append((x0, y0, x1, y1))
-            continue
-        if y0 < bottom:
-            rest.append((x0, y0, x1, bottom))
-        if top < y1:
-            rest.append((x0, top, x1, y1))
-        low, high = max(y0, bottom), min(y1, top)
-        if x0 < left:
-            rest.append((x0, low, left, high))
-        if right < x1:
-            rest.append((right, low, x1, high))
-    return rest
+def covered_area(rectangles: DataFrame, keys: list[str]) -> DataFrame:
+    """Area of the union of each key's rectangles (left, bottom, right, top): keys, covered.
+
+    A plane sweep: the distinct left and right edges cut a key into slabs; in a slab the rectangles that span it are taken
+    from the bottom up, and each adds what lies above all before it.
+    """
+    edges = rectangles.select(*keys, F.explode(F.array("left", "right")).alias("_x")).distinct()
+    slabs = edges.withColumn("_next", F.lead("_x").over(Window.partitionBy(*keys).orderBy("_x"))).where(F.col("_next").isNotNull())
+    spanning = rectangles.join(slabs, keys).where((F.col("left") <= F.col("_x")) & (F.col("right") >= F.col("_next")))
+    upward = Window.partitionBy(*keys, "_x").orderBy("bottom", "top").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.greatest("bottom", F.max("top").over(upward))  # greatest skips the null of the first
+    added = spanning.withColumn("_added", F.greatest(F.col("top") - start, F.lit(0.0)) * (F.col("_next") - F.col("_x")))
+    return added.groupBy(*keys).agg(F.sum("_added").alias("covered"))
 
 
 def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id", cell: float = CELL) -> DataFrame:
@@ -84,7 +78,7 @@ def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id",
     or any later draw is rotated or skewed.
 
     Pages are cut into cells.  In a cell the latest draw that fills it hides everything before it
-    there, so only the few draws after that one are compared one by one, however many are stacked.
+    there, so only the few draws after that one meet, however many are stacked; a sweep adds up what they cover.
     """
     sheet = {side: F.col(f"page_{side}") for side in SIDES}
     paged = draws.join(pages.select(page_key, *[F.col(side).alias(f"page_{side}") for side in SIDES]), page_key)
@@ -92,6 +86,7 @@ def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id",
     paged = paged.withColumn("rotated", (F.abs("b") > EPSILON) | (F.abs("c") > EPSILON))
     for side in SIDES:
         paged = paged.withColumn(side, box[side])
+    paged = cut_lineage(paged)
     raw = {side: F.col(side) for side in SIDES}
     visible = clip(raw, sheet)
     grown = clip(
@@ -125,52 +120,23 @@ def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id",
             (F.col("right") > F.col("left")) & (F.col("top") > F.col("bottom"))
         )
 
-    place = [page_key, "cx", "cy"]
-    shades, parts = in_cells(occluders), in_cells(candidates)
-    fills = shades.where("full").groupBy(*place).agg(F.max("z").alias("_fill"))
-    area = (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
-    marked = parts.join(fills, place, "left")
-    below = F.coalesce(F.col("z") < F.col("_fill"), F.lit(False))
-    hidden_whole = marked.where(below).select(page_key, "z", area.alias("covered"))
-    open_parts = marked.where(~below).drop("_fill", "full")
-    open_shades = shades.where("not full").join(fills, place, "left").where(F.col("_fill").isNull() | (F.col("z") > F.col("_fill"))).drop("_fill", "full")
-
-    # A draw can only be hidden if later draws reach into cells that hold 95 % of it.
-    latest = shades.groupBy(*place).agg(F.max("z").alias("_latest"))
-    whole = candidates.select(page_key, "z", area.alias("area"))
-    reachable = (
-        parts.join(latest, place).where(F.col("z") < F.col("_latest")).groupBy(page_key, "z").agg(F.sum(area).alias("_reach"))
-        .join(whole, [page_key, "z"]).where(F.col("_reach") >= F.col("area") * OCCLUSION_COVERAGE).select(page_key, "z")
-    )
-    rectangle = F.struct("z", *SIDES)
-    shown = open_parts.join(reachable, [page_key, "z"], "left_semi").groupBy(*place).agg(F.collect_list(rectangle).alias("shown"))
-    over = open_shades.groupBy(*place).agg(F.sort_array(F.collect_list(rectangle), asc=False).alias("over"))
-    types = dict(draws.dtypes)
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for key, targets, later_first in zip(batch[page_key], batch["shown"], batch["over"]):
-                later = [(o["z"], tuple(o[side] for side in SIDES)) for o in later_first]
-                for target in targets:
-                    x0, y0, x1, y1 = (target[side] for side in SIDES)
-                    pieces = [(x0, y0, x1, y1)]
-                    for z, other in later:
-                        if z <= target["z"] or not pieces:
-                            break
-                        pieces = _uncovered(pieces, other)
-                    left = sum((p[2] - p[0]) * (p[3] - p[1]) for p in pieces)
-                    found.append((key, target["z"], (x1 - x0) * (y1 - y0) - left))
-            yield pd.DataFrame(found, columns=[page_key, "z", "covered"])
-
-    hidden_part = shown.join(over, place).select(page_key, "shown", "over").mapInPandas(
-        measure, f"{page_key} {types[page_key]}, z {types['z']}, covered double"
-    )
-    coverage = hidden_whole.unionByName(hidden_part).groupBy(page_key, "z").agg(F.sum("covered").alias("covered"))
-    hidden = (
-        whole.join(coverage, [page_key, "z"])
-        .where(F.col("covered") >= F.col("area") * OCCLUSION_COVERAGE).select(page_key, "z")
-    )
+    place, piece = [page_key, "cx", "cy"], (F.col("right") - F.col("left")) * (F.col("top") - F.col("bottom"))
+    shades, parts = cut_lineage(in_cells(occluders)), in_cells(candidates).drop("full").withColumn("piece", piece)
+    tops = shades.groupBy(*place).agg(F.max("z").alias("_latest"), F.max(F.when(F.col("full"), F.col("z"))).alias("_fill"))
+    whole = Window.partitionBy(page_key, "z")
+    under = lambda top: F.coalesce(F.sum(F.when(F.col("z") < F.col(top), F.col("piece"))).over(whole), F.lit(0.0))
+    marked = parts.join(tops, place, "left").withColumns({"_enough": OCCLUSION_COVERAGE * F.sum("piece").over(whole), "_reach": under("_latest"), "_filled": under("_fill")})
+    # A draw can only be hidden if later draws reach into cells that hold 95 % of it, and is if they fill such cells.
+    reached = cut_lineage(marked.where(F.col("_reach") >= F.col("_enough")))
+    beneath = F.coalesce(F.col("z") < F.col("_fill"), F.lit(False))
+    doubtful = reached.where((F.col("_filled") < F.col("_enough")) & ~beneath & (F.col("z") < F.col("_latest")))
+    over = shades.where("not full").select(*place, F.col("z").alias("_z"), *[F.col(side).alias(f"_{side}") for side in SIDES])
+    met = doubtful.join(over, place).where(F.col("_z") > F.col("z"))
+    shared = {"left": F.greatest("left", "_left"), "bottom": F.greatest("bottom", "_bottom"), "right": F.least("right", "_right"), "top": F.least("top", "_top")}
+    overlaps = met.select(*place, "z", *[column.alias(side) for side, column in shared.items()]).where((F.col("right") > F.col("left")) & (F.col("top") > F.col("bottom"))).distinct()
+    partly = covered_area(overlaps, [*place, "z"]).groupBy(page_key, "z").agg(F.sum("covered").alias("_partly"))
+    judged = reached.groupBy(page_key, "z").agg(F.first("_enough").alias("_enough"), F.first("_filled").alias("_filled")).join(partly, [page_key, "z"], "left")
+    hidden = judged.where(F.col("_filled") + F.coalesce("_partly", F.lit(0.0)) >= F.col("_enough")).select(page_key, "z")
     return on_page.select(*draws.columns).join(hidden, [page_key, "z"], "left_anti")
 
 
