@@ -74,7 +74,24 @@ def ledger(spark, folder) -> DataFrame:
     return requests(spark, folder).select("run", "request_id", "epoch", "day", F.col("k").alias("estimate"), settled.alias("settled"), F.when(settled.isNotNull(), F.col("epoch") + 600).alias("settled_at"))
 
 
-@query("admitted_requests")
+#: One request of every run a step; the list holds the admitted ones still inside the window.
+SQL_ADMITTED = f"""
+    WITH RECURSIVE e AS ({SQL_EVENTS}),
+    r AS (SELECT run, event_id AS request_id, sec, day, k, CASE WHEN event_type <> 'error' THEN k // 2 END AS settled, row_number() OVER (PARTITION BY run ORDER BY sec, event_id) AS n FROM e),
+    s AS (
+        SELECT DISTINCT run, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS request_id, FALSE AS admitted, CAST(NULL AS DATE) AS day, CAST(0 AS BIGINT) AS today,
+               CAST([] AS STRUCT(sec BIGINT, k BIGINT, settled BIGINT)[]) AS recent FROM r
+        UNION ALL
+        SELECT run, n, request_id, ok, day, before + CAST(ok AS BIGINT), CASE WHEN ok THEN list_append(recent, {{'sec': sec, 'k': greatest(1, k), 'settled': settled}}) ELSE recent END FROM (
+            SELECT *, len(recent) < {LIMITS.requests} AND before < {LIMITS.daily} AND greatest(1, k) + coalesce(list_sum(list_transform(recent,
+                   lambda x: CASE WHEN x.settled IS NOT NULL AND x.sec + 600 <= sec THEN x.settled ELSE x.k END)), 0) <= {LIMITS.tokens} AS ok FROM (
+                SELECT r.*, list_filter(s.recent, lambda x: x.sec > r.sec - {LIMITS.window}) AS recent, CASE WHEN r.day IS NOT DISTINCT FROM s.day THEN s.today ELSE 0 END AS before
+                FROM s JOIN r ON r.run = s.run AND r.n = s.n + 1)))
+    SELECT run, request_id, admitted FROM s WHERE n > 0
+"""
+
+
+@query("admitted_requests", SQL_ADMITTED)
 def admitted_requests(spark, folder):
     return operations.admit_requests(ledger(spark, folder), "run", LIMITS)
 
@@ -89,7 +106,7 @@ def event_stream(spark, folder) -> DataFrame:
     return table_stream(spark, folder, "events").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-@query("streamed_admissions")
+@query("streamed_admissions", SQL_ADMITTED)
 def streamed_admissions(spark, folder):
     stream = event_stream(spark, folder)
     k = F.get_json_object("props", "$.k").cast("bigint")

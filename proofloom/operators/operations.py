@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.chunks import following, running_sum, trailing_aggregates
+from ..plans.lineage import delete_table, written_table
 
 QUOTA_ZONE = "America/Los_Angeles"  # fixed value: the zone whose midnight resets the daily quota
 
 
+#: Requests of a key that run in one go.
+CHUNK_REQUESTS = 50_000
+
+
 @dataclass(frozen=True)
 class Limits:
     """Fixed values by default: requests and tokens per minute, requests per day."""
@@ -95,35 +101,103 @@ def admit_rows(ledger: Ledger, rows: pd.DataFrame) -> list[bool]:
     return [ledger.admit(int(e), str(d), int(t), _whole(s), _whole(k)) for e, d, t, s, k in columns]
 
 
-def admit_requests(requests: DataFrame, key: str, limits: Limits) -> DataFrame:
+_CHUNK = "_place string, request_id {id}, admitted boolean, head_day string, head bigint, tail_day string, tail bigint, recent string"
+
+
+def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Verdicts of chunks (``_place``) from their start states, and a last row (admitted null) of each with what it leaves:
+    first and last day, requests admitted in each of them here, and the admitted requests still inside the window."""
+    schema = _CHUNK.format(id=dict(rows.dtypes)["request_id"])
+    names = [column.split()[0] for column in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        place, ledger, day, started, head = None, None, None, 0, 0
+
+        def left() -> tuple:
+            tail = ledger.today - (started if ledger.day == day else 0)
+            return place, None, None, day, head, ledger.day, tail, json.dumps(ledger.recent)
+
+        def table(out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame({name: pd.Series(held, dtype=object) for name, held in zip(names, zip(*out))})
+
+        for batch in batches:
+            out = []
+            for name, held in batch.groupby("_place", sort=False):
+                if name != place:
+                    if place is not None:
+                        out.append(left())
+                    place, head, day, started = name, 0, str(held["day"].iloc[0]), int(held["_today"].iloc[0])
+                    ledger = Ledger(limits, [tuple(entry) for entry in json.loads(held["_recent"].iloc[0])], day, started)
+                verdicts = admit_rows(ledger, held)
+                head += sum(ok and str(d) == day for ok, d in zip(verdicts, held["day"]))
+                out += [(place, request, ok, None, None, None, None, None) for request, ok in zip(held["request_id"].tolist(), verdicts)]
+            if out:
+                yield table(out)
+        if place is not None:
+            yield table([left()])
+
+    return rows.repartition("_place").sortWithinPartitions("_place", "epoch", "request_id").mapInPandas(run, schema)
+
+
+def _due(ends: DataFrame, key: str, limits: Limits) -> DataFrame:
+    """Chunks that must run again: what the chunks before them leave is not what they started from, and may matter."""
+    chain = Window.partitionBy(key, "_part").orderBy("_chunk")
+    carries = F.coalesce(F.col("head_day") == F.lag("tail_day").over(chain), F.lit(False))
+    breaks = (~F.col("_carries") | (F.col("head_day") != F.col("tail_day"))).cast("int")
+    grouped = ends.withColumn("_carries", carries).withColumn("_days", F.sum(breaks).over(chain))
+    summed = grouped.withColumn("_sum", F.sum("tail").over(Window.partitionBy(key, "_part", "_days").orderBy("_chunk")))
+    due = summed.withColumns({
+        "_new_today": F.when(F.col("_carries"), F.lag("_sum").over(chain)).otherwise(0).cast("bigint"), "_new_recent": F.coalesce(F.lag("recent").over(chain), F.lit("[]")),
+    })
+    # As long as the day's count stays below its limit with either start, it denies nothing.
+    counts = (F.col("_new_today") != F.col("_today")) & (F.greatest("_new_today", "_today") + F.col("head") >= limits.daily)
+    return due.where((F.col("_new_recent") != F.col("_recent")) | counts).select("_place", F.col("_new_today").alias("_today"), F.col("_new_recent").alias("_recent"))
+
+
+def admit_requests(requests: DataFrame, key: str, limits: Limits, chunk: int = CHUNK_REQUESTS) -> DataFrame:
     """Whether each request is admitted, given that denied ones use nothing.
 
     ``requests``: key, request_id, epoch, day, estimate, settled, settled_at.  Admission depends on
-    what was admitted before, so rows run in order; a key is cut wherever a new day starts after a
-    full quiet window, since nothing is carried over there, and rows stream through with only the
-    window held.
+    what was admitted before.  A key is cut wherever a new day starts after a full quiet window, since
+    nothing is carried over there, and besides into chunks of ``chunk`` requests.  All chunks run at
+    once, from the guess that the chunk before leaves nothing; those that turn out to have started
+    from something else run again, until none is left.  So a busy key keeps many tasks at work.
     """
     order = [F.col("epoch"), F.col("request_id")]
     days = F.datediff(F.col("day"), F.lit("1970-01-01"))
     here = requests.withColumn("_here", F.struct("epoch", "day"))
     chained = following(here, [key], days, order, "_here", "_next")
     cut = F.when((F.col("_next.epoch") - F.col("epoch") >= limits.window) & (F.col("_next.day") != F.col("day")), 1).otherwise(0)
-    counted = running_sum(chained.withColumn("_cut", cut.cast("bigint")), [key], days, order, F.col("_cut"), "_cuts")
-    parts = counted.withColumn("_part", F.col("_cuts") - F.col("_cut")).select(
-        key, "_part", "request_id", "epoch", F.col("day").cast("string").alias("day"), "estimate", "settled", "settled_at"
-    )
-    types = dict(requests.dtypes)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, ledger = None, None
-        for batch in batches:
-            admitted = []
-            for name, rows in batch.groupby([key, "_part"], sort=False):
-                if name != current:
-                    current, ledger = name, Ledger(limits)
-                admitted += admit_rows(ledger, rows)
-            yield pd.DataFrame({key: batch[key], "request_id": batch["request_id"], "admitted": admitted})
-
-    return parts.repartition(key, "_part").sortWithinPartitions(key, "_part", "epoch", "request_id").mapInPandas(
-        run, f"{key} {types[key]}, request_id {types['request_id']}, admitted boolean"
+    both = F.lit(1 << 32)  # one running sum holds the row number above and the cuts below
+    counted = running_sum(chained.withColumn("_cut", cut.cast("bigint")), [key], days, order, both + F.col("_cut"), "_sums")
+    placed = counted.withColumns({"_part": F.pmod("_sums", both) - F.col("_cut"), "_chunk": F.floor((F.shiftright("_sums", 32) - 1) / chunk)})
+    parts = placed.select(
+        key, "_part", "_chunk", F.to_json(F.struct(key, "_part", "_chunk")).alias("_place"), "request_id", "epoch",
+        F.col("day").cast("string").alias("day"), "estimate", "settled", "settled_at",
     )
+    rows, _ = written_table(parts)
+    nothing = {"_today": F.lit(0).cast("bigint"), "_recent": F.lit("[]")}
+    rounds = [written_table(_run_chunks(rows.withColumns(nothing), limits))[0]]
+    left = ["_place", "head_day", "head", "tail_day", "tail", "recent"]
+    chunks = rows.select(key, "_part", "_chunk", "_place").distinct()
+    several = chunks.withColumn("_several", F.count("*").over(Window.partitionBy(key, "_part"))).where(F.col("_several") > 1).drop("_several")
+    ends = several.join(rounds[0].where(F.col("admitted").isNull()).select(*left), "_place").withColumns(nothing | {"_round": F.lit(0)})
+    ends, path = written_table(ends)
+    while True:
+        due, due_path = written_table(_due(ends, key, limits))
+        if due.isEmpty():
+            break
+        rounds.append(written_table(_run_chunks(rows.join(due, "_place"), limits))[0])
+        again = rounds[-1].where(F.col("admitted").isNull()).select(*left).join(due, "_place").withColumn("_round", F.lit(len(rounds) - 1))
+        stay = ends.join(due, "_place", "left_anti")
+        moved = several.join(again, "_place").select(*stay.columns)
+        ends, new = written_table(stay.unionByName(moved))
+        for old in (path, due_path):
+            delete_table(requests.sparkSession, old)
+        path = new
+    final = ends.where(F.col("_round") > 0).select("_place", "_round")
+    verdicts = rounds[0].where(F.col("admitted").isNotNull()).join(final, "_place", "left_anti").select("_place", "request_id", "admitted")
+    for number, found in enumerate(rounds[1:], 1):
+        of_round = found.where(F.col("admitted").isNotNull()).join(final.where(F.col("_round") == number), "_place", "left_semi")
+        verdicts = verdicts.unionByName(of_round.select("_place", "request_id", "admitted"))
+    return verdicts.join(chunks, "_place").select(key, "request_id", "admitted")

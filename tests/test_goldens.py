@@ -232,6 +232,9 @@ def test_admission_against_brute_force(spark):
     )
     got = {r["request_id"]: r["admitted"] for r in operations.admit_requests(sent, "run", limits).collect()}
     assert got == ledger_by_hand(rows, limits) and len(set(got.values())) == 2
+    busy = operations.Limits(20_000, 4, 300, 7)  # no quiet window: all of a key hangs together, and every limit binds
+    got = {r["request_id"]: r["admitted"] for r in operations.admit_requests(sent, "run", busy, chunk=23).collect()}
+    assert got == ledger_by_hand(rows, busy) and len(set(got.values())) == 2
 
 
 def test_sixteenth_request_in_a_minute_is_denied():
