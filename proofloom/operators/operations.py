@@ -101,13 +101,13 @@ def admit_rows(ledger: Ledger, rows: pd.DataFrame) -> list[bool]:
     return [ledger.admit(int(e), str(d), int(t), _whole(s), _whole(k)) for e, d, t, s, k in columns]
 
 
-_CHUNK = "_place string, request_id {id}, admitted boolean, head_day string, head bigint, tail_day string, tail bigint, recent string"
+_CHUNK = "_place string, _key {key}, request_id {id}, admitted boolean, head_day string, head bigint, tail_day string, tail bigint, recent string"
 
 
 def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
     """Verdicts of chunks (``_place``) from their start states, and a last row (admitted null) of each with what it leaves:
     first and last day, requests admitted in each of them here, and the admitted requests still inside the window."""
-    schema = _CHUNK.format(id=dict(rows.dtypes)["request_id"])
+    schema = _CHUNK.format(key=dict(rows.dtypes)["_key"], id=dict(rows.dtypes)["request_id"])
     names = [column.split()[0] for column in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,7 +115,7 @@ def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
 
         def left() -> tuple:
             tail = ledger.today - (started if ledger.day == day else 0)
-            return place, None, None, day, head, ledger.day, tail, json.dumps(ledger.recent)
+            return place, None, None, None, day, head, ledger.day, tail, json.dumps(ledger.recent)
 
         def table(out: list[tuple]) -> pd.DataFrame:
             return pd.DataFrame({name: pd.Series(held, dtype=object) for name, held in zip(names, zip(*out))})
@@ -130,7 +130,7 @@ def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
                     ledger = Ledger(limits, [tuple(entry) for entry in json.loads(held["_recent"].iloc[0])], day, started)
                 verdicts = admit_rows(ledger, held)
                 head += sum(ok and str(d) == day for ok, d in zip(verdicts, held["day"]))
-                out += [(place, request, ok, None, None, None, None, None) for request, ok in zip(held["request_id"].tolist(), verdicts)]
+                out += [(place, owner, request, ok, None, None, None, None, None) for owner, request, ok in zip(held["_key"].tolist(), held["request_id"].tolist(), verdicts)]
             if out:
                 yield table(out)
         if place is not None:
@@ -139,13 +139,13 @@ def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
     return rows.repartition("_place").sortWithinPartitions("_place", "epoch", "request_id").mapInPandas(run, schema)
 
 
-def _due(ends: DataFrame, key: str, limits: Limits) -> DataFrame:
+def _due(ends: DataFrame, limits: Limits) -> DataFrame:
     """Chunks that must run again: what the chunks before them leave is not what they started from, and may matter."""
-    chain = Window.partitionBy(key, "_part").orderBy("_chunk")
+    chain = Window.partitionBy("_key", "_part").orderBy("_chunk")
     carries = F.coalesce(F.col("head_day") == F.lag("tail_day").over(chain), F.lit(False))
     breaks = (~F.col("_carries") | (F.col("head_day") != F.col("tail_day"))).cast("int")
     grouped = ends.withColumn("_carries", carries).withColumn("_days", F.sum(breaks).over(chain))
-    summed = grouped.withColumn("_sum", F.sum("tail").over(Window.partitionBy(key, "_part", "_days").orderBy("_chunk")))
+    summed = grouped.withColumn("_sum", F.sum("tail").over(Window.partitionBy("_key", "_part", "_days").orderBy("_chunk")))
     due = summed.withColumns({
         "_new_today": F.when(F.col("_carries"), F.lag("_sum").over(chain)).otherwise(0).cast("bigint"), "_new_recent": F.coalesce(F.lag("recent").over(chain), F.lit("[]")),
     })
@@ -172,19 +172,23 @@ def admit_requests(requests: DataFrame, key: str, limits: Limits, chunk: int = C
     counted = running_sum(chained.withColumn("_cut", cut.cast("bigint")), [key], days, order, both + F.col("_cut"), "_sums")
     placed = counted.withColumns({"_part": F.pmod("_sums", both) - F.col("_cut"), "_chunk": F.floor((F.shiftright("_sums", 32) - 1) / chunk)})
     parts = placed.select(
-        key, "_part", "_chunk", F.to_json(F.struct(key, "_part", "_chunk")).alias("_place"), "request_id", "epoch",
+        F.col(key).alias("_key"), "_part", "_chunk", F.to_json(F.struct(key, "_part", "_chunk")).alias("_place"), "request_id", "epoch",
         F.col("day").cast("string").alias("day"), "estimate", "settled", "settled_at",
     )
     rows, _ = written_table(parts)
     nothing = {"_today": F.lit(0).cast("bigint"), "_recent": F.lit("[]")}
-    rounds = [written_table(_run_chunks(rows.withColumns(nothing), limits))[0]]
+    first = _run_chunks(rows.withColumns(nothing), limits)
+    verdict = ["_key", "request_id", "admitted"]
+    if not rows.agg(F.max("_chunk").alias("most")).first()["most"]:  # no key has more than a chunk: nothing comes before
+        return first.where(F.col("admitted").isNotNull()).select(F.col("_key").alias(key), *verdict[1:])
+    rounds = [written_table(first)[0]]
     left = ["_place", "head_day", "head", "tail_day", "tail", "recent"]
-    chunks = rows.select(key, "_part", "_chunk", "_place").distinct()
-    several = chunks.withColumn("_several", F.count("*").over(Window.partitionBy(key, "_part"))).where(F.col("_several") > 1).drop("_several")
+    chunks = rows.select("_key", "_part", "_chunk", "_place").distinct()
+    several = chunks.withColumn("_several", F.count("*").over(Window.partitionBy("_key", "_part"))).where(F.col("_several") > 1).drop("_several")
     ends = several.join(rounds[0].where(F.col("admitted").isNull()).select(*left), "_place").withColumns(nothing | {"_round": F.lit(0)})
     ends, path = written_table(ends)
     while True:
-        due, due_path = written_table(_due(ends, key, limits))
+        due, due_path = written_table(_due(ends, limits))
         if due.isEmpty():
             break
         rounds.append(written_table(_run_chunks(rows.join(due, "_place"), limits))[0])
@@ -195,9 +199,11 @@ def admit_requests(requests: DataFrame, key: str, limits: Limits, chunk: int = C
         for old in (path, due_path):
             delete_table(requests.sparkSession, old)
         path = new
-    final = ends.where(F.col("_round") > 0).select("_place", "_round")
-    verdicts = rounds[0].where(F.col("admitted").isNotNull()).join(final, "_place", "left_anti").select("_place", "request_id", "admitted")
-    for number, found in enumerate(rounds[1:], 1):
-        of_round = found.where(F.col("admitted").isNotNull()).join(final.where(F.col("_round") == number), "_place", "left_semi")
-        verdicts = verdicts.unionByName(of_round.select("_place", "request_id", "admitted"))
-    return verdicts.join(chunks, "_place").select(key, "request_id", "admitted")
+    judged = [found.where(F.col("admitted").isNotNull()).select("_place", *verdict) for found in rounds]
+    verdicts = judged[0]
+    if len(rounds) > 1:
+        final = ends.where(F.col("_round") > 0).select("_place", "_round")
+        verdicts = verdicts.join(final, "_place", "left_anti")
+        for number, found in enumerate(judged[1:], 1):
+            verdicts = verdicts.unionByName(found.join(final.where(F.col("_round") == number), "_place", "left_semi"))
+    return verdicts.select(F.col("_key").alias(key), *verdict[1:])
