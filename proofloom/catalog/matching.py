@@ -93,6 +93,42 @@ def assigned_matches(spark, folder):
     return matching.match_one_to_one(targets, candidates, vectors.WeightedL1(PHOTO_WEIGHTS), SCORE_LIMIT, MARGIN, **BY_LABEL)
 
 
+def contested(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """Of every three vectors, two are cards; one photo is almost the first card, another lies between both, nearer to the first."""
+    rows = table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 60).alias("project"), F.floor(F.col("vec_id") / 3).alias("pair"), (F.col("vec_id") % 3).alias("part"), "vec_id", F.col("embedding").alias("vector"),
+    )
+    one = rows.where("part = 1").select("project", "pair", F.col("vector").alias("_one"))
+    both = one.join(rows.where("part = 2").select("pair", F.col("vector").alias("_other")), "pair")
+    mixed = lambda share: F.zip_with("_one", "_other", lambda a, b: (a.cast("double") * share + b.cast("double") * (1 - share)).cast("float"))
+    photos = both.select("project", (F.col("pair") * 2).alias("photo"), mixed(0.98).alias("vector")).unionByName(
+        both.select("project", (F.col("pair") * 2 + 1).alias("photo"), mixed(0.53).alias("vector")))
+    return photos, rows.where("part > 0")
+
+
+SQL_MIXED = "list_transform(generate_series(1, 64), lambda i: CAST(CAST(o.embedding[i] AS DOUBLE) * {share} + CAST(t.embedding[i] AS DOUBLE) * {rest} AS FLOAT))"
+
+
+@query("contested_matches", f"""
+    WITH p AS (SELECT o.vec_id // 60 AS block, o.vec_id // 3 AS pair, o.vec_id AS first, t.vec_id AS other, o.embedding AS a, t.embedding AS b,
+                      {SQL_MIXED.format(share='0.98::DOUBLE', rest='(1 - 0.98::DOUBLE)')} AS near, {SQL_MIXED.format(share='0.53::DOUBLE', rest='(1 - 0.53::DOUBLE)')} AS between_both
+               FROM embeddings o JOIN embeddings t ON t.vec_id = o.vec_id + 1 AND o.vec_id % 3 = 1),
+    c AS (SELECT *, {sql_l1('near', 'a', PHOTO_WEIGHTS)} AS na, {sql_l1('near', 'b', PHOTO_WEIGHTS)} AS nb,
+                 {sql_l1('between_both', 'a', PHOTO_WEIGHTS)} AS ba, {sql_l1('between_both', 'b', PHOTO_WEIGHTS)} AS bb FROM p),
+    s AS (SELECT *, na + bb <= nb + ba AS straight FROM c)
+    SELECT block, pair * 2 AS target, CASE WHEN straight THEN first ELSE other END AS candidate, round(CASE WHEN straight THEN na ELSE nb END, 5) AS cost FROM s
+    UNION ALL SELECT block, pair * 2 + 1, CASE WHEN straight THEN other ELSE first END, round(CASE WHEN straight THEN bb ELSE ba END, 5) FROM s
+""")
+def contested_matches(spark, folder):
+    """Two photos want the same card; the least total gives one of them its second choice.
+
+    The SQL tries both ways for every pair of cards, which is the whole optimum as long as no third card is nearer.
+    """
+    photos, cards = contested(spark, folder)
+    columns = {**BY_PROJECT, "target": "photo"}
+    return assign_one_to_one(photos, cards, vectors.WeightedL1(PHOTO_WEIGHTS), **columns).withColumn("cost", F.round("cost", 5))
+
+
 @query("one_to_one_cards")
 def one_to_one_cards(spark, folder):
     looks, cards = looks_and_cards(spark, folder)
