@@ -37,6 +37,14 @@ UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def letter_words(text: str) -> list[str]:
+    """Runs of letters, lower-cased; signs for numbers such as one half or a circled two are none."""
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+
+
 def grams(word: str, order: int) -> list[str]:
     """Character n-grams of a word; from order 2 on with its edges marked."""
     if order == 1:
@@ -76,7 +84,7 @@ def fit_language_model(
         words: dict[str, Counter] = {}
         for batch in batches:
             for language, held_text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words.setdefault(language, Counter()).update(LETTERS.findall(held_text.lower()))
+                words.setdefault(language, Counter()).update(letter_words(held_text))
         for language, found in words.items():
             for order in range(orders + 1):
                 if order:
@@ -151,7 +159,7 @@ def word_rows(model: LanguageModel) -> WordRows:
 
 def predict(model: LanguageModel, text: str | None) -> tuple[str, float]:
     """Language and share of the evidence (0 to 1) of one text."""
-    words = LETTERS.findall((text or "").lower())
+    words = letter_words(text or "")
     if not words or not model.languages:
         return UNDETERMINED, 0.0
     total = word_rows(model).rows(words).sum(axis=0) * min(1.0, EVIDENCE_WORDS / len(words))

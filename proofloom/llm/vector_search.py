@@ -195,7 +195,8 @@ def nearest_vectors(
 
     ``is_query`` is a condition on the rows.  Vectors that are null, empty, zero or hold a null or non-finite
     component take no part, nor do rows without an id; all others must have one length.  A query leaves out every
-    row of its own id.  Ties go to the smaller id; repeated rows are ranked like rows of their own.  With fewer
+    row of its own id.  An id asks once, however often its row is repeated; of several vectors the one that sorts
+    first asks.  Ties go to the smaller id; repeated rows are ranked like rows of their own.  With fewer
     candidates than k all are returned, none for an empty table.
     """
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vector"), is_query.alias("asks"))
@@ -203,7 +204,7 @@ def nearest_vectors(
     rows = rows.where(F.col("id").isNotNull() & (F.size("vector") > 0) & finite & F.exists("vector", lambda x: x != 0.0))
     rows, _ = written_table(rows)
     index, shards = index_vectors(rows.select("id", "vector"), shard_rows=shard_rows, leaf=leaf)
-    blocks, many = _packed(rows.where("asks").select("id", "vector"), "block", block_queries, lambda ids, held: (ids, held))
+    blocks, many = _packed(rows.where("asks").groupBy("id").agg(F.min("vector").alias("vector")), "block", block_queries, lambda ids, held: (ids, held))
     index, blocks = written_table(index)[0], written_table(blocks.withColumnRenamed("packed", "asking"))[0]
 
     def each(n: int):

@@ -10,7 +10,7 @@ import pytest
 from fixtures import FOLDER, ODD, duck, none, odd
 from pyspark.sql import functions as F
 
-from proofloom.llm import filter_audit, line_runs, periodic_runs, queries
+from proofloom.llm import filter_audit, language, line_runs, periodic_runs, queries, vector_search
 
 
 def rows(df):
@@ -200,3 +200,22 @@ def test_failures_of_odd_rows(spark):
     assert sum(r["good_lost"] for r in first) == sum(r["toxic_lost"] for r in first) == sum(r[0] == 1 for r in ODD)
     assert rows(filter_audit.audit_filters(none(spark), labels)) == []
     assert len(rows(filter_audit.audit_filters(odd(spark), labels.limit(0)))) == 4 * 600
+
+
+def test_signs_for_numbers_are_no_letters(spark):
+    model = language.fit_language_model(spark.createDataFrame([("abab abab", "x"), ("zwzw zwzw", "y")], "text string, lang string"))
+    assert language.predict(model, "½ ② 12 ²") == ("und", 0.0)
+    assert language.predict(model, "½abab²") == language.predict(model, "abab") and language.letter_words("aé½b ②C") == ["aé", "b", "c"]
+
+
+def test_a_repeated_query_asks_once(spark):
+    vectors = np.random.default_rng(0).normal(size=(60, 4))
+    held = [(i, vectors[i].tolist()) for i in range(60)] + [(20, vectors[20].tolist())] * 3 + [(40, vectors[3].tolist())]
+    frame = spark.createDataFrame(held, "vec_id bigint, embedding array<double>").repartition(4)
+    found = rows(vector_search.nearest_vectors(frame, F.col("vec_id") % 20 == 0, k=5))
+    asked = {i: min(v for j, v in held if j == i) for i in (0, 20, 40)}
+    expected = {}
+    for i, vector in asked.items():
+        ranked = sorted((-float(np.dot(vector, v)), j) for j, v in held if j != i)[:5]
+        expected |= {(i, rank): j for rank, (_, j) in enumerate(ranked, 1)}
+    assert {(r["query_id"], r["rank"]): r["vec_id"] for r in found} == expected and len(found) == 15
