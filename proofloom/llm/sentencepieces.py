@@ -35,6 +35,10 @@ MEMO_SEGMENTS = 120_000
 #: Longer segments are encoded anew each time instead of filling the memo.
 MEMO_CHARACTERS = 64
 
+#: A key of the agenda is a place among the scores and, in the lower bits, the position of the pair's left symbol.
+POSITION_BITS = 40
+POSITION_MASK = (1 << POSITION_BITS) - 1
+
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
 
 
@@ -55,8 +59,11 @@ class MergeVocabulary:
         self.prefix = MARK if rules.add_dummy_prefix else ""
         self.pieces = [p.piece for p in model.pieces]
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
-        #: Sort key of a merge: the best score comes first.
-        self.cost = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
+        #: What a piece decodes to.
+        self.surface = [p.replace(MARK, " ") for p in self.pieces]
+        places = {score: place for place, score in enumerate(sorted({p.score for p in model.pieces if p.type == NORMAL}, reverse=True))}
+        #: Place of a piece among the scores, best first, as the upper part of its sort keys on the agenda.
+        self.cost = {p.piece: places[p.score] << POSITION_BITS for p in model.pieces if p.type == NORMAL}
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
@@ -80,24 +87,23 @@ class MergeVocabulary:
         cost = self.cost.get
         symbols: list[str | None] = list(segment)
         n = len(symbols)
-        agenda = [(c, i, i + 1, pair) for i in range(n - 1) if (c := cost(pair := segment[i : i + 2])) is not None]
+        agenda = [c + i for i in range(n - 1) if (c := cost(segment[i : i + 2])) is not None]
         if not agenda:
             return symbols
         heapify(agenda)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while agenda:
-            _, left, right, pair = heappop(agenda)
-            a, b = symbols[left], symbols[right]
-            if a is None or b is None or len(a) + len(b) != len(pair) or after[left] != right:
+            left = (key := heappop(agenda)) & POSITION_MASK
+            if (a := symbols[left]) is None or (right := after[left]) >= n or cost(pair := a + symbols[right]) != key - left:
                 continue  # one side has been merged since
             symbols[left], symbols[right] = pair, None
             beyond = after[left] = after[right]
             if beyond < n:
                 before[beyond] = left
-                if (c := cost(joined := pair + symbols[beyond])) is not None:
-                    heappush(agenda, (c, left, beyond, joined))
-            if (ahead := before[left]) >= 0 and (c := cost(joined := symbols[ahead] + pair)) is not None:
-                heappush(agenda, (c, ahead, left, joined))
+                if (c := cost(pair + symbols[beyond])) is not None:
+                    heappush(agenda, c + left)
+            if (ahead := before[left]) >= 0 and (c := cost(symbols[ahead] + pair)) is not None:
+                heappush(agenda, c + ahead)
         return [s for s in symbols if s is not None]
 
     def encode_segment(self, segment: str) -> list[int]:
@@ -114,6 +120,8 @@ class MergeVocabulary:
 
     def decode_ids(self, ids: list[int]) -> str:
         """Text of a run of ids, with the first space mark still in place."""
+        if self.byte_of.keys().isdisjoint(ids):
+            return "".join([self.surface[i] for i in ids])
         parts, held = [], bytearray()
         for i in ids:
             if i in self.byte_of:
@@ -122,7 +130,7 @@ class MergeVocabulary:
             if held:
                 parts.append(held.decode("utf-8", "replace"))
                 held = bytearray()
-            parts.append(self.pieces[i].replace(MARK, " "))
+            parts.append(self.surface[i])
         if held:
             parts.append(held.decode("utf-8", "replace"))
         return "".join(parts)
@@ -143,65 +151,76 @@ class Differs(ValueError):
 class Encoder:
     """A vocabulary with the worker's memo and the library to check against."""
 
-    def __init__(self, path: str, text: bool = True, decoded: bool = True):
-        """``text`` and ``decoded`` tell which forms of a segment are wanted; the others are left empty."""
-        self.text, self.decoded = text, decoded
+    def __init__(self, path: str, text: bool = True):
+        """The memo holds a segment's ids as decimal ``text`` joined by commas, else as bytes of 32-bit numbers."""
+        self.text = text
         self.vocabulary = MergeVocabulary(path)
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.young: dict[str, tuple[int, str, str, bytes]] = {}
-        self.old: dict[str, tuple[int, str, str, bytes]] = {}
+        self.young: dict[str, str | bytes] = {}
+        self.old: dict[str, str | bytes] = {}
 
-    def same_as_library(self, segments: list[str], encoded: list[list[int]]) -> None:
+    def same_as_library(self, segments: list[str], encoded: list[list[int]], decoded: list[str] | None = None) -> None:
         """Compare segments in one call: each is given so that the library puts the same mark before it."""
         vocabulary, bare = self.vocabulary, self.vocabulary.encode(self.vocabulary.lone)
-        marked = bool(vocabulary.prefix)
+        lone, marked = vocabulary.lone, bool(vocabulary.prefix)
+        decoded = decoded or [vocabulary.decode_ids(ids) for ids in encoded]
         texts, heads = [], []
         for s in segments:
-            if marked and s.startswith(MARK):
-                texts.append(s[1:].replace(MARK, " ") if len(s) > 1 else "")
+            if marked and s[0] == MARK:
+                texts.append(s[1:].replace(MARK, " "))
                 heads.append(0)
             else:
-                texts.append(vocabulary.lone + s.replace(MARK, " "))
+                texts.append(lone + s.replace(MARK, " "))
                 heads.append(len(bare))
         theirs = self.library.encode(texts, num_threads=1)
-        decoded = self.library.decode(theirs, num_threads=1)
-        for s, text, head, ids, their, back in zip(segments, texts, heads, encoded, theirs, decoded):
-            if text and (their[head:] != ids or back != vocabulary.decode(their)):
+        backs = self.library.decode(theirs, num_threads=1)
+        for s, text, head, ids, own, their, back in zip(segments, texts, heads, encoded, decoded, theirs, backs):
+            if text and (their[head:] != ids or back != (lone + own if head else own[1:])):
                 raise Differs(f"segment {s!r}: {ids} here, {their[head:]} in the library")
 
-    def segments(self, texts: list[str], verify: bool) -> list[list[tuple[int, str, str, bytes]]]:
-        """For each text its segments as (number of ids, the ids as text, decoded text, the ids as 32-bit numbers)."""
+    def encode_texts(self, texts: list[str], verify: bool) -> list[tuple[str | bytes, str]]:
+        """For each text its ids, in the form the memo has, and its decoded text with the first mark's space."""
         vocabulary, young, old = self.vocabulary, self.young, self.old
         if len(young) > MEMO_SEGMENTS:
             self.old = old = young
             self.young = young = {}
         cut = [vocabulary.cut(t) for t in texts]
-        wanted = set().union(*cut) if cut else set()
-        here = {}
+        here: dict[str, str | bytes] = {}
         new = []
-        for s in wanted:
-            held = young.get(s) or old.get(s)
+        for s in set().union(*cut):
+            held = young.get(s)
             if held is None:
-                new.append(s)
-            else:
-                here[s] = held
-                if len(s) <= MEMO_CHARACTERS:
-                    young[s] = held
+                if (held := old.get(s)) is None:
+                    new.append(s)
+                    continue
+                young[s] = held
+            here[s] = held
         encoded = [vocabulary.encode_segment(s) for s in new]
+        decoded = [vocabulary.decode_ids(ids) for ids in encoded]
         if verify:
-            self.same_as_library(new, encoded)
-        for s, ids in zip(new, encoded):
-            here[s] = (len(ids), ",".join(map(str, ids)) if self.text else "", vocabulary.decode_ids(ids) if self.decoded else "", array("i", ids).tobytes())
-            if len(s) <= MEMO_CHARACTERS:
-                young[s] = here[s]
-        find = here.__getitem__
-        return [list(map(find, c)) for c in cut]
+            self.same_as_library(new, encoded, decoded)
+        changed = {}
+        for s, ids, back in zip(new, encoded, decoded):
+            form = here[s] = ",".join(map(str, ids)) if self.text else array("i", ids).tobytes()
+            if back != s.replace(MARK, " "):
+                changed[s] = back
+            elif len(s) <= MEMO_CHARACTERS:
+                young[s] = form  # only what decodes to itself, so that the memo needs no decoded text
+        find, joint = here.__getitem__, "," if self.text else b""
+        made = []
+        for segments in cut:
+            if changed and not changed.keys().isdisjoint(segments):
+                back = "".join([changed.get(s) or s.replace(MARK, " ") for s in segments])
+            else:
+                back = "".join(segments).replace(MARK, " ")
+            made.append((joint.join(map(find, segments)), back))
+        return made
 
 
 @functools.lru_cache(maxsize=1)
-def encoder(path: str, text: bool = True, decoded: bool = True) -> Encoder:
+def encoder(path: str, text: bool = True) -> Encoder:
     """The worker's encoder; one at a time, so that memos do not add up."""
-    return Encoder(path, text, decoded)
+    return Encoder(path, text)
 
 
 def blocks(texts: list[str], characters: int = 4_000_000):
@@ -231,26 +250,26 @@ def encode_documents(
     types = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
     marked = bool(MergeVocabulary(model or default_model()).prefix)
     wants_text = verify == "texts" or "ids_sha256" in outputs
-    wants_decoded = verify == "texts" or not {"decoded", "decoded_sha256"}.isdisjoint(outputs)
 
     def digest(text: str) -> str:
         return hashlib.sha256(text.encode("utf-8")).hexdigest()
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = encoder(model or default_model(), wants_text, wants_decoded)
+        held = encoder(model or default_model(), wants_text)
         rows: dict[str, list] = {name: [] for name in ("n_tokens", *outputs)}
         for texts in blocks([t or "" for t in batch.column(1).to_pylist()]):
-            for t, found in zip(texts, held.segments(texts, verify == "segments")):
-                rows["n_tokens"].append(sum([f[0] for f in found]))
-                ids = ",".join([f[1] for f in found]) if wants_text else ""
-                decoded = "".join([f[2] for f in found]) if wants_decoded else ""
-                if marked and decoded.startswith(" "):
-                    decoded = decoded[1:]
+            for t, (ids, decoded) in zip(texts, held.encode_texts(texts, verify == "segments")):
+                if marked:
+                    decoded = decoded.removeprefix(" ")
                 if verify == "texts":
                     theirs = held.library.encode(t)
                     if ids != ",".join(map(str, theirs)) or decoded != held.library.decode(theirs):
                         raise Differs(f"a text of {len(t)} characters")
-                made = {"ids": lambda: b"".join([f[3] for f in found]), "decoded": lambda: decoded, "ids_sha256": lambda: digest(ids), "decoded_sha256": lambda: digest(decoded)}
+                rows["n_tokens"].append((ids.count(",") + bool(ids)) if wants_text else len(ids) // 4)
+                made = {
+                    "ids": lambda: array("i", map(int, ids.split(",") if ids else [])).tobytes() if wants_text else ids,
+                    "decoded": lambda: decoded, "ids_sha256": lambda: digest(ids), "decoded_sha256": lambda: digest(decoded),
+                }
                 for name in outputs:
                     rows[name].append(made[name]())
         arrow = {name: pa.array(rows[name], pa.string()) for name in outputs if name != "ids"}
