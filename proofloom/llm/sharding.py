@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows balanced together.
 
-Equal texts are one group; a group of more than ``PIECE_ROWS`` rows is split into pieces of about that size, so a hot
-group neither fills a shard nor a task.  Pieces have a vector (bytes, tokens, rows).  A block of pieces is packed in
+Equal texts are one group; a group that exceeds ``PIECE_ROWS`` rows, or a fixed share of a shard in bytes or tokens, is
+split into pieces of about that size, so a hot group neither fills a shard nor a task.  Pieces have a vector (bytes, tokens, rows).  A block of pieces is packed in
 one task, largest share first, each where the dot product with the residual capacity is highest.  The shards of all
 blocks are then items of the next level, where those of one block go to different shards, and so on until one block
 is left: every level has 1/256 of the items of the one below, so the levels grow with the logarithm of the table.
@@ -20,6 +20,8 @@ from .mixing import words_in
 
 SHARDS = 16
 PIECE_ROWS = 256
+#: A piece of several rows holds at most about 1/16 of a shard's bytes and tokens.
+PIECES_PER_SHARD = 16
 #: Pieces packed in one task.
 BLOCK_ITEMS = 4_096
 #: Weights of bytes, tokens and rows in the dot product.
@@ -99,8 +101,9 @@ def pack_shards(
     """One row per document: doc_id, size, text_crc32, tokens, rows of its group, shard and slot (gapless from 0 in a shard).
 
     size is the UTF-8 length of the text plus 1.  A null text counts as an empty one, in size, checksum and group.
-    Repeated rows get a slot each; null keys are placed like others; an empty table gives no rows; with fewer
-    documents than shards some shards stay empty.  The placement depends on the rows alone, so reruns agree.
+    Repeated rows get a slot each and are dealt by their number among equal ones, null keys likewise; an empty table
+    gives no rows; with fewer documents than shards some shards stay empty.  The placement depends on the rows alone,
+    so reruns agree.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.col(text), F.lit(""))
@@ -108,12 +111,17 @@ def pack_shards(
         F.col(key).alias("doc_id"), (F.octet_length(held) + 1).cast("bigint").alias("size"), F.crc32(held.cast("binary")).alias("text_crc32"),
         words_in(F.col(text)).alias("tokens"), F.xxhash64(held).alias("text_hash"),
     )
-    rows, path = written_table(rows)
-    large = rows.groupBy("text_hash", "text_crc32", "size").count().where(F.col("count") > piece_rows)
-    large = large.select("text_hash", "text_crc32", "size", F.ceil(F.col("count") / piece_rows).alias("pieces"))
-    split = rows.join(broadcast_if_small(large), ["text_hash", "text_crc32", "size"], "left")
-    piece = F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1)))
-    split = split.withColumn("item", F.xxhash64("text_hash", "text_crc32", "size", piece)).drop("text_hash", "pieces")
+    # Equal rows are counted and dealt out again with a number each, so that none of them is told from another by its place.
+    numbered = rows.groupBy(*rows.columns).count().withColumn("_number", F.explode(F.sequence(F.lit(1), F.col("count")))).drop("count")
+    rows, path = written_table(numbered)
+    group = ["text_hash", "text_crc32", "size", "tokens"]
+    totals = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    share = [F.floor(F.lit(totals[m] / (shards * PIECES_PER_SHARD)) / F.greatest(F.col(m), F.lit(1))) for m in ("size", "tokens")]
+    most = F.greatest(F.lit(1), F.least(F.lit(piece_rows), share[0], F.when(F.col("tokens") > 0, share[1])))
+    large = rows.groupBy(*group).count().withColumn("pieces", F.ceil(F.col("count") / most)).where("pieces > 1").drop("count")
+    split = rows.join(broadcast_if_small(large), group, "left")
+    piece = F.pmod(F.xxhash64("doc_id", "_number"), F.coalesce("pieces", F.lit(1)))
+    split = split.withColumn("item", F.xxhash64("text_hash", "text_crc32", "size", piece)).drop("text_hash", "pieces", "_number")
     items = split.groupBy("item").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     placed = place_items(items, shards, block_items)
     order = Window.partitionBy("item").orderBy("doc_id", "text_crc32", "size")
