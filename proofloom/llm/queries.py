@@ -70,7 +70,8 @@ def op2_quality_rules(spark, folder):
 
 
 @query("op4_mixing", r"""
-    WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+    WITH told AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(text, '')) AS digest FROM documents),
+    sized AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, digest) AS number FROM told),
     sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
     weighed AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM sums),
     stops AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 3.0::DOUBLE * source_size / weight AS stop FROM weighed),
@@ -80,7 +81,7 @@ def op2_quality_rules(spark, folder):
     targets AS (SELECT source, source_size, least(cap, shared.level * weight) AS target FROM stops, shared),
     rates AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 1.0::DOUBLE END AS rate FROM targets),
     drawn AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,
-                     CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE AS share
+                     CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || digest || ':' || number), 1, 13))::UBIGINT AS DOUBLE) / 4503599627370496.0::DOUBLE AS share
               FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source)
     SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN share < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM drawn
 """)

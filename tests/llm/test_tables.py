@@ -37,6 +37,15 @@ def test_shards_are_balanced_in_all_measures(spark):
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in again} == {r["doc_id"]: (r["shard"], r["slot"]) for r in found}
 
 
+def test_large_texts_and_rows_without_an_id_are_dealt_evenly(spark):
+    copies = [(i, "x" * 20_000) for i in range(200)] + [(1_000 + i, f"text {i}") for i in range(3_000)]
+    sizes = check_shards(rows(sharding.pack_shards(spark.createDataFrame(copies, "doc_id bigint, text string"))), 16)[:, 0]
+    assert np.ptp(sizes) < 1.5 * 20_001  # 12 or 13 of the large ones each
+    nameless = [(None, "the same text")] * 2_000 + [(i, f"text {i}") for i in range(3_000)]
+    totals = check_shards(rows(sharding.pack_shards(spark.createDataFrame(nameless, "doc_id bigint, text string"))), 16)
+    assert (np.ptp(totals, axis=0) / totals.mean(axis=0)).max() < 0.05
+
+
 def test_items_go_where_the_dot_product_is_highest():
     items = np.random.default_rng(0).integers(1, 50, size=(40, 3)).astype(float)
     shares = items / items.sum(axis=0)
@@ -103,6 +112,19 @@ def test_mix_of_odd_rows(spark):
     assert rows(mixing.mix(none(spark))) == rows(mixing.mixing_plan(none(spark))) == []
 
 
+def test_rows_without_an_id_draw_apart(spark):
+    texts = [(None, "one two", "a")] * 600 + [(None, f"one two {i}", "a") for i in range(400)] + [(i, "w " * 200, "b") for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, source string").repartition(5)
+    plan = rows(mixing.mixing_plan(docs))
+    target = {r["size"]: r["target"] for r in plan}
+    assert sum(r["size"] * r["copies"] for r in plan if r["doc_id"] is None) == pytest.approx(target[2], rel=0.1)
+    mixed = Counter((r["doc_id"], r["source"], len(r["text"].split())) for r in rows(mixing.mix(docs)))
+    expected = Counter()
+    for r in plan:
+        expected[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert mixed == +expected
+
+
 PAGES = [
     ("<article><header><h1>T</h1></header><p>a <b>b</b>c</p><footer>x</footer><section class='comments'><article class=comment><p>no</p></article></section></article>", "T\n\na bc"),
     ("<div class='page has-sidebar'><div id=sidebar>x<ul><li>y</ul></div><div class=content><p>one<p>two &amp; three<br>four</div></div>", "one\n\ntwo & three four"),
