@@ -5,8 +5,8 @@ first, leftmost among equals; the head is merged, its neighbours form new pairs,
 changed since are skipped.  Characters without a piece fall back to bytes.
 
 Texts are cut where no merge can ever happen, which the vocabulary proves when it is loaded: before a run of
-space marks (if no piece holds a mark after another character), and around characters that no longer piece
-holds.  Segments repeat, so each Python worker keeps a bounded memo of them.  New segments of each Arrow batch
+space marks (if no piece holds a mark after another character), around characters that no longer piece holds, and
+between letters and other characters (if no piece holds one next to the other).  Segments repeat, so each Python worker keeps a bounded memo of them.  New segments of each Arrow batch
 are compared with the sentencepiece library, ids and decoded text, before they enter the memo; a difference
 ends the job.  ``verify="texts"`` compares whole texts instead.
 """
@@ -72,9 +72,24 @@ class MergeVocabulary:
             self.segments = None  # a merge could cross a space mark: texts stay whole
         else:
             lone = "".join(re.escape(c) for c in "\t\n\r" if not any(c in p for p in merged))
-            self.segments = re.compile(f"[{lone}]|{MARK}*[^{MARK}{lone}]+|{MARK}+" if lone else f"{MARK}*[^{MARK}]+|{MARK}+")
+            words = self.word_pattern(merged, lone)
+            self.segments = re.compile(f"[{lone}]|{MARK}*{words}|{MARK}+" if lone else f"{MARK}*{words}|{MARK}+")
         self.lone = "\n"
 
+    @staticmethod
+    def word_pattern(merged: list[str], lone: str) -> str:
+        """What follows the marks of a segment: letters or other characters, if no piece joins the two kinds, else both."""
+        pairs = {p[i : i + 2] for p in merged for i in range(len(p) - 1)}
+        pairs = {pair for pair in pairs if pair[0] != MARK}
+        letter = re.compile(r"[^\W\d_]").fullmatch
+        # A character such as a raised 2 counts as a letter here but may be joined to signs: it goes to the others.
+        odd = {c for pair in pairs for c, d in (pair, pair[::-1]) if letter(c) and not letter(d) and not c.isalpha()}
+        is_letter = lambda c: bool(letter(c)) and c not in odd
+        if any(is_letter(x) != is_letter(y) for x, y in pairs):
+            return f"[^{MARK}{lone}]+"
+        odd = re.escape("".join(sorted(odd)))
+        return rf"(?:[^\W\d_{odd}]+|(?:[^\w{MARK}{lone}]|[\d_{odd}])+)"
+
     def cut(self, text: str) -> list[str]:
         """Segments of a text, marks in place of spaces; none for an empty text."""
         if not text:
