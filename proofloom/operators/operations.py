@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.chunks import following, running_sum, trailing_aggregates
+from ..plans.chunks import following, running_sum, trailing_sums
 from ..plans.lineage import delete_table, written_table
 
 QUOTA_ZONE = "America/Los_Angeles"  # fixed value: the zone whose midnight resets the daily quota
@@ -37,14 +37,11 @@ def quota_day(at: Column) -> Column:
 
 def rolling_usage(requests: DataFrame, keys: list[str], epoch: str, day: str, tokens: Column, order: str, window: int = 60) -> DataFrame:
     """Usage as each request sees it: requests and tokens in the window, requests of the day so far."""
-    counted = requests.withColumn("_tokens", tokens)
-    rolled = trailing_aggregates(
-        counted, keys, epoch, window, {"window_requests": F.count("*"), "window_tokens": F.sum("_tokens")}
-    )
+    rolled = trailing_sums(requests, keys, epoch, window, 3600, {"window_requests": F.lit(1), "window_tokens": tokens})
     hour = F.floor(F.col(epoch) / 3600)
     return running_sum(
         rolled, [*keys, day], hour, [F.col(epoch), F.col(order)], F.lit(1).cast("bigint"), "day_requests"
-    ).drop("_tokens")
+    )
 
 
 def step_durations(log: DataFrame, run: list[str], at: str, order: str) -> DataFrame:

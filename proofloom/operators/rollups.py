@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.clearance import status_rank
 from ..functions.text import strip_ws
 from ..plans.chunks import number_rows, position_chunk
+from ..plans.lineage import cut_lineage
 
 OUTPUTS = 5  # fixed value: final documents of a finished project
 
@@ -195,10 +196,15 @@ def best_combined(candidates: DataFrame, look: str, preferred: str, current: str
     return candidates.groupBy(look).agg(F.min_by(F.struct("shift", "mode", "delta_y", "delta_x"), rank).alias("_best")).select(look, "_best.*")
 
 
-def casefold_positions(names: DataFrame, name: str, prefix: int = 3) -> DataFrame:
-    """Distinct names with their place when sorted without case, then exactly."""
-    chunk = F.substring(F.lower(name), 1, prefix)
-    return number_rows(names.select(name).distinct(), [], chunk, [F.lower(name), F.col(name)], "place")
+def casefold_positions(names: DataFrame, name: str) -> DataFrame:
+    """Distinct names with their place when sorted without case, then exactly; a null comes first.
+
+    The names are dealt by range, so that names of one long common prefix spread as well as others; a range's
+    number is its chunk, and the rows of the ranges before it are counted, not read again.
+    """
+    order = [F.lower(name), F.col(name)]
+    ranged = names.select(name).distinct().repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return number_rows(cut_lineage(ranged), [], F.col("_range"), order, "place").drop("_range")
 
 
 def latest_runs(runs: DataFrame, identifier: str, limit: int, output: str | None = None, tail: int = 100_000) -> DataFrame:

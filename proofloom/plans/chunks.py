@@ -112,3 +112,31 @@ def trailing_aggregates(
     for name, aggregate in aggregates.items():
         kept = kept.withColumn(name, aggregate.over(window))
     return kept.where(F.col("_bucket").eqNullSafe(own)).drop("_bucket")
+
+
+def trailing_sums(df: DataFrame, keys: list[str], epoch: str, width: int, chunk: int, sums: dict[str, Column]) -> DataFrame:
+    """Whole-number sums over the key's rows with epoch in (row epoch - width, row epoch]; rows without an epoch see each other.
+
+    A value counts from its epoch on and is taken back ``width`` later, so one running sum per key over both kinds
+    of change gives every window: rows of one instant are added up first, the changes are cut into chunks of
+    ``chunk`` seconds, and the work grows with the rows, however many of them a window holds.  A null counts as 0.
+    """
+    undated = [*keys, "_undated"]
+    rows = df.withColumn("_undated", F.col(epoch).isNull())
+    gained = rows.select(*undated, F.col(epoch).alias("_at"), *[F.coalesce(value, F.lit(0)).cast("bigint").alias(f"_gain_{name}") for name, value in sums.items()])
+    gains = [f"_gain_{name}" for name in sums]
+    at_once = gained.groupBy(*undated, "_at").agg(*[F.sum(g).alias(g) for g in gains], F.lit(True).alias("_seen"))
+    lost = at_once.where("NOT _undated").select(*undated, (F.col("_at") + width).alias("_at"), *[(-F.col(g)).alias(g) for g in gains], F.lit(False).alias("_seen"))
+    changes = at_once.unionByName(lost).groupBy(*undated, "_at").agg(*[F.sum(g).alias(g) for g in gains], F.max("_seen").alias("_seen"))
+    # Whole changes travel through one scan: the chunk's own part by a window, earlier chunks by their totals.
+    held = _with_chunk(changes, F.floor(F.col("_at") / F.lit(chunk)))
+    totals = held.groupBy(*undated, "_chunk").agg(*[F.sum(g).alias(g) for g in gains])
+    before = totals.select(*undated, "_chunk", *[F.coalesce(F.sum(g).over(_earlier_chunks(undated)), F.lit(0)).alias(f"_before{g}") for g in gains])
+    local = held.select("*", *[F.sum(g).over(_rows_up_to_here(undated, [F.col("_at")])).alias(f"_local{g}") for g in gains]).where("_seen")
+    usage = _join_back(local, before, undated).select(
+        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(undated)], "_at", *[(F.col(f"_before_gain_{name}") + F.col(f"_local_gain_{name}")).alias(name) for name in sums]
+    )
+    same = F.col(epoch).eqNullSafe(F.col("_at"))
+    for i, key in enumerate(undated):
+        same = same & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(usage, same).drop("_at", "_undated", *[f"_key_{i}" for i in range(len(undated))])

@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import io
+import random
 import re
 import zipfile
 from decimal import Decimal
@@ -371,3 +372,22 @@ def test_damaged_evidence_counts_as_absent(spark, tmp_path):
     (tmp_path / "a.json").write_text('{\n"gate": "map", "passed": true}')
     (tmp_path / "b.json").write_text('{"gate": ')
     assert [r["gate"] for r in files.read_evidence_json(spark, str(tmp_path), "gate string, passed boolean").collect()] == ["map"]
+
+
+def test_usage_of_a_hot_key_equals_a_sliding_window(spark):
+    rng = random.Random(3)
+    held = [(rng.choice(["a", "b", None]), rng.choice([None, *range(-200, 4_000, 7)]), rng.randint(0, 50), i) for i in range(1_500)]
+    df = spark.createDataFrame(held, "k string, at bigint, tokens bigint, id bigint")
+    used = {r["id"]: (r["n"], r["sum"]) for r in chunks.trailing_sums(df, ["k"], "at", 500, 300, {"n": F.lit(1), "sum": F.col("tokens")}).collect()}
+    near = lambda a, b: a[0] == b[0] and (a[1] is b[1] if None in (a[1], b[1]) else a[1] - 500 < b[1] <= a[1])
+    assert used == {a[3]: (sum(1 for b in held if near(a, b)), sum(b[2] for b in held if near(a, b))) for a in held}
+    hot = spark.range(200_000).select(F.lit("k").alias("k"), (F.col("id") % 80_000).alias("at"), F.lit(2).alias("tokens"))
+    last = chunks.trailing_sums(hot, ["k"], "at", 86_400, 3_600, {"n": F.lit(1), "sum": F.col("tokens")}).agg(F.max("n"), F.max("sum"), F.count("*")).first()
+    assert tuple(last) == (200_000, 400_000, 200_000)  # one window holds them all
+
+
+def test_names_of_one_prefix_are_placed_over_many_ranges(spark):
+    names = [f"{'Common' if i % 2 else 'COMMON'} prefix {i * 7_919 % 5_000:05}" for i in range(5_000)] + [None, "", "common"]
+    found = rollups.casefold_positions(spark.createDataFrame([(n,) for n in names + names[:50]], "name string"), "name").collect()
+    order = [None, *sorted((n for n in names if n is not None), key=lambda n: (n.lower(), n))]
+    assert [r["name"] for r in sorted(found, key=lambda r: r["place"])] == order and [r["place"] for r in sorted(found, key=lambda r: r["place"])] == list(range(1, len(order) + 1))
