@@ -37,11 +37,9 @@ def quota_day(at: Column) -> Column:
 
 def rolling_usage(requests: DataFrame, keys: list[str], epoch: str, day: str, tokens: Column, order: str, window: int = 60) -> DataFrame:
     """Usage as each request sees it: requests and tokens in the window, requests of the day so far."""
-    rolled = trailing_sums(requests, keys, epoch, window, 3600, {"window_requests": F.lit(1), "window_tokens": tokens})
     hour = F.floor(F.col(epoch) / 3600)
-    return running_sum(
-        rolled, [*keys, day], hour, [F.col(epoch), F.col(order)], F.lit(1).cast("bigint"), "day_requests"
-    )
+    counted = running_sum(requests, [*keys, day], hour, [F.col(epoch), F.col(order)], F.lit(1).cast("bigint"), "day_requests")
+    return trailing_sums(requests, keys, epoch, window, 3600, {"window_requests": F.lit(1), "window_tokens": tokens}, onto=counted)
 
 
 def step_durations(log: DataFrame, run: list[str], at: str, order: str) -> DataFrame:

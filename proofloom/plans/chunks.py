@@ -114,12 +114,15 @@ def trailing_aggregates(
     return kept.where(F.col("_bucket").eqNullSafe(own)).drop("_bucket")
 
 
-def trailing_sums(df: DataFrame, keys: list[str], epoch: str, width: int, chunk: int, sums: dict[str, Column]) -> DataFrame:
+def trailing_sums(
+    df: DataFrame, keys: list[str], epoch: str, width: int, chunk: int, sums: dict[str, Column], onto: DataFrame | None = None
+) -> DataFrame:
     """Whole-number sums over the key's rows with epoch in (row epoch - width, row epoch]; rows without an epoch see each other.
 
     A value counts from its epoch on and is taken back ``width`` later, so one running sum per key over both kinds
     of change gives every window: rows of one instant are added up first, the changes are cut into chunks of
     ``chunk`` seconds, and the work grows with the rows, however many of them a window holds.  A null counts as 0.
+    ``onto`` is what gets the sums instead of ``df``: its rows with more columns, so that those are not made for the sums.
     """
     undated = [*keys, "_undated"]
     rows = df.withColumn("_undated", F.col(epoch).isNull())
@@ -139,4 +142,5 @@ def trailing_sums(df: DataFrame, keys: list[str], epoch: str, width: int, chunk:
     same = F.col(epoch).eqNullSafe(F.col("_at"))
     for i, key in enumerate(undated):
         same = same & F.col(key).eqNullSafe(F.col(f"_key_{i}"))
-    return rows.join(usage, same).drop("_at", "_undated", *[f"_key_{i}" for i in range(len(undated))])
+    given = rows if onto is None else onto.withColumn("_undated", F.col(epoch).isNull())
+    return given.join(usage, same).drop("_at", "_undated", *[f"_key_{i}" for i in range(len(undated))])
