@@ -53,8 +53,6 @@ BUCKET_POSTINGS = 100_000
 BUCKET_BYTES = 8_000_000
 #: Rows whose sets a worker holds at once.
 DEAL_ROWS = 2_000
-#: Node-to-class rows that are broadcast; more are joined.
-BROADCAST_NODES = 1_000_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -221,14 +219,12 @@ def _beyond(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / F.lit(100)) - 1
 
 
-def _qualifying(lists: DataFrame, placed: DataFrame, percent: int, broadcast_nodes: int) -> DataFrame:
+def _qualifying(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """one, other: pairs of groups whose bound reaches the needed overlap and whose members are not all of one class.
 
     ``placed`` has node, group, class (of the whole group; null where its members differ), least and most (sizes in
     the group); any other node is a group and a class of its own.
     """
-    columns = ["node", "class", "group", "least", "most"]
-    spark = lists.sparkSession
     schema = "one bigint, other bigint, shared bigint, least bigint, most bigint, other_least bigint, other_most bigint"
     # A group of nodes of several classes has a class number of its own kind, so that it never equals another's.
     known = placed.select("node", F.coalesce("class", F.xxhash64("group", F.lit("mixed"))).alias("class"), "group", "least", "most")
@@ -260,38 +256,19 @@ def _qualifying(lists: DataFrame, placed: DataFrame, percent: int, broadcast_nod
             least=of(one, 0), most=of(one, 1), other_least=of(other, 0), other_most=of(other, 1),
         )
 
-    if placed.limit(broadcast_nodes + 1).count() <= broadcast_nodes:
-        rows = known.toPandas().sort_values("node")
-        table = spark.sparkContext.broadcast({c: rows[c].to_numpy(dtype=np.int64) for c in columns})
-
-        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            pairs, of = [], table.value
-            for token, node, size in _unpacked(batch):
-                size = size.astype(np.int64)
-                own, group, least, most = node.copy(), node.copy(), size.copy(), size.copy()
-                if len(node) and len(of["node"]):
-                    at = np.minimum(np.searchsorted(of["node"], node), len(of["node"]) - 1)
-                    found = of["node"][at] == node
-                    for name, values in (("class", own), ("group", group), ("least", least), ("most", most)):
-                        values[found] = of[name][at[found]]
-                pairs.append(met(token, group, own, least, most))
-            return counted(pairs)
-
-        shared = map_batches(lists, kernel, schema)
-    else:
-        def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
-            held = [np.concatenate(x) for x in zip(*_unpacked(batch))]
-            return record(token=(held[0].view(np.int64), pa.int64()), node=(held[1], pa.int64()), size=(held[2], pa.int64()))
-
-        joined = map_batches(lists, unpack, "token bigint, node bigint, size bigint").join(known, "node", "left")
-        own = joined.select("token", *[F.coalesce(c, x).alias(c) for c, x in (("group", "node"), ("class", "node"), ("least", "size"), ("most", "size"))])
-        buckets = max(1, own.count() // BUCKET_POSTINGS)
-
-        def gather(held: pa.Table) -> pa.Table:
-            arrays = [held[c].to_numpy() for c in ("token", "group", "class", "least", "most")]
-            return pa.Table.from_batches([counted([met(*arrays)])])
-
-        shared = own.withColumn("_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("_bucket").applyInArrow(gather, schema)
+    def unpack(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = [np.concatenate(x) for x in zip(*_unpacked(batch))]
+        return record(token=(held[0].view(np.int64), pa.int64()), node=(held[1], pa.int64()), size=(held[2], pa.int64()))
+
+    joined = map_batches(lists, unpack, "token bigint, node bigint, size bigint").join(known, "node", "left")
+    own = joined.select("token", *[F.coalesce(c, x).alias(c) for c, x in (("group", "node"), ("class", "node"), ("least", "size"), ("most", "size"))])
+    buckets = max(1, own.count() // BUCKET_POSTINGS)
+
+    def gather(held: pa.Table) -> pa.Table:
+        arrays = [held[c].to_numpy() for c in ("token", "group", "class", "least", "most")]
+        return pa.Table.from_batches([counted([met(*arrays)])])
+
+    shared = own.withColumn("_bucket", F.pmod(F.xxhash64("token"), F.lit(buckets))).groupBy("_bucket").applyInArrow(gather, schema)
     sizes = ("least", "most", "other_least", "other_most")
     summed = shared.groupBy("one", "other").agg(F.sum("shared").alias("shared"), *[F.first(c).alias(c) for c in sizes])
     bound = F.col("shared") + F.greatest(_beyond(F.col("most"), percent), _beyond(F.col("other_most"), percent))
@@ -410,7 +387,7 @@ def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     return sized.select("node", "own", "group").join(broadcast_if_small(groups), "group")
 
 
-def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int, broadcast_nodes: int) -> DataFrame:
+def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles, class (a node; null without shingles) and component_id."""
     spark = docs.sparkSession
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, text, words))
@@ -425,7 +402,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int, bro
     links = _links(docs, sets, stars.select(F.col("group").alias("one"), "other").distinct(), followers, key, text, words, percent)
     labels = connected_components(links, "node", "other")
     placed, placed_path = written_table(_placed(led, labels, sets))
-    opened, opened_path = written_table(_qualifying(lists, placed, percent, broadcast_nodes))
+    opened, opened_path = written_table(_qualifying(lists, placed, percent))
     more = _links(docs, sets, opened, placed.select("group", "node", F.col("own").alias("class")), key, text, words, percent)
     if not more.isEmpty():
         labels = connected_components(links.unionByName(more), "node", "other")
@@ -439,7 +416,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int, bro
 
 
 def similar_classes(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, broadcast_nodes: int = BROADCAST_NODES
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT
 ) -> DataFrame:
     """One row per document: doc_id, text_hash, n_shingles and component_id, the smallest doc_id that links lead to.
 
@@ -448,7 +425,7 @@ def similar_classes(
     an empty table none; other columns are not read.  Nodes and tokens are 64-bit hashes.  Where ids repeat or are
     null, classes that are not linked can have the same component_id.
     """
-    return _classes(docs, key, text, words, percent, broadcast_nodes).drop("class")
+    return _classes(docs, key, text, words, percent).drop("class")
 
 
 def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -457,7 +434,7 @@ def keep_one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     A row is known by its id and a hash of its text; of rows equal in both the smallest in its other columns stays.
     Ids may repeat or be null: classes are told apart by their nodes.  Documents without words stay, each of them.
     """
-    classes, _ = written_table(_classes(docs, key, text, words, percent, BROADCAST_NODES).where("n_shingles > 0"))
+    classes, _ = written_table(_classes(docs, key, text, words, percent).where("n_shingles > 0"))
     rows = classes.groupBy("doc_id", "text_hash", "class").count()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash"))
     judged = rows.join(rows.groupBy("class").agg(first.alias("first")), "class")
