@@ -88,6 +88,7 @@ class WeightedL1:
     """Metric for tiles: rows of targets by rows of candidates."""
 
     metric = True
+    PIECE_ROWS, PIECE_COLUMNS = 32, 512
 
     def __init__(self, weights: list[float]):
         self.weights = np.asarray(weights, dtype=np.float64)
@@ -98,9 +99,19 @@ class WeightedL1:
             rows = [np.abs(candidates - target) @ self.weights for target in targets]
             return np.stack(rows) if rows else np.zeros((0, len(candidates)))
         total = np.zeros((len(targets), len(candidates)))
-        for dimension, weight in enumerate(self.weights):
-            if weight:
-                total += weight * np.abs(targets[:, dimension, None] - candidates[None, :, dimension])
+        across = np.ascontiguousarray(candidates.T)
+        # In pieces that the processor's cache holds through all dimensions.
+        for top in range(0, len(targets), self.PIECE_ROWS):
+            for left in range(0, len(candidates), self.PIECE_COLUMNS):
+                piece = total[top : top + self.PIECE_ROWS, left : left + self.PIECE_COLUMNS]
+                gap, summed = np.empty(piece.shape), np.zeros(piece.shape)
+                for dimension, weight in enumerate(self.weights):
+                    if weight:
+                        np.subtract(targets[top : top + self.PIECE_ROWS, dimension, None], across[dimension, left : left + self.PIECE_COLUMNS], out=gap)
+                        np.abs(gap, out=gap)
+                        gap *= weight
+                        summed += gap
+                piece[:] = summed
         return total
 
 
@@ -115,11 +126,13 @@ class PageSignature:
     BIT = 1024
 
     def __init__(self, bits: int, tones: int):
-        self.distance = WeightedL1([float(self.BIT)] * bits + [1.0 / tones] * tones)
-        self.width = bits + tones
+        self.tones = WeightedL1([1.0 / tones] * tones)
+        self.bits, self.width = bits, bits + tones
 
     def matrix(self, targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-        return self.distance.matrix(targets, candidates)
+        one, other = targets[:, : self.bits], candidates[:, : self.bits]
+        differing = one.sum(axis=1)[:, None] + other.sum(axis=1)[None, :] - 2 * (one @ other.T)
+        return differing * self.BIT + self.tones.matrix(targets[:, self.bits :], candidates[:, self.bits :])
 
 
 class LookPair:

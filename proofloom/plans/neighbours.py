@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +19,9 @@ TILE_ROWS = 2048
 TARGET_TILE_ROWS = 512
 TILE_NUMBERS = 1_000_000
 RINGS = 8
+#: Visited cells whose targets are written at once.
+CELLS_AT_ONCE = 16
+PARTS_PER_CORE = 4
 SLACK = 1e-9
 
 _TARGET = "struct<target:bigint,vec:array<float>,limit_cost:double,limit_id:bigint>"
@@ -34,6 +37,26 @@ def _stack(vectors) -> np.ndarray:
     return np.stack([np.asarray(vector, dtype=np.float64) for vector in vectors])
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """A list column as rows of numbers, without an object for each."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time; what a list holds stays in Arrow."""
+    for batch in batches:
+        for index in range(batch.num_rows):
+            yield {name: getattr(held := column[index], "values", held) for name, column in zip(batch.schema.names, batch.columns)}
+
+
+def _lists(parts: list[pa.Array]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(part) for part in parts]), pa.int32()), pa.concat_arrays(parts))
+
+
 def _pivot_vectors(candidates: DataFrame, count: int) -> np.ndarray | None:
     """A handful of vectors in hash order; at most ``count`` rows reach the driver."""
     rows = candidates.select("candidate", "vec").orderBy(F.xxhash64("candidate"), "candidate").limit(count).collect()
@@ -51,16 +74,16 @@ def _candidate_cells(candidates: DataFrame, cost, pivots: np.ndarray | None) ->
         )
     spread = float(cost.matrix(pivots, pivots).max()) or 1.0
 
-    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                away = cost.matrix(_stack(batch["vec"]), pivots)
-                nearest = away.argmin(axis=1)
-                dist = away[np.arange(len(batch)), nearest]
-                ring = np.minimum(np.floor(dist / spread * RINGS), 4 * RINGS)
-                yield batch.assign(pivot=nearest.astype("int32"), ring=ring.astype("int32"), dist=dist)
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, TILE_ROWS) for b in batches for i in range(0, b.num_rows, TILE_ROWS)):
+            away = cost.matrix(_matrix(batch.column(2)), pivots)
+            nearest = away.argmin(axis=1)
+            dist = away[np.arange(len(nearest)), nearest]
+            ring = np.minimum(np.floor(dist / spread * RINGS), 4 * RINGS)
+            found = [pa.array(nearest, pa.int32()), pa.array(ring.astype("int32"), pa.int32()), pa.array(dist, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], names=["block", "candidate", "vec", "pivot", "ring", "dist"])
 
-    return candidates.select("block", "candidate", "vec").mapInPandas(
+    return candidates.select("block", "candidate", "vec").mapInArrow(
         locate, "block bigint, candidate bigint, vec array<float>, pivot int, ring int, dist double"
     )
 
@@ -79,35 +102,34 @@ def _visits(targets: DataFrame, tiles: DataFrame, cost, pivots: np.ndarray | Non
         .select("block", "members", "cells")
     )
 
-    def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                members, cells = list(row.members), list(row.cells)
-                keep = np.ones((len(members), len(cells)), dtype=bool)
-                if pivots is not None:
-                    pivot = np.array([cell["pivot"] for cell in cells])
-                    low = np.array([cell["low"] for cell in cells])
-                    high = np.array([cell["high"] for cell in cells])
-                    held = np.array([cell["n"] for cell in cells])
-                    away = cost.matrix(_stack([m["vec"] for m in members]), pivots)[:, pivot]
-                    nearest_possible = np.maximum(np.maximum(away - high, low - away), 0)
-                    farthest_possible = away + high
-                    order = np.argsort(farthest_possible, axis=1)
-                    reached = np.cumsum(held[order], axis=1) >= k
-                    first = np.where(reached.any(axis=1), reached.argmax(axis=1), len(cells) - 1)
-                    bound = np.take_along_axis(farthest_possible, order, axis=1)[np.arange(len(members)), first]
-                    bound = np.where(reached.any(axis=1), bound, np.inf)
-                    limits = np.array([np.nan if m["limit_cost"] is None else m["limit_cost"] for m in members], dtype=float)
-                    bound = np.where(np.isnan(limits), bound, limits)
-                    keep = nearest_possible <= bound[:, None] + SLACK
-                for index, cell in enumerate(cells):
-                    chosen = [m for m, wanted in zip(members, keep[:, index]) if wanted]
-                    if chosen:
-                        out.append((row.block, cell["pivot"], cell["ring"], cell["splits"], chosen))
-            yield pd.DataFrame(out, columns=["block", "pivot", "ring", "splits", "members"])
-
-    visits = grouped.mapInPandas(choose, f"block bigint, pivot int, ring int, splits int, members array<{_TARGET}>")
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            members, cells = row["members"], row["cells"]
+            keep = np.ones((len(members), len(cells)), dtype=bool)
+            if pivots is not None:
+                pivot, low, high, held = (_numbers(cells.field(name)) for name in ("pivot", "low", "high", "n"))
+                away = cost.matrix(_matrix(members.field("vec")), pivots)[:, pivot]
+                nearest_possible = np.maximum(np.maximum(away - high, low - away), 0)
+                farthest_possible = away + high
+                order = np.argsort(farthest_possible, axis=1)
+                reached = np.cumsum(held[order], axis=1) >= k
+                first = np.where(reached.any(axis=1), reached.argmax(axis=1), len(cells) - 1)
+                bound = np.take_along_axis(farthest_possible, order, axis=1)[np.arange(len(members)), first]
+                bound = np.where(reached.any(axis=1), bound, np.inf)
+                limits = _numbers(members.field("limit_cost")).astype(float)
+                bound = np.where(np.isnan(limits), bound, limits)
+                keep = nearest_possible <= bound[:, None] + SLACK
+            visited = np.flatnonzero(keep.any(axis=0))
+            # A target is written once per cell it visits: a few cells at a time, however many there are.
+            for start in range(0, len(visited), CELLS_AT_ONCE):
+                some = visited[start : start + CELLS_AT_ONCE]
+                places = [cells.field(name).take(pa.array(some)) for name in ("pivot", "ring", "splits")]
+                chosen = _lists([members.take(pa.array(np.flatnonzero(keep[:, index]))) for index in some])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["block"].as_py()] * len(some), pa.int64()), *places, chosen], names=["block", "pivot", "ring", "splits", "members"]
+                )
+
+    visits = grouped.mapInArrow(choose, f"block bigint, pivot int, ring int, splits int, members array<{_TARGET}>")
     return visits.withColumn("split", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).drop("splits")
 
 
@@ -125,7 +147,10 @@ def _tile_pairs(targets: DataFrame, candidates: DataFrame, cost, k: int, pivot_c
         .groupBy("block", "pivot", "ring", "split")
         .agg(F.collect_list(F.struct("candidate", "vec")).alias("held"))
     )
-    return _visits(targets, tiles, cost, pivots, k).join(packed, ["block", "pivot", "ring", "split"])
+    # A fixed number of parts: tiles are few bytes and much work, and would be put together by their bytes.
+    place = ["block", "pivot", "ring", "split"]
+    parts = PARTS_PER_CORE * targets.sparkSession.sparkContext.defaultParallelism
+    return _visits(targets, tiles, cost, pivots, k).repartition(parts, *place).join(packed.hint("shuffle_merge"), place)
 
 
 def _standard(df: DataFrame, block: str, identifier: str, vector: str, name: str) -> DataFrame:
@@ -155,23 +180,28 @@ def nearest(
     )
     right = _standard(candidates, block, candidate, vector, "candidate")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                members, held = list(row.members), list(row.held)
-                ids = np.array([h["candidate"] for h in held], dtype=np.int64)
-                order = np.argsort(ids)
-                ids = ids[order]
-                costs = cost.matrix(_stack([m["vec"] for m in members]), _stack([h["vec"] for h in held])[order])
-                asking = np.array([m["target"] for m in members], dtype=np.int64)
-                ties = _tie_break(asking, ids) if spread_ties else np.zeros_like(costs, dtype=np.int64)
-                best = (np.lexsort((ties, costs), axis=1) if spread_ties else np.argsort(costs, axis=1, kind="stable"))[:, :k]
-                yield pd.DataFrame({
-                    "block": row.block, "target": np.repeat(asking, best.shape[1]), "candidate": ids[best.ravel()],
-                    "cost": np.take_along_axis(costs, best, axis=1).ravel(), "tie": np.take_along_axis(ties, best, axis=1).ravel(),
-                })
-
-    found = _tile_pairs(left, right, cost, k, pivots).mapInPandas(
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            members, held = row["members"], row["held"]
+            ids = _numbers(held.field("candidate"))
+            order = np.argsort(ids)
+            ids = ids[order]
+            costs = cost.matrix(_matrix(members.field("vec")), _matrix(held.field("vec"))[order])
+            asking = _numbers(members.field("target"))
+            # What may be among the k best, row by row and by id.
+            enough = min(k, len(ids))
+            rows, columns = np.nonzero(~(costs > np.partition(costs, enough - 1, axis=1)[:, enough - 1, None]))
+            found = costs[rows, columns]
+            ties = _tie_break(asking, ids)[rows, columns] if spread_ties else np.zeros(len(rows), dtype=np.int64)
+            best = np.lexsort((ties, found, rows))
+            starts = np.searchsorted(rows, np.arange(len(asking)))
+            best = best[np.arange(len(rows)) - starts[rows] < enough]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row["block"].as_py()] * len(best), pa.int64()), pa.array(asking[rows[best]], pa.int64()), pa.array(ids[columns[best]], pa.int64()),
+                pa.array(found[best], pa.float64()), pa.array(ties[best], pa.int64()),
+            ], names=["block", "target", "candidate", "cost", "tie"])
+
+    found = _tile_pairs(left, right, cost, k, pivots).mapInArrow(
         compare, "block bigint, target bigint, candidate bigint, cost double, tie bigint"
     )
     order = Window.partitionBy("block", "target").orderBy("cost", "tie", "candidate")
@@ -192,21 +222,19 @@ def rank_of(
     )
     right = _standard(candidates, block, candidate, vector, "candidate")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                members, held = list(row.members), list(row.held)
-                ids = np.array([h["candidate"] for h in held], dtype=np.int64)
-                costs = cost.matrix(_stack([m["vec"] for m in members]), _stack([h["vec"] for h in held]))
-                limit = np.array([m["limit_cost"] for m in members])[:, None]
-                named_ids = np.array([m["limit_id"] for m in members], dtype=np.int64)[:, None]
-                tied = np.abs(costs - limit) <= SLACK
-                ahead = ((costs < limit) & ~tied) | (tied & (ids[None, :] < named_ids))
-                yield pd.DataFrame({
-                    "block": row.block, "target": np.array([m["target"] for m in members], dtype=np.int64), "ahead": ahead.sum(axis=1).astype(np.int64)
-                })
-
-    counted = _tile_pairs(left, right, cost, 1, pivots).mapInPandas(count, "block bigint, target bigint, ahead bigint")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            members, held = row["members"], row["held"]
+            ids = _numbers(held.field("candidate"))
+            costs = cost.matrix(_matrix(members.field("vec")), _matrix(held.field("vec")))
+            limit = _numbers(members.field("limit_cost"))[:, None]
+            tied = np.abs(costs - limit) <= SLACK
+            ahead = ((costs < limit) & ~tied) | (tied & (ids[None, :] < _numbers(members.field("limit_id"))[:, None]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([row["block"].as_py()] * len(members), pa.int64()), members.field("target"), pa.array(ahead.sum(axis=1), pa.int64()),
+            ], names=["block", "target", "ahead"])
+
+    counted = _tile_pairs(left, right, cost, 1, pivots).mapInArrow(count, "block bigint, target bigint, ahead bigint")
     ahead = counted.groupBy("block", "target").agg(F.sum("ahead").alias("ahead"))
     return (
         left.select("block", "target").join(ahead, ["block", "target"], "left")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vectors import WeightedL1
+
 # Thumbnail size, luma shares, and the ramps that separate subject from background.
 WIDTH, HEIGHT = 48, 72
 LUMA = np.array([0.299, 0.587, 0.114])
@@ -96,6 +98,8 @@ def photo_features(photos: np.ndarray, adaptive: bool = False) -> dict[str, np.n
 
 
 FEATURES = ["pixels", "edges", "mask", "grid", "signature", "histogram", "summary"]
+#: The parts of a match vector, in order.
+MATCHED = ["pixels", "edges", "mask", "histogram", "summary"]
 
 
 def image_features(images: DataFrame, identifier: str, adaptive: bool = False, size: tuple[int, int] = (WIDTH, HEIGHT)) -> DataFrame:
@@ -118,6 +122,43 @@ def image_features(images: DataFrame, identifier: str, adaptive: bool = False, s
     return needed.mapInPandas(extract, f"{identifier} {types[identifier]}, {fields}")
 
 
+class PictureDistance:
+    """Weighted L1 of the match vectors of pictures of one shape, which are given as their pixels.
+
+    A match vector is hundreds of times longer than a small picture; it is made where a tile is compared and never travels.
+    """
+
+    metric = True
+    PICTURES_AT_ONCE, COMPARED_AT_ONCE = 64, 8
+
+    def __init__(self, height: int, width: int, channels: int, weights: list[float], size: tuple[int, int] = (WIDTH, HEIGHT)):
+        self.shape, self.size, self.distance = (height, width, channels), size, WeightedL1(weights)
+        self.width = height * width * channels
+
+    def _vectors(self, pictures: np.ndarray) -> np.ndarray:
+        made = []
+        for start in range(0, len(pictures), self.PICTURES_AT_ONCE):
+            part = pictures[start : start + self.PICTURES_AT_ONCE].astype(np.uint8)
+            features = photo_features(np.stack([_thumbnail(picture.tobytes(), *self.shape, self.size) for picture in part]))
+            made.append(np.hstack([features[name] for name in MATCHED]).astype(np.float32))
+        return np.concatenate(made)
+
+    def matrix(self, targets: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+        costs = np.zeros((len(targets), len(candidates)))
+        if not costs.size:
+            return costs
+        asking = self._vectors(targets)
+        for start in range(0, len(candidates), self.PICTURES_AT_ONCE):
+            held = self._vectors(candidates[start : start + self.PICTURES_AT_ONCE]).astype(np.float64)
+            for first in range(0, len(held), self.COMPARED_AT_ONCE):
+                some = held[first : first + self.COMPARED_AT_ONCE]
+                gap, place = np.empty_like(some), start + first
+                for row, target in enumerate(asking):
+                    np.abs(np.subtract(some, target, out=gap), out=gap)
+                    costs[row, place : place + len(some)] = gap @ self.distance.weights
+        return costs
+
+
 def match_vector(features: DataFrame, identifier: str) -> DataFrame:
     """One vector per photo, laid out for ``functions.vectors.blended_weights``."""
-    return features.select(identifier, F.concat("pixels", "edges", "mask", "histogram", "summary").alias("vector"))
+    return features.select(identifier, F.concat(*MATCHED).alias("vector"))

@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.functions.vectors import WeightedL1
+from proofloom.functions.vectors import PageSignature, WeightedL1
 from proofloom.operators.matching import quarantine_assign
 from proofloom.plans import assignment, auction, neighbours
 from proofloom.plans.assignment import assign_one_to_one, cheapest_assignment
 from proofloom.plans.neighbours import nearest, rank_of
+from proofloom.sources import images
 
 COLUMNS = {"block": "b", "target": "id", "candidate": "id", "vector": "v"}
 
@@ -211,3 +212,35 @@ def test_pieces_too_large_for_a_matrix_are_auctioned(spark, monkeypatch):
     rows = assign_one_to_one(points(spark, left), points(spark, right), cost, whole_block_pairs=0, **COLUMNS).collect()
     assert len({r["candidate"] for r in rows} - {None}) == len(left) == len(rows)
     assert np.isclose(sum(r["cost"] for r in rows), cost.matrix(left, right)[np.arange(len(left)), exact].sum(), atol=1e-5)
+
+
+def test_tiles_visited_are_written_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 3)
+    monkeypatch.setattr(neighbours, "CELLS_AT_ONCE", 2)
+    rng = np.random.default_rng(5)
+    points = rng.integers(0, 3, (60, 2)).astype(float)  # many equal costs
+    rows = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(points)], "block long, id long, vec array<float>")
+    cost = WeightedL1([1.0, 1.0])
+    got = {(r["target"], r["rank"]): (r["candidate"], r["cost"]) for r in nearest(rows, rows, cost, 4, block="block", target="id", candidate="id", vector="vec", pivots=4).collect()}
+    costs = cost.matrix(points, points)
+    for target in range(60):
+        for rank, candidate in enumerate(np.argsort(costs[target], kind="stable")[:4], 1):
+            assert got[target, rank] == (candidate, costs[target, candidate])
+
+
+def test_pictures_compared_by_their_pixels_equal_their_vectors():
+    rng = np.random.default_rng(6)
+    pictures = rng.integers(0, 256, (9, 64)).astype(float)
+    cells = images.WIDTH * images.HEIGHT
+    weights = rng.random(5 * cells + images.BINS**3 + 4 + images.WIDTH + images.HEIGHT)
+    made = images.photo_features(np.stack([images._thumbnail(p.astype(np.uint8).tobytes(), 8, 8, 1, (images.WIDTH, images.HEIGHT)) for p in pictures]))
+    whole = np.hstack([made[name] for name in images.MATCHED]).astype(np.float32).astype(float)
+    got = images.PictureDistance(8, 8, 1, weights).matrix(pictures[:3], pictures)
+    assert got.shape == (3, 9) and np.allclose(got, (np.abs(whole[:3, None] - whole[None]) * weights).sum(axis=2))
+
+
+def test_page_signatures_count_bits_and_tones():
+    rng = np.random.default_rng(7)
+    pages = np.hstack([rng.integers(0, 2, (8, 64)), rng.integers(0, 256, (8, 8))]).astype(float)
+    bits, tones = np.abs(pages[:, None, :64] - pages[None, :, :64]).sum(axis=2), np.abs(pages[:, None, 64:] - pages[None, :, 64:]).mean(axis=2)
+    assert (PageSignature(64, 8).matrix(pages, pages) == bits * 1024 + tones).all()
