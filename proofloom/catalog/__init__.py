@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PARTS_PER_CORE = 4
 
 
 def query(name: str, sql: str | None = None):
@@ -28,5 +29,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """The rows dealt over all cores, for much work per row: one task would read a file of few bytes."""
+    return table(spark, folder, name).repartition(PARTS_PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def load() -> None:
     from . import catalogue, checks, evidence, files, geometry, joins, matching, notes, operations, review, rollups  # noqa: F401

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codes, notes, text
-from . import query, table
+from . import dealt_table, query, table
 from .catalogue import sql_squash
 
 LABELLED_LINES = [
@@ -182,7 +182,7 @@ def parsed_observations(spark, folder):
     second = F.when(kind == 2, "LOOK_2=looks right").when(kind == 3, "LOOK_2 nothing").otherwise(F.concat(F.lit("LOOK_2="), good))
     requested = F.when(kind == 1, F.array(F.lit("LOOK_1"))).otherwise(F.array(F.lit("LOOK_1"), F.lit("LOOK_2")))
     parsed = notes.parse_observations(F.concat(F.lit("look_1 = "), good, F.lit(" || "), second), requested)
-    return table(spark, folder, "part").select(
+    return dealt_table(spark, folder, "part").select(
         "p_partkey", F.size(parsed["items"]).alias("items"), parsed["error"].alias("error"), parsed["items"][0]["note"].alias("first_note")
     )
 
@@ -207,7 +207,7 @@ def product_blocks(spark, folder):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     raw = F.concat_ws("\r\n", F.concat(F.lit(" "), "p_name"), "p_brand", size, key, F.lit("  "), "p_type", "p_brand", size, F.when(F.col("p_partkey") % 3 != 2, F.concat(F.lit("00"), key)))
     parsed = notes.parse_product_blocks(raw)
-    return table(spark, folder, "part").select("p_partkey", parsed["error"].alias("error"), notes.format_product_blocks(parsed["products"]).alias("written"))
+    return dealt_table(spark, folder, "part").select("p_partkey", parsed["error"].alias("error"), notes.format_product_blocks(parsed["products"]).alias("written"))
 
 
 @query("project_dates", """

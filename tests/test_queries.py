@@ -122,3 +122,11 @@ def test_image_files_become_features(spark, tmp_path):
     assert np.allclose(row["summary"][:3], [200 / 255, 0, 0], atol=1e-6) and np.isclose(row["summary"][3], 0.25)
     adaptive = images.image_features(images.read_images(spark, str(tmp_path)), "origin", adaptive=True).first()
     assert np.isclose(np.mean(adaptive["mask"]), 0.25)
+
+
+@pytest.mark.parametrize("name", ["workbook_cells", "parsed_observations", "product_blocks"])
+def test_rows_with_much_work_are_dealt_over_the_cores(spark, name):
+    from proofloom.catalog import PARTS_PER_CORE
+
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert catalog.QUERIES[name](spark, FOLDER).rdd.getNumPartitions() == parts
