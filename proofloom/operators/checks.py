@@ -12,6 +12,8 @@ MIN_FILE_BYTES = 1024
 MAX_SHIFT = 72
 SHIFT_TOLERANCE, CROP_TOLERANCE, FRAME_TOLERANCE, MOVE_TOLERANCE = 0.01, 0.1, 0.5, 0.05
 CONFIRMATION_NOTE, ORDER_NOTE = 25, 20
+#: Copies of a row made at once.
+ROWS_AT_ONCE = 10_000
 
 
 def row_rules(df: DataFrame, keys: list[str], rules: dict[str, Column]) -> DataFrame:
@@ -26,6 +28,13 @@ def repeated(df: DataFrame, unique: list[str], keys: list[str], rule: str) -> Da
     return df.join(groups, unique, "left_semi").select(*keys, F.lit(rule).alias("rule"))
 
 
+def as_often(df: DataFrame, times: str) -> DataFrame:
+    """Each row ``times`` times, without that column; no array grows with the number."""
+    begun = df.withColumn("_begun", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(times).cast("bigint") - 1, F.lit(ROWS_AT_ONCE).cast("bigint"))))
+    left = F.least(F.col(times) - F.col("_begun"), F.lit(ROWS_AT_ONCE)).cast("int")
+    return begun.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left))).drop("_begun", "_copy", times)
+
+
 def absent(df: DataFrame, other: DataFrame, on: list[str], keys: list[str], rule: str) -> DataFrame:
     return df.join(other.select(*on), on, "left_anti").select(*keys, F.lit(rule).alias("rule"))
 
@@ -129,15 +138,18 @@ def check_plan(plan: DataFrame, registry: DataFrame, keys: list[str]) -> DataFra
     """Ready plan rows with the registry's two files in either order and a bounded shift."""
     pair = registry.select(*keys, F.sort_array(F.array("left_filename", "right_filename")).alias("_pair"))
     shift = F.col("photo_adjustment_points").try_cast("double")
-    rules = {
+    # Tested before the rows meet, so that only verdicts and the files travel; one join finds the missing plans too.
+    own = {
         "orientation": F.col("orientation") != ORIENTATION,
-        "photo pair": ~F.sort_array(F.array("left_image_filename", "right_image_filename")).eqNullSafe(F.col("_pair")),
         "not ready": F.col("plan_status") != "READY",
         "shift": shift.isNull() | F.isnan(shift) | (F.abs(shift) > MAX_SHIFT),
     }
-    return union_all([
-        row_rules(plan.join(pair, keys, "left"), keys, rules), absent(registry, plan, keys, keys, "no plan")
-    ])
+    files = F.sort_array(F.array("left_image_filename", "right_image_filename")).alias("_files")
+    tested = plan.select(*keys, files, *[rule.alias(name) for name, rule in own.items()], F.lit(True).alias("_planned"))
+    rules = {name: F.col(name) for name in own}
+    rules["photo pair"] = F.col("_planned") & ~F.col("_files").eqNullSafe(F.col("_pair"))
+    rules["no plan"] = F.col("_planned").isNull()
+    return row_rules(tested.join(pair, keys, "full_outer"), keys, rules)
 
 
 def check_frame_moves(moves: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -158,9 +170,15 @@ def check_frame_moves(moves: DataFrame, known: DataFrame, key: str) -> DataFrame
         "direction": ((F.col("mode") == "DOWN") & ((F.abs(dx) > MOVE_TOLERANCE) | (dy <= MOVE_TOLERANCE)))
         | ((F.col("mode") == "RIGHT") & ((dx <= MOVE_TOLERANCE) | (dy < -MOVE_TOLERANCE))),
     }
-    return union_all([
-        row_rules(moves, [key], rules), repeated(moves, [key], [key], "repeated"), absent(moves, known, [key], [key], "unknown look")
-    ])
+    # Rules of the key alone need its counts, not its rows: nothing is sorted, and a hot key is added up before it travels.
+    counted = moves.select(key, F.lit(1).alias("_moves"), F.lit(False).alias("_known")).unionByName(
+        known.select(key, F.lit(0).alias("_moves"), F.lit(True).alias("_known"))
+    ).groupBy(key).agg(F.sum("_moves").alias("_moves"), F.max("_known").alias("_known"))
+    of_key = {
+        "repeated": F.col(key).isNotNull() & (F.col("_moves") > 1),
+        "unknown look": (F.col("_moves") > 0) & (F.col(key).isNull() | ~F.col("_known")),
+    }
+    return row_rules(moves, [key], rules).unionByName(as_often(row_rules(counted, [key, "_moves"], of_key), "_moves"))
 
 
 def check_applied(planned: DataFrame, applied: DataFrame, keys: list[str]) -> DataFrame:

@@ -391,3 +391,31 @@ def test_names_of_one_prefix_are_placed_over_many_ranges(spark):
     found = rollups.casefold_positions(spark.createDataFrame([(n,) for n in names + names[:50]], "name string"), "name").collect()
     order = [None, *sorted((n for n in names if n is not None), key=lambda n: (n.lower(), n))]
     assert [r["name"] for r in sorted(found, key=lambda r: r["place"])] == order and [r["place"] for r in sorted(found, key=lambda r: r["place"])] == list(range(1, len(order) + 1))
+
+
+def test_frame_moves_of_a_key_count_without_its_rows(spark, monkeypatch):
+    """Null and unknown looks, looks with many moves (more than one run of copies), and looks without moves."""
+    from proofloom.operators import checks
+
+    monkeypatch.setattr(checks, "ROWS_AT_ONCE", 3)
+    fine = ("DOWN", "STYLE", *[0.0] * 4, 5.0, 0.0, 9.0, 9.0)
+    names = "look long, mode string, paragraph_alignment string, from_top double, from_left double, from_bottom double, from_right double, to_top double, to_left double, to_bottom double, to_right double"
+    moves = spark.createDataFrame([(look, *fine) for look in [1, 2, 2, 3, *[4] * 7, None, None]], names)
+    known = spark.createDataFrame([(1,), (2,), (2,), (9,), (None,)], "look long")
+    found = checks.check_frame_moves(moves, known, "look")
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(2, "repeated")] * 2 + [(4, "repeated")] * 7 + [(3, "unknown look")] + [(4, "unknown look")] * 7 + [(None, "unknown look")] * 2, key=str)
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+
+
+def test_plan_is_checked_in_one_join(spark):
+    from proofloom.operators import checks
+
+    names = "k long, orientation string, left_image_filename string, right_image_filename string, photo_adjustment_points string, plan_status string"
+    ready = (checks.ORIENTATION, "a", "b", "0", "READY")
+    plan = spark.createDataFrame([(1, *ready), (1, *ready), (2, "x", "b", "a", "nan", "DRAFT"), (3, *ready), (None, *ready)], names)
+    pairs = spark.createDataFrame([(1, "b", "a"), (2, "b", "a"), (4, "a", "b"), (4, "a", "b"), (None, "a", "b")], "k long, left_filename string, right_filename string")
+    found = checks.check_plan(plan, pairs, ["k"])
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(
+        [(2, "orientation"), (2, "not ready"), (2, "shift"), (3, "photo pair"), (None, "photo pair"), (4, "no plan"), (4, "no plan"), (None, "no plan")], key=str)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
