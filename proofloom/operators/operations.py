@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,35 +104,39 @@ def _run_chunks(rows: DataFrame, limits: Limits) -> DataFrame:
     """Verdicts of chunks (``_place``) from their start states, and a last row (admitted null) of each with what it leaves:
     first and last day, requests admitted in each of them here, and the admitted requests still inside the window."""
     schema = _CHUNK.format(key=dict(rows.dtypes)["_key"], id=dict(rows.dtypes)["request_id"])
-    names = [column.split()[0] for column in schema.split(", ")]
+    read = ["_place", "_key", "request_id", "epoch", "day", "estimate", "settled", "settled_at", "_today", "_recent"]
+    names, text, whole = [column.split()[0] for column in schema.split(", ")], pa.string(), pa.int64()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Most keys are cut into many short parts: rows are walked as plain values, without a frame for each part.
         place, ledger, day, started, head = None, None, None, 0, 0
 
         def left() -> tuple:
             tail = ledger.today - (started if ledger.day == day else 0)
             return place, None, None, None, day, head, ledger.day, tail, json.dumps(ledger.recent)
 
-        def table(out: list[tuple]) -> pd.DataFrame:
-            return pd.DataFrame({name: pd.Series(held, dtype=object) for name, held in zip(names, zip(*out))})
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held, kind) for held, kind in zip(zip(*out), kinds)], names=names)
 
         for batch in batches:
             out = []
-            for name, held in batch.groupby("_place", sort=False):
+            kinds = [text, *(batch.column(column).type for column in ("_key", "request_id")), pa.bool_(), text, whole, text, whole, text]
+            for name, owner, request, epoch, date, estimate, settled, settled_at, today, recent in zip(*(batch.column(column).to_pylist() for column in read)):
+                date = str(date)
                 if name != place:
                     if place is not None:
                         out.append(left())
-                    place, head, day, started = name, 0, str(held["day"].iloc[0]), int(held["_today"].iloc[0])
-                    ledger = Ledger(limits, [tuple(entry) for entry in json.loads(held["_recent"].iloc[0])], day, started)
-                verdicts = admit_rows(ledger, held)
-                head += sum(ok and str(d) == day for ok, d in zip(verdicts, held["day"]))
-                out += [(place, owner, request, ok, None, None, None, None, None) for owner, request, ok in zip(held["_key"].tolist(), held["request_id"].tolist(), verdicts)]
+                    place, head, day, started = name, 0, date, today
+                    ledger = Ledger(limits, [tuple(entry) for entry in json.loads(recent)], day, started)
+                allowed = ledger.admit(epoch, date, estimate, settled, settled_at)
+                head += allowed and date == day
+                out.append((name, owner, request, allowed, None, None, None, None, None))
             if out:
                 yield table(out)
         if place is not None:
             yield table([left()])
 
-    return rows.repartition("_place").sortWithinPartitions("_place", "epoch", "request_id").mapInPandas(run, schema)
+    return rows.select(*read).repartition("_place").sortWithinPartitions("_place", "epoch", "request_id").mapInArrow(run, schema)
 
 
 def _due(ends: DataFrame, limits: Limits) -> DataFrame:
