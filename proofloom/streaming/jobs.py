@@ -15,6 +15,8 @@ from ..operators.operations import Ledger, Limits, admit_rows
 from ..plans.lineage import scratch_folder
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+#: Buckets of the progress that runs have shown, by its hash; a hash is 32 bytes.
+SHOWN_BUCKETS, SHOWN = 1_024, "S32"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,25 +66,30 @@ class _Admission(StatefulProcessor):
 
 
 class _Stagnation(StatefulProcessor):
-    """Remembers every progress signature a run has shown, for ``keep_ms`` after it was first seen (None: for good)."""
+    """Remembers what the runs of a bucket have shown, for ``keep_ms`` after it was first seen (None: for good).
+
+    A bucket's state is a list of blocks, one of sorted hashes per micro-batch: it is asked once per bucket, not once per signature.
+    """
 
     def __init__(self, run: str, keep_ms: int | None = None):
         self.run, self.keep_ms = run, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "signature STRING", "times BIGINT", ttlDurationMs=self.keep_ms)
+        self.seen = handle.getListState("seen", "shown BINARY", ttlDurationMs=self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        # A key's rows come in Arrow batches of any order; the first snapshot of a signature is the least of all.
+        # A bucket's rows come in Arrow batches of any order; the first snapshot of a signature is the least of all.
         batch = pd.concat(list(rows)).sort_values("snapshot_id")
-        new = ~batch["signature"].duplicated()
-        for place in np.flatnonzero(new.to_numpy()):
-            signature = (batch["signature"].iloc[place],)
-            if self.seen.containsKey(signature):
-                new.iloc[place] = False
-            else:
-                self.seen.updateValue(signature, (1,))
-        yield pd.DataFrame({self.run: key[0], "snapshot_id": batch["snapshot_id"], "stalled": ~new})
+        shown, first = np.unique(np.array(batch["shown"].tolist(), dtype=SHOWN), return_index=True)
+        unseen = np.ones(len(shown), dtype=bool)
+        for (block,) in list(self.seen.get()) if self.seen.exists() else []:
+            held = np.frombuffer(block, dtype=SHOWN)
+            unseen &= held[np.minimum(np.searchsorted(held, shown), len(held) - 1)] != shown
+        if unseen.any():
+            self.seen.appendValue((shown[unseen].tobytes(),))
+        stalled = np.ones(len(batch), dtype=bool)
+        stalled[first[unseen]] = False
+        yield pd.DataFrame({self.run: batch[self.run], "snapshot_id": batch["snapshot_id"], "stalled": stalled})
 
     def close(self) -> None:
         pass
@@ -101,8 +108,9 @@ def stagnation_stream(snapshots: DataFrame, run: str, signature: Column, keep_ms
 
     With ``keep_ms`` progress is forgotten after that time, which bounds the state of endless streams.
     """
-    signed = snapshots.select(run, "snapshot_id", signature.alias("signature"))
-    return signed.groupBy(run).transformWithStateInPandas(
+    shown = F.unhex(F.sha2(F.to_json(F.struct(F.col(run), signature.alias("signature")), {"ignoreNullFields": "false"}), 256))
+    signed = snapshots.select(run, "snapshot_id", shown.alias("shown")).withColumn("_bucket", F.pmod(F.xxhash64("shown"), F.lit(SHOWN_BUCKETS)))
+    return signed.groupBy("_bucket").transformWithStateInPandas(
         _Stagnation(run, keep_ms), f"{run} {dict(snapshots.dtypes)[run]}, snapshot_id {dict(snapshots.dtypes)['snapshot_id']}, stalled boolean",
         "append", "None" if keep_ms is None else "ProcessingTime",
     )

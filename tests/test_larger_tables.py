@@ -1,6 +1,10 @@
 """Steps that grew too fast with the tables: their plan, and their results on small cases."""
 
+import pandas as pd
+from pyspark.sql import functions as F
+
 from proofloom.operators import operations
+from proofloom.streaming import jobs
 
 
 def test_many_short_parts_are_judged_without_a_frame_each(spark):
@@ -13,3 +17,38 @@ def test_many_short_parts_are_judged_without_a_frame_each(spark):
     assert "MapInArrow" in plan and "MapInPandas" not in plan
     admitted = found.groupBy("run").agg({"request_id": "count"}).count(), {(r["request_id"] // 1000): r["admitted"] for r in found.where("run = 7").collect()}
     assert admitted == (1_000, {0: True, 1: True, 2: False, 3: True})
+
+
+def test_stagnation_asks_its_state_once_per_bucket(spark, tmp_path):
+    def arrive(rows):
+        spark.createDataFrame(rows, "run bigint, snapshot_id bigint, done string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("run bigint, snapshot_id bigint, done string").parquet(str(tmp_path / "in"))
+        return {r["snapshot_id"]: r["stalled"] for r in jobs.drain(jobs.stagnation_stream(stream, "run", F.col("done")), str(tmp_path / "out")).collect()}
+
+    first = [(run, run * 10 + i, f"{i % 3}") for run in range(5) for i in range(6)] + [(9, 900, None), (9, 901, None), (None, 950, "0")]
+    found = arrive(first)
+    assert {i for i, stalled in found.items() if not stalled} == {run * 10 + i for run in range(5) for i in range(3)} | {900, 950}
+    found = arrive([(0, 100, "2"), (0, 101, "7"), (0, 102, "7"), (9, 103, None), (9, 104, "0")])  # a restart goes on from the state
+    assert [found[i] for i in range(100, 105)] == [True, False, True, True, False] and len(found) == len(first) + 5
+
+
+def test_stagnation_calls_its_state_for_no_single_signature():
+    calls = []
+
+    class State:
+        def exists(self):
+            return bool(calls)
+
+        def get(self):
+            calls.append("get")
+            return iter(())
+
+        def appendValue(self, value):
+            calls.append(value)
+
+    processor = jobs._Stagnation("run")
+    processor.seen = State()
+    rows = pd.DataFrame({"run": 1, "snapshot_id": range(50), "shown": [bytes([i % 20]) * 32 for i in range(50)]})
+    out = pd.concat(processor.handleInputRows((0,), iter([rows.iloc[25:], rows.iloc[:25]]), None))
+    assert len(calls) == 1 and len(calls[0][0]) == 20 * 32
+    assert out.loc[~out["stalled"], "snapshot_id"].tolist() == list(range(20))
