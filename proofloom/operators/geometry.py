@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.bounds import broadcast_if_small
 from ..plans.lineage import cut_lineage
 
 # Least overlap, rounding tolerance around a later draw, share that hides a draw.
@@ -13,6 +14,8 @@ OCCLUSION_TOLERANCE = 1.0
 OCCLUSION_COVERAGE = 0.95
 SIDES = ["left", "bottom", "right", "top"]
 CELL = 64.0
+#: Draws of a page that are judged in one row; larger pages are cut into cells.
+ROW_DRAWS = 64
 
 
 def affine_bounds(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> dict[str, Column]:
@@ -70,13 +73,108 @@ def covered_area(rectangles: DataFrame, keys: list[str]) -> DataFrame:
     return added.groupBy(*keys).agg(F.sum("_added").alias("covered"))
 
 
-def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id", cell: float = CELL) -> DataFrame:
+def _box(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:
+    return F.struct(*[column.alias(side) for side, column in affine_bounds(a, b, c, d, e, f).items()])
+
+
+def _sides(box) -> dict[str, Column]:
+    return {side: box[side] for side in SIDES}
+
+
+def _area(box) -> Column:
+    return (box["right"] - box["left"]) * (box["top"] - box["bottom"])
+
+
+def _once(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often it is named there."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _covered(boxes: Column) -> Column:
+    """Area of the union of an array of boxes in order of their bottoms, by the sweep of ``covered_area``."""
+
+    def slab(left: Column, right: Column) -> Column:
+        state = F.struct(F.lit(float("-inf")).alias("top"), F.lit(0.0).alias("sum"))
+
+        def upward(s: Column, b: Column) -> Column:
+            added = F.greatest(b["top"] - F.greatest(b["bottom"], s["top"]), F.lit(0.0))
+            more = F.struct(F.greatest(s["top"], b["top"]).alias("top"), (s["sum"] + added).alias("sum"))
+            return F.when((b["left"] <= left) & (b["right"] >= right), more).otherwise(s)
+
+        return F.aggregate(boxes, state, upward, lambda s: s["sum"]) * (right - left)
+
+    def swept(edges: Column) -> Column:
+        slabs = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), slab)
+        return F.aggregate(slabs, F.lit(0.0), lambda total, part: total + part)
+
+    edges = F.concat(F.transform(boxes, lambda b: b["left"]), F.transform(boxes, lambda b: b["right"]))
+    return _once(F.array_sort(F.array_distinct(edges)), swept)
+
+
+def _shown_in_rows(draws: DataFrame, pages: DataFrame, page_key: str) -> DataFrame:
+    """``drop_occluded`` with all draws of a page in one row, so that they are dealt once."""
+    held = draws.groupBy(page_key).agg(F.collect_list(F.struct(*draws.columns)).alias("_draws"))
+    paged = held.join(pages.select(page_key, F.struct(*SIDES).alias("_page")), page_key)
+    sheet = _sides(F.col("_page"))
+
+    def boxed(draw: Column) -> Column:
+        raw = _sides(_box(*[draw[name] for name in "abcdef"]))
+        grown = clip({side: raw[side] + (OCCLUSION_TOLERANCE if side in ("right", "top") else -OCCLUSION_TOLERANCE) for side in SIDES}, sheet)
+        order = ["bottom", "left", "right", "top"]
+        return F.struct(
+            *[grown[side].alias(side) for side in order], F.struct(*[raw[side].alias(side) for side in SIDES]).alias("raw"),
+            ((F.abs(draw["b"]) > EPSILON) | (F.abs(draw["c"]) > EPSILON)).alias("rotated"), draw.alias("draw"),
+        )
+
+    made = paged.withColumn("_boxes", F.transform("_draws", boxed)).drop("_draws")
+    made = made.withColumn("_turned", F.array_max(F.transform(F.filter("_boxes", lambda b: b["rotated"]), lambda b: b["draw"]["z"])))
+    on_page = F.filter("_boxes", lambda b: intersects_page(_sides(b["raw"]), sheet))
+    # Sorted by their bottoms, as the sweep needs them.
+    made = made.withColumn("_over", F.array_sort(F.transform(
+        F.filter("_boxes", lambda b: has_area(_sides(b))), lambda b: F.struct(b["bottom"].alias("bottom"), b["left"].alias("left"), b["right"].alias("right"), b["top"].alias("top"), b["draw"]["z"].alias("z")))))
+    made = made.withColumn("_on_page", on_page).drop("_boxes")
+    rows = made.select("_page", "_turned", "_over", F.explode("_on_page").alias("_one"))
+
+    def hidden(own: Column) -> Column:
+        def shared(box: Column) -> Column:
+            return F.struct(*[column.alias(side) for side, column in clip(_sides(box), _sides(own)).items()])
+
+        def enough(over: Column) -> Column:
+            least = OCCLUSION_COVERAGE * _area(own)
+            # What all of them together could cover is told first; the sweep follows only where that is enough.
+            most = F.aggregate(over, F.lit(0.0), lambda total, b: total + _area(b))
+            return F.when(most < least, F.lit(False)).otherwise(_covered(over) >= least)
+
+        meets = lambda b: (b["z"] > own["z"]) & (b["left"] < own["right"]) & (b["right"] > own["left"]) & (b["bottom"] < own["top"]) & (b["top"] > own["bottom"])
+        return _once(F.transform(F.filter("_over", meets), shared), enough)
+
+    judged = ~F.col("_one.rotated") & (F.col("_turned").isNull() | (F.col("_one.draw.z") > F.col("_turned")))
+    shown = clip(_sides(F.col("_one.raw")), _sides(F.col("_page")))
+    own = F.struct(*[shown[side].alias(side) for side in SIDES], F.col("_one.draw.z").alias("z"))
+    return rows.where(~F.when(judged, _once(own, hidden)).otherwise(F.lit(False))).select("_one.draw.*")
+
+
+def drop_occluded(draws: DataFrame, pages: DataFrame, page_key: str = "page_id", cell: float = CELL, row_draws: int = ROW_DRAWS) -> DataFrame:
     """Draws that show on their page: those that touch it and are not hidden by later ones.
 
     ``draws``: page_key, z, a..f.  ``pages``: page_key, left, bottom, right, top.  A draw is hidden
     when later draws, each widened by a point, cover 95 % of its part of the page; it stays if it
     or any later draw is rotated or skewed.
 
+    Draws of a page with up to ``row_draws`` of them meet in one row; those of larger pages meet in cells.
+    """
+    draws = cut_lineage(draws)
+    large = cut_lineage(draws.groupBy(page_key).count().where(F.col("count") > row_draws).select(page_key))
+    if large.isEmpty():
+        return _shown_in_rows(draws, pages, page_key)
+    large = broadcast_if_small(large)
+    small = _shown_in_rows(draws.join(large, page_key, "left_anti"), pages, page_key)
+    return small.unionByName(_shown_in_cells(draws.join(large, page_key, "left_semi"), pages, page_key, cell))
+
+
+def _shown_in_cells(draws: DataFrame, pages: DataFrame, page_key: str, cell: float) -> DataFrame:
+    """``drop_occluded`` for pages of any number of draws.
+
     Pages are cut into cells.  In a cell the latest draw that fills it hides everything before it
     there, so only the few draws after that one meet, however many are stacked; a sweep adds up what they cover.
     """

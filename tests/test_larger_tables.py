@@ -1,9 +1,10 @@
 """Steps that grew too fast with the tables: their plan, and their results on small cases."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from proofloom.operators import operations
+from proofloom.operators import geometry, operations
 from proofloom.streaming import jobs
 
 
@@ -52,3 +53,20 @@ def test_stagnation_calls_its_state_for_no_single_signature():
     out = pd.concat(processor.handleInputRows((0,), iter([rows.iloc[25:], rows.iloc[:25]]), None))
     assert len(calls) == 1 and len(calls[0][0]) == 20 * 32
     assert out.loc[~out["stalled"], "snapshot_id"].tolist() == list(range(20))
+
+
+def test_draws_of_small_pages_meet_in_one_row(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for page in range(60):
+        for z in range(int(rng.integers(1, 14))):
+            a, d, e, f = (float(v) for v in (rng.integers(-4, 15), rng.integers(1, 13), rng.integers(-3, 12), rng.integers(-3, 9)))
+            rows.append((page if page else None, z // 2 if page % 7 == 3 else z, a, [0.0, 0.0, 0.0, 0.2, None][int(rng.integers(0, 5))] if page % 5 == 0 else 0.0, 0.0, d, e, f, f"{page}/{z}"))
+    draws = spark.createDataFrame(rows, "page_id bigint, z int, a double, b double, c double, d double, e double, f double, name string")
+    pages = spark.range(60).selectExpr("id as page_id", "0D as left", "0D as bottom", "16D as right", "12D as top")
+    in_rows, in_cells, mixed = (geometry.drop_occluded(draws, pages, cell=4.0, row_draws=limit) for limit in (64, 0, 6))
+    assert in_rows._jdf.queryExecution().executedPlan().toString().count("Exchange hash") < 4
+    names = sorted(r["name"] for r in in_rows.collect())
+    unlike = draws.where("page_id % 7 <> 3")  # cells add up what draws of one z hide together
+    apart = lambda df: sorted(r["name"] for r in df.join(unlike.select("name"), "name").collect())
+    assert apart(in_rows) == apart(in_cells) == apart(mixed) and 0 < len(names) < len([r for r in rows if r[0]])
