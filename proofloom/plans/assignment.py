@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 from . import auction
 from .components import connected_components
 from .lineage import cut_lineage
-from .neighbours import _stack, _standard, nearest
+from .neighbours import PARTS_PER_CORE, _stack, _standard, nearest
 
 WHOLE_BLOCK_PAIRS = 2_000_000
 #: Larger pieces are not solved as a matrix.
 PIECE_PAIRS = 1_000_000
+#: Pieces of fewer offers are solved many to a task, in buckets of about so many offers.
+BUCKET_OFFERS = 50_000
 FIRST_LIST = 16
+#: Offers of a target in the first round.
+FIRST_OFFERS = 8
 SLACK = 1e-12
 #: An auction rounds costs to a grid.
 AUCTION_SLACK = 1e-9
@@ -97,38 +101,61 @@ def _solve_whole_blocks(targets: DataFrame, candidates: DataFrame, cost) -> Data
     )
 
 
-def _solve_pieces(offers: DataFrame) -> DataFrame:
-    """Solve each connected piece of (piece, block, target, candidate, cost); ``slack`` is how exact ``pays`` is."""
+def _solve_piece(target: np.ndarray, candidate: np.ndarray, cost: np.ndarray) -> dict[str, np.ndarray]:
+    """One connected piece of offers; a target that gets nothing has -1 as its place among the candidates."""
+    targets, rows = np.unique(target, return_inverse=True)
+    candidates, columns = np.unique(candidate, return_inverse=True)
+    slack = SLACK
+    if len(targets) * len(candidates) > PIECE_PAIRS:
+        held, pays = auction.solve_offers(rows, columns, cost)
+        slack = AUCTION_SLACK
+    else:
+        costs = np.full((len(targets), len(candidates)), np.inf)
+        costs[rows, columns] = cost
+        held, pays = cheapest_assignment(costs)
+    paid, mine = np.full(len(targets), np.nan), held[rows] == columns
+    paid[rows[mine]] = cost[mine]
+    short = np.full(len(targets), (held < 0).any())
+    return {"target": targets, "candidate": candidates[held], "served": held >= 0, "cost": paid, "pays": pays, "short": short, "slack": np.full(len(targets), slack)}
 
-    def solve(piece: pd.DataFrame) -> pd.DataFrame:
-        targets, rows = np.unique(piece["target"].to_numpy(), return_inverse=True)
-        candidates, columns = np.unique(piece["candidate"].to_numpy(), return_inverse=True)
-        cost, slack = piece["cost"].to_numpy(), SLACK
-        if len(targets) * len(candidates) > PIECE_PAIRS:
-            held, pays = auction.solve_offers(rows, columns, cost)
-            slack = AUCTION_SLACK
-        else:
-            costs = np.full((len(targets), len(candidates)), np.inf)
-            costs[rows, columns] = cost
-            held, pays = cheapest_assignment(costs)
-        mine = held[rows] == columns
-        paid = dict(zip(rows[mine].tolist(), cost[mine].tolist()))
-        return pd.DataFrame({
-            "block": piece["block"].iloc[0], "target": targets,
-            "candidate": pd.array([int(candidates[h]) if h >= 0 else None for h in held], dtype="Int64"),
-            "cost": [paid.get(i) for i in range(len(targets))],
-            "pays": pays, "short": bool((held < 0).any()), "slack": slack,
-        })
 
-    def solved(some: DataFrame) -> DataFrame:
-        return some.groupBy("piece").applyInPandas(solve, "block bigint, target bigint, candidate bigint, cost double, pays double, short boolean, slack double")
+def _solve_pieces(offers: DataFrame) -> DataFrame:
+    """Solve each connected piece of (piece, block, target, candidate, cost); ``slack`` is how exact ``pays`` is."""
 
-    large = cut_lineage(offers.groupBy("piece").count().where(F.col("count") > auction.TASK_OFFERS).select("piece"))
+    def solve(held: pd.DataFrame) -> pd.DataFrame:
+        number = pd.factorize(held["piece"])[0]
+        order = np.argsort(number, kind="stable")
+        ends = np.flatnonzero(np.diff(number[order], append=-1)) + 1
+        block, target, candidate, cost = (held[name].to_numpy()[order] for name in ("block", "target", "candidate", "cost"))
+        starts = [0, *ends[:-1].tolist()]
+        parts = [_solve_piece(target[start:end], candidate[start:end], cost[start:end]) for start, end in zip(starts, ends.tolist())]
+        found = {name: np.concatenate([part[name] for part in parts]) for name in parts[0]}
+        served = found.pop("served")
+        blocks = np.repeat(block[starts], [len(part["target"]) for part in parts])
+        missing = pd.array(found["candidate"], dtype="Int64")
+        missing[~served] = pd.NA
+        return pd.DataFrame({"block": blocks, **found, "candidate": missing, "cost": pd.Series(found["cost"], dtype=object).where(served, None)})
+
+    def solved(some: DataFrame, group: str) -> DataFrame:
+        return some.groupBy(group).applyInPandas(solve, "block bigint, target bigint, candidate bigint, cost double, pays double, short boolean, slack double")
+
+    spark = offers.sparkSession
+    offers = cut_lineage(offers)
+    sizes = cut_lineage(offers.groupBy("piece").count().where(F.col("count") > BUCKET_OFFERS))
+    # Pieces are few bytes and much work: a fixed number of parts, else they would be put together by their bytes.
+    parts = PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    buckets = max(parts, offers.count() // BUCKET_OFFERS)
+    bucketed = lambda some: solved(some.withColumn("_bucket", F.pmod(F.xxhash64("piece"), F.lit(buckets))).repartition(parts, "_bucket"), "_bucket")
+    if sizes.isEmpty():
+        return bucketed(offers)
+    large = sizes.where(F.col("count") > auction.TASK_OFFERS)
+    alone = offers.join(sizes.where(F.col("count") <= auction.TASK_OFFERS), "piece", "left_semi").repartition(parts, "piece")
+    every = bucketed(offers.join(sizes, "piece", "left_anti")).unionByName(solved(alone, "piece"))
     if large.isEmpty():
-        return solved(offers)
+        return every
     auctioned = auction.auction(offers.join(large, "piece", "left_semi"))
     auctioned = auctioned.select("block", "target", "candidate", "cost", "pays", F.col("candidate").isNull().alias("short"), F.lit(AUCTION_SLACK).alias("slack"))
-    return solved(offers.join(large, "piece", "left_anti")).unionByName(auctioned)
+    return every.unionByName(auctioned)
 
 
 def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: int) -> DataFrame:
@@ -136,7 +163,7 @@ def _solve_by_offers(targets: DataFrame, candidates: DataFrame, cost, pivots: in
     columns = {"block": "block", "target": "target", "candidate": "candidate", "vector": "vec"}
     size = FIRST_LIST
     lists = cut_lineage(nearest(targets, candidates, cost, size, pivots=pivots, spread_ties=True, **columns))
-    reveal = cut_lineage(targets.select("block", "target", F.lit(1).alias("offers"), F.lit(size).alias("listed")).join(held, "block"))
+    reveal = cut_lineage(targets.select("block", "target").join(held, "block").select("block", "target", F.least(F.lit(FIRST_OFFERS), "available").cast("int").alias("offers"), F.lit(size).alias("listed"), "available"))
     while True:
         shown = lists.join(reveal, ["block", "target"])
         offers = shown.where(F.col("rank") <= F.col("offers"))

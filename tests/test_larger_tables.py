@@ -1,10 +1,13 @@
 """Steps that grew too fast with the tables: their plan, and their results on small cases."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
 from proofloom.operators import geometry, operations
+from proofloom.plans import assignment
 from proofloom.streaming import jobs
 
 
@@ -70,3 +73,17 @@ def test_draws_of_small_pages_meet_in_one_row(spark):
     unlike = draws.where("page_id % 7 <> 3")  # cells add up what draws of one z hide together
     apart = lambda df: sorted(r["name"] for r in df.join(unlike.select("name"), "name").collect())
     assert apart(in_rows) == apart(in_cells) == apart(mixed) and 0 < len(names) < len([r for r in rows if r[0]])
+
+
+def test_small_pieces_are_solved_many_to_a_task(spark):
+    rng = np.random.default_rng(8)
+    costs = rng.integers(0, 50, (400, 3, 4)) / 8.0
+    offers = [(f"p{p}", p % 5, p * 10 + t, p * 10 + c, float(costs[p, t, c])) for p in range(400) for t in range(3) for c in range(4)]
+    offers += [("lone", 7, 9_000 + t, 9_000, float(t)) for t in range(4)]  # four targets, one candidate
+    found = assignment._solve_pieces(spark.createDataFrame(offers, "piece string, block bigint, target bigint, candidate bigint, cost double").repartition(3))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "_bucket" in plan and found.rdd.getNumPartitions() > 1
+    rows = found.collect()
+    least = sum(min(sum(costs[p, t, c] for t, c in enumerate(taken)) for taken in itertools.permutations(range(4), 3)) for p in range(400))
+    assert sum(r["cost"] for r in rows if r["block"] < 7) == least and not any(r["short"] for r in rows if r["block"] < 7)
+    assert {r["target"]: (r["candidate"], r["cost"], r["short"]) for r in rows if r["block"] == 7} == {9_000: (9_000, 0.0, True), **{9_000 + t: (None, None, True) for t in (1, 2, 3)}}
