@@ -17,6 +17,17 @@ HASH_RANGE = 1 << 31
 KERNEL_ROWS = 1_000
 
 
+_kept: dict[tuple, object] = {}
+
+
+def kept_by_worker(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: one thing at a time, so that models and memos of a pipeline's stages do not add up."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the key as text leaves this remainder; a null key counts as in the fold."""
     return F.coalesce(F.pmod(F.crc32(key.cast("string")), F.lit(modulus)) == remainder, F.lit(True))

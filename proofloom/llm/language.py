@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
-from .common import HASH_RANGE, keep_rows, map_batches, record
+from .common import HASH_RANGE, keep_rows, kept_by_worker, map_batches, record
 
 #: Texts per language that the model is fitted on, at most (a hash of the text chooses them).
 FIT_TEXTS = 2_000
@@ -147,14 +147,8 @@ class WordRows(dict):
         return self.matrix[found]
 
 
-_held: dict[str, WordRows] = {}
-
-
 def word_rows(model: LanguageModel) -> WordRows:
-    if model.uid not in _held:
-        _held.clear()
-        _held[model.uid] = WordRows(model)
-    return _held[model.uid]
+    return kept_by_worker(("language", model.uid), lambda: WordRows(model))
 
 
 def predict(model: LanguageModel, text: str | None) -> tuple[str, float]:

@@ -13,7 +13,6 @@ ends the job.  ``verify="texts"`` compares whole texts instead.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import re
 from array import array
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
-from .common import map_batches, record
+from .common import kept_by_worker, map_batches, record
 
 MARK = "▁"
 #: Segments in the younger half of a worker's memo; the older half holds as many.
@@ -232,10 +231,9 @@ class Encoder:
         return made
 
 
-@functools.lru_cache(maxsize=1)
 def encoder(path: str, text: bool = True) -> Encoder:
     """The worker's encoder; one at a time, so that memos do not add up."""
-    return Encoder(path, text)
+    return kept_by_worker(("pieces", path, text), lambda: Encoder(path, text))
 
 
 def blocks(texts: list[str], characters: int = 4_000_000):

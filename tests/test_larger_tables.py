@@ -1,11 +1,13 @@
 """Steps that grew too fast with the tables: their plan, and their results on small cases."""
 
 import itertools
+import weakref
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from proofloom.llm import language, sentencepieces
 from proofloom.operators import geometry, operations
 from proofloom.plans import assignment
 from proofloom.streaming import jobs
@@ -87,3 +89,16 @@ def test_small_pieces_are_solved_many_to_a_task(spark):
     least = sum(min(sum(costs[p, t, c] for t, c in enumerate(taken)) for taken in itertools.permutations(range(4), 3)) for p in range(400))
     assert sum(r["cost"] for r in rows if r["block"] < 7) == least and not any(r["short"] for r in rows if r["block"] < 7)
     assert {r["target"]: (r["candidate"], r["cost"], r["short"]) for r in rows if r["block"] == 7} == {9_000: (9_000, 0.0, True), **{9_000 + t: (None, None, True) for t in (1, 2, 3)}}
+
+
+def test_a_worker_keeps_the_memo_of_one_stage_only():
+    path = sentencepieces.default_model()
+    held = sentencepieces.encoder(path)
+    assert sentencepieces.encoder(path) is held
+    gone = weakref.ref(held)
+    del held
+    model = language.LanguageModel(["a", "b"], [{"word": 0}], [np.zeros((1, 2))])
+    rows = weakref.ref(language.word_rows(model).matrix)
+    assert gone() is None and rows() is language.word_rows(model).matrix
+    sentencepieces.encoder(path, text=False)
+    assert rows() is None
