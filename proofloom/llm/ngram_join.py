@@ -8,11 +8,13 @@ changes the cost and never the result), so frequent passages hardly meet.
 1. Every node's first tokens are dealt to token buckets; tokens of a single node end there.
 2. Partition: in each token's list the smallest node leads.  A node is compared with the leader it shares most
    tokens with; whoever is similar enough is linked.  Nodes of one leader are a family of similar documents, and a
-   family is cut into groups of bounded size, one class of linked nodes or the unlinked ones at a time.
+   family is cut into groups of bounded size, one class of linked nodes or the unlinked ones at a time.  Nodes of small
+   families that stand in a long list are grouped by their longest list and by size instead.
 3. Token-group matrix: a token is held against the groups whose union has it.  The tokens that two groups share, plus
    what a member of each could share beyond its first tokens, bound the overlap of any two members; only pairs of
    groups whose bound reaches the needed overlap are opened, and none whose members are all of one class.
-4. Members of opened groups are compared exactly, group against group in one task.  Links join the classes.
+4. Members of opened groups are compared exactly, group against group in one task: the smaller group of a pair comes to
+   the larger, which is sent once for many of them.  Links join the classes.
 
 Nodes of one class are never compared again, so a class of near copies costs about one comparison per node; rows are
 written per group, never per pair of documents.
@@ -46,6 +48,8 @@ FREQUENT_IN_SAMPLE = 2
 FREQUENT_TOKENS = 500_000
 #: Members of a group, about.
 GROUP_NODES = 256
+#: Nodes of a list from which those without a large family of their own are grouped by it.
+HOT_NODES = 64
 #: Nodes that are compared with their leader in one go, about.
 STAR_NODES = 64
 #: Postings of a token bucket and bytes of sets of a comparison bucket, about.
@@ -278,10 +282,10 @@ def _qualifying(lists: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return opened.unionByName(within)
 
 
-def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, str]:
-    """node, tokens of the given nodes (a table and its path), from the text of one document of each."""
+def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """node, tokens of the given nodes and of texts that share an id with them, from the text of one document of each."""
     wanted = sets.select("doc_id", "node").join(broadcast_if_small(nodes), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("_rep"))
-    wanted, wanted_path = written_table(wanted.select("_rep").distinct())
+    wanted, _ = written_table(wanted.select("_rep").distinct())
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     read = rows.join(broadcast_if_small(wanted), F.col("doc_id").eqNullSafe(F.col("_rep")), "left_semi").select("text")
 
@@ -293,10 +297,7 @@ def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, t
             seen.update(new)
             yield record(node=(new, pa.int64()), tokens=([held[node].tobytes() for node in new], pa.binary()))
 
-    # Other texts may share the id of a representative; a set is used only where it is asked for.
-    made = written_table(read.mapInArrow(pack, "node bigint, tokens binary").join(broadcast_if_small(nodes), "node", "left_semi"))
-    delete_table(docs.sparkSession, wanted_path)
-    return made
+    return read.mapInArrow(pack, "node bigint, tokens binary")
 
 
 def _links_between(one: list[tuple], other: list[tuple] | None, percent: int) -> list[tuple[int, int]]:
@@ -339,39 +340,70 @@ def _links(docs: DataFrame, sets: DataFrame, pairs: DataFrame, members: DataFram
     groups = pairs.select(F.col("one").alias("group")).unionByName(pairs.select(F.col("other").alias("group"))).distinct()
     held = groups.join(broadcast_if_small(members), "group", "left").select("group", F.coalesce("node", "group").alias("node"), F.coalesce("class", "group").alias("class"))
     held, held_path = written_table(held)
-    packed, packed_path = _packed_sets(docs, sets, held.select("node").distinct(), key, text, words)
+    packed = _packed_sets(docs, sets, held.select("node").distinct(), key, text, words)
     owned, owned_path = written_table(packed.join(broadcast_if_small(held), "node"))
-    volume = owned.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("bytes"))
-    asked = pairs.select(F.explode(F.array("one", "other")).alias("group")).groupBy("group").count()
-    total = asked.join(volume, "group").agg(F.sum(F.col("count") * F.col("bytes"))).first()[0] or 0
-    buckets = max(1, total // BUCKET_BYTES)
-    dealt = pairs.withColumn("bucket", F.pmod(F.xxhash64("one", "other"), F.lit(buckets)))
-    sides = dealt.select("bucket", "one", "other", F.col("one").alias("group")).unionByName(
-        dealt.where("one <> other").select("bucket", "one", "other", F.col("other").alias("group"))
+    volume, volume_path = written_table(owned.groupBy("group").agg(F.sum(F.octet_length("tokens")).alias("bytes")))
+    # Of a pair the larger group stays and the smaller comes to it: a group goes once to each part of its smaller partners.
+    known = lambda side: broadcast_if_small(volume.select(F.col("group").alias(side), F.col("bytes").alias(f"{side}_bytes")))
+    met = pairs.join(known("one"), "one").join(known("other"), "other")
+    larger = F.struct("one_bytes", "one") >= F.struct(F.col("other_bytes").alias("one_bytes"), F.col("other").alias("one"))
+    met = met.select(
+        F.when(larger, F.col("one")).otherwise(F.col("other")).alias("stays"), F.when(larger, F.col("other")).otherwise(F.col("one")).alias("comes"),
+        F.greatest("one_bytes", "other_bytes").alias("stays_bytes"), F.least("one_bytes", "other_bytes").alias("comes_bytes"),
     )
-    # One row per group, not per member, goes to each of its pairs; a group is bounded.
+    loads = met.groupBy("stays").agg(F.max("stays_bytes").alias("own_bytes"), F.ceil(F.sum("comes_bytes") / BUCKET_BYTES).alias("parts"), F.sum("comes_bytes").alias("load"))
+    loads, loads_path = written_table(loads)
+    total = loads.agg(F.sum(F.col("parts") * F.col("own_bytes") + F.col("load"))).first()[0] or 0
+    buckets = max(1, int(total) // BUCKET_BYTES)
+    part = F.pmod(F.xxhash64("comes"), F.greatest("parts", F.lit(1)))
+    dealt = met.join(broadcast_if_small(loads.select("stays", "parts")), "stays").select("stays", "comes", F.pmod(F.xxhash64("stays", part), F.lit(buckets)).alias("bucket"))
+    sides = dealt.select("bucket", F.col("comes").alias("group"), "stays").unionByName(dealt.select("bucket", F.col("stays").alias("group"), F.lit(None).cast("bigint").alias("stays")))
+    sides, sides_path = written_table(sides.groupBy("bucket", "group").agg(F.collect_set("stays").alias("meets")))
+    # One row per group, not per member, goes to each of its buckets; a group is bounded.
     whole = owned.groupBy("group").agg(F.collect_list(F.struct("node", "class", "tokens")).alias("held"))
-    routed = whole.join(broadcast_if_small(sides), "group").select("bucket", "one", "other", "group", "held")
+    routed = whole.join(broadcast_if_small(sides), "group").select("bucket", "group", "meets", "held")
 
     def compare(rows: pa.Table) -> pa.Table:
-        of: dict[tuple[int, int], dict[int, list[tuple]]] = {}
-        for one, other, group, held in zip(*(rows[c].to_pylist() for c in ("one", "other", "group", "held"))):
-            of.setdefault((one, other), {})[group] = [(m["node"], m["class"], np.frombuffer(m["tokens"], dtype=np.uint64)) for m in held]
+        of = {
+            group: [(m["node"], m["class"], np.frombuffer(m["tokens"], dtype=np.uint64)) for m in held]
+            for group, held in zip(rows["group"].to_pylist(), rows["held"].to_pylist())
+        }
         found = []
-        for (one, other), held in of.items():
-            found += _links_between(held.get(one, []), None if one == other else held.get(other, []), percent)
+        for group, meets in zip(rows["group"].to_pylist(), rows["meets"].to_pylist()):
+            for other in meets:
+                found += _links_between(of[group], None if group == other else of[other], percent)
         return pa.table({"node": pa.array([f[0] for f in found], pa.int64()), "other": pa.array([f[1] for f in found], pa.int64())})
 
     links, _ = written_table(routed.groupBy("bucket").applyInArrow(compare, "node bigint, other bigint"))
-    for path in (held_path, packed_path, owned_path):
+    for path in (held_path, owned_path, volume_path, loads_path, sides_path):
         delete_table(spark, path)
     return links
 
 
-def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """node, own (its class), group, class (of the whole group, null where they differ), least and most sizes.
+def _hot(lists: DataFrame) -> DataFrame:
+    """node, n, token: every node in a list of HOT_NODES nodes or more, with the longest of its lists."""
 
-    Led nodes and their leaders in groups of about GROUP_NODES of one family, apart by class once they are linked.
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        best: dict[int, tuple[int, int, int]] = {}
+        for token, node, size in _unpacked(batch):
+            _, place, length = np.unique(token, return_inverse=True, return_counts=True)
+            length = length[place] if len(token) else length
+            hot = length >= HOT_NODES
+            for key, n, many, name in zip(node[hot].tolist(), size[hot].tolist(), length[hot].tolist(), token[hot].view(np.int64).tolist()):
+                best[key] = max(best.get(key, (0, 0, 0)), (many, name, n))
+        held = list(best.values())
+        return record(node=(list(best), pa.int64()), many=([h[0] for h in held], pa.int64()), token=([h[1] for h in held], pa.int64()), n=([h[2] for h in held], pa.int64()))
+
+    longest = map_batches(lists, kernel, "node bigint, many bigint, token bigint, n bigint")
+    return longest.groupBy("node").agg(F.first("n").alias("hot_n"), F.max_by("token", F.struct("many", "token")).alias("token"))
+
+
+def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame, lists: DataFrame) -> tuple[DataFrame, str]:
+    """node, own (its class), group, class (of the whole group, null where they differ), least and most sizes; the table's path.
+
+    Led nodes and their leaders in groups of about GROUP_NODES of one family, apart by class once they are linked.  Of
+    small families and of nodes without a leader, those that meet in a long list are in groups by that list and their size,
+    so that a passage of many otherwise different documents makes few pairs of groups instead of all pairs of nodes.
     """
     family = led.select("node", F.col("other").alias("family")).unionByName(led.select(F.col("other").alias("node"), F.col("other").alias("family")))
     family = family.groupBy("node").agg(F.min("family").alias("family"))
@@ -380,11 +412,19 @@ def _placed(led: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
     sized = sets.select("node", "n_shingles").join(broadcast_if_small(named), "node").groupBy("node").agg(
         F.first("own").alias("own"), F.first("part_of").alias("part_of"), F.first("n_shingles").alias("n")
     )
+    many = sized.groupBy("part_of").agg(F.count(F.lit(1)).alias("many"))
+    sized = sized.join(broadcast_if_small(many), "part_of").join(_hot(lists), "node", "full")
+    stays = F.col("token").isNull() | F.coalesce(F.col("many") >= HOT_NODES, F.lit(False))
+    n = F.coalesce("n", "hot_n")
+    listed = F.xxhash64("token", F.floor(2 * F.log2(n)))
+    sized, sized_path = written_table(sized.select("node", F.coalesce("own", "node").alias("own"), F.when(stays, F.col("part_of")).otherwise(listed).alias("part_of"), n.alias("n")))
     parts = sized.groupBy("part_of").agg(F.ceil(F.count(F.lit(1)) / GROUP_NODES).alias("parts"))
     sized = sized.join(broadcast_if_small(parts), "part_of").withColumn("group", F.xxhash64("part_of", F.pmod(F.xxhash64("node"), F.col("parts"))))
     whole = F.when(F.min("own") == F.max("own"), F.min("own"))
     groups = sized.groupBy("group").agg(whole.alias("class"), F.min("n").alias("least"), F.max("n").alias("most"))
-    return sized.select("node", "own", "group").join(broadcast_if_small(groups), "group")
+    placed, path = written_table(sized.select("node", "own", "group").join(broadcast_if_small(groups), "group"))
+    delete_table(led.sparkSession, sized_path)
+    return placed, path
 
 
 def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
@@ -401,7 +441,7 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, percent: int) ->
     followers = stars.select("group", "node", F.col("node").alias("class"))
     links = _links(docs, sets, stars.select(F.col("group").alias("one"), "other").distinct(), followers, key, text, words, percent)
     labels = connected_components(links, "node", "other")
-    placed, placed_path = written_table(_placed(led, labels, sets))
+    placed, placed_path = _placed(led, labels, sets, lists)
     opened, opened_path = written_table(_qualifying(lists, placed, percent))
     more = _links(docs, sets, opened, placed.select("group", "node", F.col("own").alias("class")), key, text, words, percent)
     if not more.isEmpty():

@@ -288,6 +288,23 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed):
     assert found == classes_brute(docs)
 
 
+def test_a_passage_of_many_documents_makes_few_groups(spark, monkeypatch):
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(12 + i % 3))) for i in range(300)]  # similar to none, nearly
+    docs += [(1_000 + i, f"{passage} " + " ".join(f"w{i}x{k}" for k in range(12))) for i in range(0, 300, 3)]
+    groups, qualifying = [], ngram_join._qualifying
+
+    def counted(lists, placed, percent):
+        groups.append(300 - placed.count() + placed.select("group").distinct().count())  # a node that is not placed is a group
+        return qualifying(lists, placed, percent)
+
+    monkeypatch.setattr(ngram_join, "_qualifying", counted)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(ngram_join.similar_classes(frame))}
+    assert found == classes_brute(docs) and len({c for _, c in found.values()}) == 300
+    assert groups[0] <= 20
+
+
 def test_any_order_of_tokens_keeps_a_shared_one():
     rng = np.random.default_rng(0)
     universe = np.unique(rng.integers(0, 2**63, size=400, dtype=np.uint64))
