@@ -10,8 +10,11 @@ Importance = (1 - GAMMA^l) * presentation + GAMMA^l * content, l the number of c
 
 Entropy alone cannot tell a menu of ever-changing links from an article, so what the markup declares comes first:
 navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments have importance 0, and
-a page that declares an article or main part has its text there, all of it: the style tree removes nothing from it.
-A page that would lose everything to the style tree keeps what was not declared.
+a page that declares an article or main part has its text there.  The style tree judges that text too: a block whose
+innermost element is of low importance goes, but only where the declared texts around it differ between the pages that
+have it.  On pages that are near copies of each other (mean entropy of those texts, weighted by their pages, of
+``NEAR_COPIES`` or more) a heading or list that all share is of the article and stays.  A page that would lose
+everything to the style tree keeps what was not declared.
 """
 
 from __future__ import annotations
@@ -28,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
+from ..plans.lineage import delete_table, written_table
 from .common import KERNEL_ROWS, map_batches, record
 
 GAMMA = 0.9
 LEAST_IMPORTANCE = 0.2
 MIN_PAGES = 5
+#: Pages whose declared texts are repeated so much are near copies; their shared elements tell nothing.
+NEAR_COPIES = 0.25
 #: A block outside any declared article is a menu when links hold more than this share of it.
 LINK_SHARE = 0.5
 #: Hosts with removed branches are dealt over so many parts when they are too many to broadcast.
@@ -71,7 +77,7 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[a-z]+")
 #: Kinds of what is counted of a path.
-CONTENT, SHAPE, PAGE = 0, 1, 2
+CONTENT, SHAPE, PAGE, DECLARED = 0, 1, 2, 3
 
 
 class Element:
@@ -251,12 +257,49 @@ def packed_page(html: str | None) -> np.ndarray:
     blocks, shapes = blocks_of(html)
     held: list[int] = []
     for b in blocks:
-        held += (CONTENT, _hash(b.text), len(b.paths), *b.paths)
+        held += (DECLARED if b.main else CONTENT, _hash(b.text), len(b.paths), *b.paths)
     for path, styles in shapes:
         held += (SHAPE, _hash("\n".join(styles)), 1, path)
     return np.array(held, dtype=np.int64)
 
 
+def _features(packed: bytes) -> Iterator[tuple[int, int, list[int]]]:
+    """Kind, feature and paths of everything in a packed page."""
+    held, at = np.frombuffer(packed, dtype=np.int64).tolist(), 0
+    while at < len(held):
+        kind, feature, many = held[at : at + 3]
+        yield kind, feature, held[at + 3 : at + 3 + many]
+        at += 3 + many
+
+
+def _among_copies(contents: DataFrame, asked: DataFrame) -> DataFrame:
+    """host and path, of the asked ones, where the declared texts beside the path are near copies, or there are none."""
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: Counter = Counter()
+            for host, packed, wanted in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                declared = [(feature, paths[-1] if paths else 0) for kind, feature, paths in _features(packed) if kind == DECLARED]
+                for path in {p for _, p in declared}.intersection(wanted):
+                    found[host, path, PAGE, 0] += 1
+                    found.update({(host, path, CONTENT, feature) for feature, p in declared if p != path})
+            columns = list(zip(*found)) or [(), (), (), ()]
+            yield record(
+                host=(columns[0], pa.string()), path=(columns[1], pa.int64()), kind=(columns[2], pa.int32()),
+                feature=(columns[3], pa.int64()), n=(list(found.values()), pa.int64()),
+            )
+
+    met = contents.join(broadcast_if_small(asked.groupBy("host").agg(F.collect_set("path").alias("wanted"))), "host").select("host", "packed", "wanted")
+    counted = met.mapInArrow(beside, "host string, path bigint, kind int, feature bigint, n bigint")
+    features = counted.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    n, text = F.col("n").cast("double"), F.col("kind") == CONTENT
+    sums = features.groupBy("host", "path").agg(
+        F.sum(F.when(~text, n)).alias("pages"), F.sum(F.when(text, n)).alias("texts"), F.sum(F.when(text, n * F.log(n))).alias("repeated")
+    )
+    differ = F.col("repeated") < NEAR_COPIES * F.col("texts") * F.log("pages")
+    return sums.where(~F.coalesce(differ, F.lit(False))).select("host", "path")
+
+
 def low_branches(pages: DataFrame, *, url: str = "url", html: str = "html", least: float = LEAST_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """host and the paths of its branches of low importance; hosts without any are left out."""
 
@@ -272,15 +315,14 @@ def low_branches(pages: DataFrame, *, url: str = "url", html: str = "html", leas
         for batch in batches:
             found: Counter = Counter()
             for host, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held, at = np.frombuffer(packed, dtype=np.int64).tolist(), 0
                 own = set()
-                while at < len(held):
-                    kind, feature, many = held[at : at + 3]
-                    for path in held[at + 3 : at + 3 + many]:
-                        own.add((host, path, kind, feature))
-                        if kind == CONTENT:
+                for kind, feature, paths in _features(packed):
+                    for path in paths:
+                        own.add((host, path, CONTENT if kind == DECLARED else kind, feature))
+                        if kind != SHAPE:
                             own.add((host, path, PAGE, 0))
-                    at += 3 + many
+                    if kind == DECLARED and paths:
+                        own.add((host, paths[-1], DECLARED, 0))
                 found.update(own)
             columns = list(zip(*found)) or [(), (), (), ()]
             yield record(
@@ -299,7 +341,7 @@ def low_branches(pages: DataFrame, *, url: str = "url", html: str = "html", leas
 
     sums = features.groupBy("host", "path").agg(
         F.max(F.when(F.col("kind") == PAGE, F.col("n"))).alias("pages"),
-        over(CONTENT, F.log(n)).alias("entropy"), over(CONTENT, F.lit(1)).alias("texts"),
+        (F.max("kind") == DECLARED).alias("declared"), over(CONTENT, F.log(n)).alias("entropy"), over(CONTENT, F.lit(1)).alias("texts"),
         over(SHAPE, n).alias("shaped"), over(SHAPE, n * F.log(n)).alias("shape_log"), F.coalesce(over(SHAPE, F.lit(1)), F.lit(0)).alias("shapes"),
     ).where(F.col("pages") >= min_pages)
     base = F.log("pages")
@@ -307,15 +349,21 @@ def low_branches(pages: DataFrame, *, url: str = "url", html: str = "html", leas
     presentation = F.coalesce(F.greatest(F.lit(0.0), (F.log("shaped") - F.col("shape_log") / F.col("shaped")) / base), F.lit(0.0))
     weight = F.pow(F.lit(GAMMA), F.col("shapes"))
     importance = F.when(F.col("shapes") == 0, content_importance).otherwise((1 - weight) * presentation + weight * content_importance)
-    low = sums.withColumn("importance", importance).where(F.col("importance") < least)
-    return low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    low, low_path = written_table(sums.withColumn("importance", importance).where(F.col("importance") < least).select("host", "path", "declared"))
+    noise, declared = low, low.where("declared")
+    if not declared.isEmpty():
+        noise = low.join(broadcast_if_small(_among_copies(contents, declared)), ["host", "path"], "left_anti")
+    lists, _ = written_table(noise.groupBy("host").agg(F.collect_set("path").alias("low")))
+    delete_table(pages.sparkSession, low_path)
+    return lists
 
 
 def main_text(html: str | None, low: frozenset[int] = frozenset()) -> str:
     """Blocks of the main text joined by an empty line."""
     blocks, _ = blocks_of(html)
-    if any(b.main for b in blocks):
-        return "\n\n".join(b.text for b in blocks if b.main)
+    if declared := [b for b in blocks if b.main]:
+        kept = [b.text for b in declared if not b.paths or b.paths[-1] not in low]
+        return "\n\n".join(kept or [b.text for b in declared])
     blocks = [b for b in blocks if b.link_chars <= LINK_SHARE * len(b.text)]
     kept = [b.text for b in blocks if low.isdisjoint(b.paths)] if low else [b.text for b in blocks]
     return "\n\n".join(kept or [b.text for b in blocks])

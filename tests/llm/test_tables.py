@@ -162,6 +162,17 @@ def test_near_copies_and_copies_lose_nothing_of_the_article(spark):
     assert {found[i] for i in range(17, 26)} == {"Title 9\n\nStory 9 ends."}  # nine copies are one page
 
 
+def test_style_tree_judges_declared_articles_too(spark):
+    page = lambda i: f"<article><h1>Title {i}</h1><p>Story {i} is told.</p><h2>Notes</h2><p>Note {i}.</p><div class=x7>Tell your friends</div></article>"
+    copy = lambda i: f"<article><h1>Same</h1><h2>Notes</h2><div class=x7>Tell your friends</div><p>One.</p><p>Copy {i}.</p></article>"
+    made = [("many", page(i).replace("<h2>Notes</h2>", "")) for i in range(9)] + [("copies", copy(i)) for i in range(9)] + [("few", page(i)) for i in range(3)]
+    pages = spark.createDataFrame([(i, f"http://{host}.example/{i}", html) for i, (host, html) in enumerate(made)], "page_id bigint, url string, html string").repartition(3)
+    found = {r["page_id"]: r["text"] for r in rows(html_extraction.extract_main_text(pages))}
+    assert [found[i] for i in range(9)] == [f"Title {i}\n\nStory {i} is told.\n\nNote {i}." for i in range(9)]
+    assert [found[9 + i] for i in range(9)] == [f"Same\n\nNotes\n\nTell your friends\n\nOne.\n\nCopy {i}." for i in range(9)]
+    assert [found[18 + i] for i in range(3)] == [f"Title {i}\n\nStory {i} is told.\n\nNotes\n\nNote {i}.\n\nTell your friends" for i in range(3)]
+
+
 def test_given_pages_keep_their_articles(spark):
     pages = dict(duck().execute("SELECT page_id, html FROM pages").fetchall())
     found = rows(queries.QUERIES["op8_html_extraction"](spark, FOLDER))
