@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
-from .common import HASH_RANGE, keep_rows, kept_by_worker, map_batches, record
+from .common import HASH_RANGE, ending, keep_rows, kept_by_worker, map_batches, record
 
 #: Texts per language that the model is fitted on, at most (a hash of the text chooses them).
 FIT_TEXTS = 2_000
@@ -99,7 +99,7 @@ def fit_language_model(
                     gram=(list(counts), pa.string()), n=(list(counts.values()), pa.int64()),
                 )
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "order int, lang string, gram string, n bigint")
+    counted = chosen.select("lang", "text").mapInArrow(ending(count), "order int, lang string, gram string, n bigint")
     totals = counted.groupBy("order", "lang", "gram").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     languages = sorted(set(totals["lang"]))
     place = {language: i for i, language in enumerate(languages)}

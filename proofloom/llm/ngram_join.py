@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..plans.bounds import broadcast_if_small
 from ..plans.components import connected_components
 from ..plans.lineage import delete_table, written_table
-from .common import map_batches, record
+from .common import ending, map_batches, record
 
 WORDS = 5
 #: Least similarity in percent.
@@ -113,7 +113,7 @@ def frequent_tokens(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray,
             tokens, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield record(token=(tokens.view(np.int64), pa.int64()), n=(n, pa.int64()))
 
-    counted = sample.mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(ending(count), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     top = counted.where(F.col("n") >= FREQUENT_IN_SAMPLE).orderBy(F.col("n").desc(), "token").limit(FREQUENT_TOKENS).toPandas()
     tokens = top["token"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(tokens)
@@ -178,7 +178,7 @@ def _shared_lists(sets: DataFrame, buckets: int) -> DataFrame:
         kept = like_last | np.append(like_last[1:], False)
         return pa.table({"tokens": pa.array([token[kept].tobytes()], pa.binary()), "nodes": pa.array([node[kept].tobytes()], pa.binary()), "sizes": pa.array([size[kept].tobytes()], pa.binary())})
 
-    dealt = sets.where("node IS NOT NULL").select("node", "n_shingles", "first").mapInArrow(deal, "bucket bigint, tokens binary, nodes binary, sizes binary")
+    dealt = sets.where("node IS NOT NULL").select("node", "n_shingles", "first").mapInArrow(ending(deal), "bucket bigint, tokens binary, nodes binary, sizes binary")
     return dealt.groupBy("bucket").applyInArrow(gather, "tokens binary, nodes binary, sizes binary")
 
 
@@ -297,7 +297,7 @@ def _packed_sets(docs: DataFrame, sets: DataFrame, nodes: DataFrame, key: str, t
             seen.update(new)
             yield record(node=(new, pa.int64()), tokens=([held[node].tobytes() for node in new], pa.binary()))
 
-    return read.mapInArrow(pack, "node bigint, tokens binary")
+    return read.mapInArrow(ending(pack), "node bigint, tokens binary")
 
 
 def _links_between(one: list[tuple], other: list[tuple] | None, percent: int) -> list[tuple[int, int]]:

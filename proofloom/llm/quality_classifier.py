@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bounds import broadcast_if_small
-from .common import bounded_sample, keep_rows, map_batches, record
+from .common import bounded_sample, ending, keep_rows, map_batches, record
 
 BUCKETS = 1 << 16
 #: Rows of each class in the sample for the hinge-loss fit, at most.
@@ -145,7 +145,7 @@ def fit_quality_model(labelled: DataFrame, *, fit_rows: int = FIT_ROWS, cost: fl
         columns = [np.append(used, BUCKETS), np.append(held[0, used], seen[0]), np.append(held[1, used], seen[1])]
         yield record(bucket=(columns[0], pa.int32()), zeros=(columns[1], pa.int64()), ones=(columns[2], pa.int64()))
 
-    counted = labelled.select("text", "label").mapInArrow(count, "bucket int, zeros bigint, ones bigint")
+    counted = labelled.select("text", "label").mapInArrow(ending(count), "bucket int, zeros bigint, ones bigint")
     sums = counted.groupBy("bucket").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toPandas()
     counts = np.zeros((2, BUCKETS + 1))
     counts[0, sums["bucket"]], counts[1, sums["bucket"]] = sums["zeros"], sums["ones"]

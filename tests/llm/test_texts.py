@@ -11,7 +11,7 @@ from fixtures import FOLDER, LABELLED, LONG, ODD, duck, none, odd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from proofloom.llm import language, quality_classifier, quality_rules, queries, sentencepieces, toxicity
+from proofloom.llm import common, language, quality_classifier, quality_rules, queries, sentencepieces, toxicity
 
 
 def rows(df):
@@ -160,3 +160,12 @@ def test_an_insult_of_few_texts_counts_in_a_large_class(spark):
 
 def test_words_are_split_alike():
     assert re.findall(queries.mixing.WORD, "a\x0bb\xa0c d") == ["a", "b\xa0c", "d"]
+
+
+def test_a_worker_lets_go_of_what_a_task_did_not_ask_for():
+    made = []
+    ask = lambda: common.kept_by_worker(("test",), lambda: made.append(1) or object())
+    task = lambda kernel: list(common.ending(lambda batches: map(kernel, batches))([1, 2]))
+    assert len(task(lambda _: ask())) == 2 and len(task(lambda _: ask())) == 2 and made == [1]  # kept while tasks ask for it
+    task(lambda batch: batch)
+    assert not common._kept
