@@ -3,7 +3,8 @@
 Candidates are cut into tiles: the cell of the nearest of a few pivot vectors, a ring of distance
 to that pivot, and a hash split so that a tile stays small however large its block is.  A target
 visits only tiles that the triangle inequality cannot rule out, each visit yields at most k rows,
-and the k best of those are kept.  A cost that is no metric uses hash splits alone.
+and the k best of those are kept.  A cost that is no metric uses hash splits alone.  A cost with a
+``tile`` finds the nearest of a tile itself, without the cost of every pair.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ RINGS = 8
 #: Visited cells whose targets are written at once.
 CELLS_AT_ONCE = 16
 PARTS_PER_CORE = 4
+#: What names a candidate tile.
+PLACE = ["block", "pivot", "ring", "split"]
 SLACK = 1e-9
 
 _TARGET = "struct<target:bigint,vec:array<float>,limit_cost:double,limit_id:bigint>"
@@ -148,9 +151,10 @@ def _tile_pairs(targets: DataFrame, candidates: DataFrame, cost, k: int, pivot_c
         .agg(F.collect_list(F.struct("candidate", "vec")).alias("held"))
     )
     # A fixed number of parts: tiles are few bytes and much work, and would be put together by their bytes.
-    place = ["block", "pivot", "ring", "split"]
     parts = PARTS_PER_CORE * targets.sparkSession.sparkContext.defaultParallelism
-    return _visits(targets, tiles, cost, pivots, k).repartition(parts, *place).join(packed.hint("shuffle_merge"), place)
+    # Without pivots, cell and ring are constants, which a join drops from its keys: parts by them would be dealt anew.
+    dealt = PLACE if pivots is not None else ["block", "split"]
+    return _visits(targets, tiles, cost, pivots, k).repartition(parts, *dealt).join(packed.hint("shuffle_merge"), PLACE)
 
 
 def _standard(df: DataFrame, block: str, identifier: str, vector: str, name: str) -> DataFrame:
@@ -181,17 +185,25 @@ def nearest(
     right = _standard(candidates, block, candidate, vector, "candidate")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
         for row in _rows(batches):
             members, held = row["members"], row["held"]
-            ids = _numbers(held.field("candidate"))
-            order = np.argsort(ids)
-            ids = ids[order]
-            costs = cost.matrix(_matrix(members.field("vec")), _matrix(held.field("vec"))[order])
-            asking = _numbers(members.field("target"))
+            here = [row[name].as_py() for name in PLACE]
+            if here != known:  # all that visit a tile follow each other
+                ids = _numbers(held.field("candidate"))
+                order = np.argsort(ids)
+                ids, vectors, known = ids[order], _matrix(held.field("vec"))[order], here
+                # Of equal candidates the k first by id are enough, unless every target has an order of its own.
+                tile = cost.tile(vectors, None if spread_ties else k) if hasattr(cost, "tile") else None
+            wanted, asking = _matrix(members.field("vec")), _numbers(members.field("target"))
             # What may be among the k best, row by row and by id.
             enough = min(k, len(ids))
-            rows, columns = np.nonzero(~(costs > np.partition(costs, enough - 1, axis=1)[:, enough - 1, None]))
-            found = costs[rows, columns]
+            if tile is not None:
+                rows, columns, found = tile.nearest(wanted, enough)
+            else:
+                costs = cost.matrix(wanted, vectors)
+                rows, columns = np.nonzero(~(costs > np.partition(costs, enough - 1, axis=1)[:, enough - 1, None]))
+                found = costs[rows, columns]
             ties = _tie_break(asking, ids)[rows, columns] if spread_ties else np.zeros(len(rows), dtype=np.int64)
             best = np.lexsort((ties, found, rows))
             starts = np.searchsorted(rows, np.arange(len(asking)))

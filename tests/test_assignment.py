@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from proofloom.functions.vectors import PageSignature, WeightedL1
+from proofloom.functions.vectors import PageSignature, WeightedL1, blended_weights
 from proofloom.operators.matching import quarantine_assign
 from proofloom.plans import assignment, auction, neighbours
 from proofloom.plans.assignment import assign_one_to_one, cheapest_assignment
@@ -239,6 +239,64 @@ def test_pictures_compared_by_their_pixels_equal_their_vectors():
     assert got.shape == (3, 9) and np.allclose(got, (np.abs(whole[:3, None] - whole[None]) * weights).sum(axis=2))
 
 
+def pictures_of_patches(rng, n, *shape):
+    """Pictures of a few shades, some of them equal and some nearly so."""
+    drawn = rng.integers(0, 256, (n // 2, *shape))
+    return np.concatenate([drawn, drawn[: n // 4], np.clip(drawn[n // 4 :][: n - n // 2 - n // 4] + 1, 0, 255)]).reshape(n, -1).astype(float)
+
+
+@pytest.mark.parametrize("channels, size", [(1, (48, 72)), (3, (16, 24)), (4, (18, 28))])
+def test_nearest_pictures_of_a_tile_need_few_distances(channels, size, monkeypatch):
+    rng, cells = np.random.default_rng(8), size[0] * size[1]
+    lengths = (cells * 3, cells, cells, images.BINS**3, 4 + sum(size))
+    monkeypatch.setattr(images, "GRID", 2)
+    pictures = pictures_of_patches(rng, 240, 8, 8, channels)
+    for weights in (blended_weights(*lengths), rng.random(sum(lengths))):
+        distance = images.PictureDistance(8, 8, channels, weights, size)
+        whole = distance.matrix(pictures[::3], pictures)
+        tile = distance.tile(pictures, None)
+        vectors = distance._vectors(pictures)
+        gaps = np.abs(vectors[::3, None] - vectors[None]) @ distance.weights
+        assert np.allclose(whole, gaps)
+        for step in (distance.COARSE, distance.FINE):
+            sums = distance.sums(vectors, step)
+            assert (np.abs(sums[::3, None] - sums[None]).sum(axis=2) <= whole + tile.ROUNDING * tile.weight).all()
+        rows, columns, found = tile.nearest(pictures[::3], 3)
+        assert (np.diff(rows) >= 0).all() and np.allclose(found, whole[rows, columns])
+        assert len(set(zip(rows, columns))) == len(rows)
+        assert len(rows) < whole.size / 3 or channels > 1  # not every pair; random colours are no smooth pictures
+        needed = whole <= np.sort(whole, axis=1)[:, 2, None] - 1e-9
+        assert {(r, c) for r, c in np.argwhere(needed)} <= set(zip(rows, columns))
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_nearest_pictures_equal_those_of_all_pairs(spark, monkeypatch, spread):
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbours, "TARGET_TILE_ROWS", 8)
+    rng, cells = np.random.default_rng(9), images.WIDTH * images.HEIGHT
+    distance = images.PictureDistance(8, 8, 1, blended_weights(cells * 3, cells, cells, images.BINS**3, 4 + images.WIDTH + images.HEIGHT))
+    pictures = np.concatenate([pictures_of_patches(rng, 60, 8, 8), np.full((12, 64), 255.0), np.zeros((12, 64))])
+    rows = spark.createDataFrame([(i % 2, i, p.tolist()) for i, p in enumerate(pictures)], "b long, id long, v array<float>")
+    got = {(r["target"], r["rank"]): (r["candidate"], r["cost"]) for r in nearest(rows, rows, distance, 3, pivots=0, spread_ties=spread, **COLUMNS).collect()}
+    costs, ids = distance.matrix(pictures, pictures), np.arange(len(pictures))
+    ties = neighbours._tie_break(ids, ids) if spread else np.zeros_like(costs, dtype=int)
+    for target in ids:
+        own = ids[ids % 2 == target % 2]
+        best = own[np.lexsort((own, ties[target, own], costs[target, own]))[:3]]
+        assert [got[target, rank][0] for rank in (1, 2, 3)] == best.tolist()
+        assert np.allclose([got[target, rank][1] for rank in (1, 2, 3)], costs[target, best])
+
+
+@pytest.mark.parametrize("pivots", [0, 3])
+def test_tiles_are_compared_in_a_fixed_number_of_parts(spark, pivots):
+    rows = points(spark, np.random.default_rng(10).random((40, 2)))
+    left, right = (neighbours._standard(rows, "b", "id", "v", name) for name in ("target", "candidate"))
+    left = left.withColumns({"limit_cost": F.lit(None).cast("double"), "limit_id": F.lit(None).cast("bigint")})
+    pairs = neighbours._tile_pairs(left, right, WeightedL1([1.0, 1.0]), 2, pivots)
+    pairs.collect()
+    assert pairs.rdd.getNumPartitions() == neighbours.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+
+
 def test_page_signatures_count_bits_and_tones():
     rng = np.random.default_rng(7)
     pages = np.hstack([rng.integers(0, 2, (8, 64)), rng.integers(0, 256, (8, 8))]).astype(float)
